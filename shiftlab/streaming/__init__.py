@@ -1,0 +1 @@
+"""Intentionally empty: every analysis in this library is a batch job over dated snapshots."""
