@@ -2,53 +2,152 @@
 
 Events act as subscription snapshots (a user is a subscription), parts as delivery options, orders
 and line items as order lines. Every table follows ``sources.SCHEMAS``; ``duckdb_views`` derives the
-same rows in SQL.
+same rows for the SQL side. What the last digit of a subscription decides (zone, target date,
+deleted or not) is there to reach every rule of the analyses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlab.functions import zone_extended, zone_simple
 
-# Fixed values of the derivation: unit per region, and what the last digit of a subscription does.
-UNIT_OF_REGION = {"AFRICA": "GB", "AMERICA": "IE", "ASIA": "NL", "EUROPE": "FR"}
-OTHER_UNIT = "BE"
-PART_UNITS = ("GB", "IE", "NL", "FR", "BE")
-TARGET_DAYS = {0: -2, 1: -1, 2: 1, 3: 2, 4: 3, 5: -3, 6: -4, 7: 1, 8: None, 9: -5}
-WEEKDAYS = ("MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY")
-OPTION_IMPORTS = (20231215, 20240105, 20240120)
-HANDLES = ("D-0-0800-1200", "D-1-0800-1200")
-LARGE_VALUE = 120
-
-
-def _text_list(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def _week_label(day: Column) -> Column:
-    year = F.date_format(F.date_add(day, 3 - F.weekday(day)), "yyyy")
-    return F.concat(year, F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
-
-
-def _zip(country: Column, digit: Column) -> Column:
-    d = digit.cast("string")
-    return (
-        F.when(
-            country == "GB",
-            F.concat(F.lit("M"), F.when(digit >= 5, F.lit("1")).otherwise(""), d, F.lit(" 1AA")),
-        )
-        .when(country == "IE", F.concat(F.lit("D0"), d, F.lit("X285")))
-        .when(country == "NL", F.concat(F.lit("100"), d, F.lit(" ab")))
-        .otherwise(F.concat(F.lit("7500"), d))
-    )
-
-
-def _handle(subscription: Column) -> Column:
-    return F.concat(F.lit("D-"), (subscription % 2).cast("string"), F.lit("-0800-1200"))
+RAW_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_nationkey INT",
+    "part": "p_partkey BIGINT, p_size INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+    "o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+    "l_returnflag STRING, l_linestatus STRING",
+    "events": "ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+}
+
+_WEEK = (
+    "concat(date_format(date_add({day}, 3 - weekday({day})), 'yyyy'), '-W', "
+    "lpad(string(weekofyear({day})), 2, '0'))"
+)
+_ZIP = """CASE {unit}
+    WHEN 'GB' THEN concat('M', if({sub} % 10 >= 5, '1', ''), {sub} % 10, ' 1AA')
+    WHEN 'IE' THEN concat('D0', {sub} % 10, 'X285')
+    WHEN 'NL' THEN concat('100', {sub} % 10, ' ab')
+    ELSE concat('7500', {sub} % 10) END"""
+
+CALENDAR = f"""
+SELECT string(day) AS calendar_date, {_WEEK.format(day="day")} AS delivery_week,
+       weekday(day) AS day_of_week, date_format(day, 'EEEE') AS day_name
+FROM (SELECT explode(sequence(DATE'2023-10-01', DATE'2024-06-30')) AS day)"""
+
+NATIONS = """
+SELECT n_nationkey, n_name, r_name,
+       decode(r_name, 'AFRICA', 'GB', 'AMERICA', 'IE', 'ASIA', 'NL', 'EUROPE', 'FR', 'BE') AS unit
+FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"""
+
+UNITS = """
+SELECT c_custkey AS fk_subscription, unit AS country FROM {customer} JOIN {nations} ON c_nationkey = n_nationkey"""
+
+EVENTS = """
+SELECT user_id AS sub, country AS unit, to_date(ts) AS day, event_type, value,
+       CASE event_type WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'paused' ELSE 'running' END AS status
+FROM {events} JOIN {units} ON user_id = fk_subscription"""
+
+SNAPSHOTS = f"""
+SELECT unit AS country, sub AS fk_subscription,
+       int(date_format(day, 'yyyyMMdd')) AS fk_imported_at_date,
+       string(date_add(date_sub(day, weekday(day)), int(28 + sub % 3))) AS delivery_wk_4,
+       concat('D-', sub % 2, '-0800-1200') AS delivery_time,
+       {_ZIP.format(unit="unit", sub="sub")} AS zip,
+       CASE WHEN value <= 110 THEN status END AS status_wk_0,
+       status AS status_wk_1,
+       if(value > 50, 'paused', status) AS status_wk_2,
+       if(event_type = 'view' AND value > 100, 'paused', status) AS status_wk_3,
+       status AS status_wk_4
+FROM {{user_events}}"""
+
+PLANS = """
+SELECT DISTINCT country, zip, fk_subscription % 10 AS digit, delivery_wk_4 AS origin_date FROM {snapshots}"""
+
+SHIFTS = """
+SELECT country AS business_unit,
+       concat_ws('/', country, postal_code, origin_date, handle) AS shift_id,
+       postal_code,
+       handle AS origin_option_handle,
+       if(digit % 3 = 0, handle, replace(handle, '0800-1200', '1200-1800')) AS target_option_handle,
+       origin_date,
+       string(date_add(origin_date, CASE digit WHEN 0 THEN -2 WHEN 1 THEN -1 WHEN 2 THEN 1 WHEN 3 THEN 2
+           WHEN 4 THEN 3 WHEN 5 THEN -3 WHEN 6 THEN -4 WHEN 7 THEN 1 WHEN 9 THEN -5 END)) AS target_date,
+       digit % 2 = 0 AS visible_to_customer,
+       concat('2024010', 1 + digit % 3, 'T0600') AS fk_imported_at,
+       concat('2024-01-0', published, 'T08:00:00') AS published_time,
+       struct(CASE WHEN digit = 7 THEN 'd' WHEN digit = 5 THEN NULL WHEN digit % 2 = 0 THEN 'c' ELSE 'u' END
+           AS operation) AS meta
+FROM (SELECT *, explode(array(1 + digit % 7, 9)) AS published
+      FROM (SELECT *, explode(array('D-0-0800-1200', 'D-1-0800-1200')) AS handle FROM {zones}))"""
+
+CHANGES = f"""
+SELECT unit AS business_unit, sub AS fk_subscription,
+       int(if(event_type = 'click', 1 + sub % 5, 1)) AS delivery_weekday,
+       CASE event_type WHEN 'click' THEN concat('D-', (sub + 1) % 2, '-0800-1200')
+                       WHEN 'purchase' THEN concat('D-', sub % 2, '-0800-1200') END AS delivery_time,
+       {_WEEK.format(day="date_add(day, 28)")} AS week_id
+FROM {{user_events}}
+WHERE event_type IN ('click', 'purchase', 'signup') AND value > 120"""
+
+OPTIONS = """
+SELECT region_code,
+       concat('D-', day, if(slot = 0, '-0800-1200', '-1200-1800')) AS option_handle,
+       int(3 + count(*) % 3) AS cutoff,
+       CAST((count(*) % 2) * 1.5 AS DECIMAL(10, 2)) AS surcharge_price,
+       element_at(array('MONDAY', 'TUESDAY', 'WEDNESDAY', 'THURSDAY', 'FRIDAY', 'SATURDAY', 'SUNDAY'),
+                  int(1 + sum(p_size) % 7)) AS packing_day,
+       element_at(array('MONDAY', 'TUESDAY', 'WEDNESDAY', 'THURSDAY', 'FRIDAY', 'SATURDAY', 'SUNDAY'),
+                  int(1 + min(p_size) % 7)) AS delivery_day,
+       int(count(*)) AS production_capacity,
+       fk_imported_at,
+       if(slot = 0, '08:00:00', '12:00:00') AS start_time,
+       if(slot = 0, '12:00:00', '18:00:00') AS end_time
+FROM (SELECT element_at(array('GB', 'IE', 'NL', 'FR', 'BE'), int(1 + p_partkey % 5)) AS region_code,
+             p_size % 2 AS day,
+             (p_partkey DIV 5) % 2 AS slot,
+             element_at(array(20231215, 20240105, 20240120), int(1 + (p_partkey DIV 10) % 3)) AS fk_imported_at,
+             p_size
+      FROM {part})
+WHERE NOT (region_code = 'NL' AND slot = 1)
+GROUP BY region_code, day, slot, fk_imported_at"""
+
+ORDER_LINES = f"""
+SELECT o_custkey AS subscription_id,
+       concat('C', if(o_orderkey % 3 = 0, o_custkey, o_custkey - o_custkey % 2)) AS customer_uuid,
+       date_format(o_orderdate, 'yyyy-MM-dd') AS create_date,
+       o_orderkey * 10 + l_linenumber AS order_line_items_id,
+       country AS entity_code,
+       {_WEEK.format(day="date_add(DATE'2023-10-30', int(o_orderkey % 160))")} AS delivery_week,
+       if(l_returnflag = 'R', 'Addons', 'Mealboxes') AS order_item_type
+FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey JOIN {{units}} ON o_custkey = fk_subscription"""
+
+ORDER_ITEMS = f"""
+SELECT country AS region_code,
+       {_ZIP.format(unit="country", sub="o_custkey")} AS postal_code,
+       o_custkey AS subscription_nk,
+       concat('D-', o_custkey % 2, '-0800-1200') AS delivery_option_handle,
+       {_WEEK.format(day="date_add(DATE'2024-01-29', int(o_orderkey % 28))")} AS delivery_week,
+       CASE WHEN l_quantity <= 45 THEN l_linestatus = 'F' END AS is_delivered,
+       l_returnflag <> 'R' AS is_mealbox,
+       struct(CASE WHEN l_tax >= 0.07D THEN 'd' WHEN l_discount >= 0.09D THEN NULL ELSE 'u' END AS operation) AS meta
+FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey JOIN {{units}} ON o_custkey = fk_subscription"""
+
+COMPARISON = """
+SELECT o_orderkey AS ordinal, n_name AS Country,
+       CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS Holiday,
+       element_at(array('Cohort A (0)', 'Cohort B (-1)', 'Cohort C (+1)', 'no cohort', 'Cohort E (+2)',
+                        'Cohort A (0)', 'Cohort D (-2)'), int(1 + o_orderkey % 7)) AS cohort,
+       o_totalprice % 100 - 50 AS Delta_5W,
+       CASE WHEN o_custkey % 11 <> 0 THEN 50 - o_totalprice % 100 END AS Delta_10W
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey"""
 
 
 class DriverViews(Mapping):
@@ -71,11 +170,6 @@ class DriverViews(Mapping):
         self.folder = folder
         self._known: dict[str, DataFrame] = {}
 
-    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self._known:
-            self._known[name] = build()
-        return self._known[name]
-
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.names:
             raise KeyError(name)
@@ -88,257 +182,65 @@ class DriverViews(Mapping):
     def __len__(self) -> int:
         return len(self.names)
 
-    def raw(self, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}.parquet"
-        return self._once(path, lambda: self.spark.read.parquet(path))
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._known:
+            self._known[name] = build()
+        return self._known[name]
 
-    def calendar(self) -> DataFrame:
-        days = self.spark.sql(
-            "SELECT explode(sequence(DATE'2023-10-01', DATE'2024-06-30')) AS day"
-        )
-        return days.select(
-            F.col("day").cast("string").alias("calendar_date"),
-            _week_label(F.col("day")).alias("delivery_week"),
-            F.weekday("day").alias("day_of_week"),
-            F.date_format("day", "EEEE").alias("day_name"),
-        )
+    def _sql(self, query: str, *raw: str, **frames: DataFrame) -> DataFrame:
+        for name in raw:
+            frames[name] = self._once(f"raw {name}", lambda name=name: self._read(name))
+        return self.spark.sql(query, **frames)
+
+    def _read(self, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}.parquet"
+        return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(path)
 
     def _nations(self) -> DataFrame:
-        unit = F.coalesce(
-            *[F.when(F.col("r_name") == r, F.lit(u)) for r, u in UNIT_OF_REGION.items()],
-            F.lit(OTHER_UNIT),
-        )
-        return (
-            self.raw("nation")
-            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("n_nationkey", "n_name", "r_name", unit.alias("unit"))
-        )
+        return self._once("nations", lambda: self._sql(NATIONS, "nation", "region"))
 
-    def entities(self) -> DataFrame:
-        return self._nations().select(
-            F.col("r_name").alias("country_group"),
-            F.col("n_name").alias("country"),
-            F.col("unit").alias("entity_code"),
+    def _units(self) -> DataFrame:
+        return self._once(
+            "units", lambda: self._sql(UNITS, "customer", nations=self._nations())
         )
 
-    def units(self) -> DataFrame:
-        customer = self.raw("customer").select("c_custkey", "c_nationkey")
-        nations = self._nations()
-        return customer.join(nations, customer["c_nationkey"] == nations["n_nationkey"]).select(
-            F.col("c_custkey").alias("fk_subscription"), F.col("unit").alias("country")
+    def _user_events(self) -> DataFrame:
+        return self._once("user events", lambda: self._sql(EVENTS, "events", units=self._units()))
+
+    def calendar(self) -> DataFrame:
+        return self.spark.sql(CALENDAR)
+
+    def entities(self) -> DataFrame:
+        return self._nations().selectExpr(
+            "r_name AS country_group", "n_name AS country", "unit AS entity_code"
         )
 
     def snapshots(self) -> DataFrame:
-        events = self.raw("events").select(
-            F.col("user_id").alias("fk_subscription"),
-            F.to_date("ts").alias("day"),
-            "event_type",
-            "value",
-        )
-        status = (
-            F.when(F.col("event_type") == "error", "cancelled")
-            .when(F.col("event_type") == "click", "paused")
-            .otherwise("running")
-        )
-        monday = F.date_sub("day", F.weekday("day"))
-        planned = F.date_add(monday, (28 + F.col("fk_subscription") % 3).cast("int"))
-        viewed = (F.col("event_type") == "view") & (F.col("value") > 100)
-        return events.join(self._once("units", self.units), "fk_subscription").select(
-            "country",
-            "fk_subscription",
-            F.date_format("day", "yyyyMMdd").cast("int").alias("fk_imported_at_date"),
-            planned.cast("string").alias("delivery_wk_4"),
-            _handle(F.col("fk_subscription")).alias("delivery_time"),
-            _zip(F.col("country"), F.col("fk_subscription") % 10).alias("zip"),
-            F.when(F.col("value") <= 110, status).alias("status_wk_0"),
-            status.alias("status_wk_1"),
-            F.when(F.col("value") > 50, "paused").otherwise(status).alias("status_wk_2"),
-            F.when(viewed, "paused").otherwise(status).alias("status_wk_3"),
-            status.alias("status_wk_4"),
-        )
+        return self._sql(SNAPSHOTS, user_events=self._user_events())
 
     def shifts(self) -> DataFrame:
-        plans = self["snapshots"].select(
-            "country",
-            "zip",
-            (F.col("fk_subscription") % 10).alias("digit"),
-            F.col("delivery_wk_4").alias("origin_date"),
-        ).distinct()
-        digit = F.col("digit")
-        days = F.coalesce(
-            *[F.when(digit == d, F.lit(n)) for d, n in TARGET_DAYS.items() if n is not None]
-        )
-        zones = F.array_distinct(
-            F.array(
-                zone_simple(F.col("country"), F.col("zip")),
-                zone_extended(F.col("country"), F.col("zip")),
-            )
-        )
-        rows = (
-            plans.withColumn("postal_code", F.explode(zones))
-            .withColumn("handle", F.explode(_text_list(HANDLES)))
-            .withColumn("published", F.explode(F.array(1 + digit % 7, F.lit(9))))
-        )
-        moved_slot = F.replace("handle", F.lit("0800-1200"), F.lit("1200-1800"))
-        return rows.select(
-            F.col("country").alias("business_unit"),
-            F.concat_ws("/", "country", "postal_code", "origin_date", "handle").alias("shift_id"),
-            "postal_code",
-            F.col("handle").alias("origin_option_handle"),
-            F.when(digit % 3 == 0, F.col("handle")).otherwise(moved_slot).alias(
-                "target_option_handle"
-            ),
-            "origin_date",
-            F.date_add("origin_date", days).cast("string").alias("target_date"),
-            (digit % 2 == 0).alias("visible_to_customer"),
-            F.concat(F.lit("2024010"), (1 + digit % 3).cast("string"), F.lit("T0600")).alias(
-                "fk_imported_at"
-            ),
-            F.concat(F.lit("2024-01-0"), F.col("published").cast("string"), F.lit("T08:00:00")).alias(
-                "published_time"
-            ),
-            F.struct(
-                F.when(digit == 7, "d")
-                .when(digit == 5, F.lit(None))
-                .when(digit % 2 == 0, "c")
-                .otherwise("u")
-                .alias("operation")
-            ).alias("meta"),
+        """Shifts for every planned date, in the zones of both rule sets, each published twice."""
+        country, postcode = F.col("country"), F.col("zip")
+        both = F.array(zone_simple(country, postcode), zone_extended(country, postcode))
+        plans = self._sql(PLANS, snapshots=self["snapshots"])
+        zones = plans.select(
+            "country", "digit", "origin_date", F.explode(F.array_distinct(both)).alias("postal_code")
         )
+        return self._sql(SHIFTS, zones=zones)
 
     def changes(self) -> DataFrame:
-        sub = F.col("user_id")
-        kind = F.col("event_type")
-        events = self.raw("events").filter(
-            kind.isin("click", "purchase", "signup") & (F.col("value") > LARGE_VALUE)
-        )
-        return events.join(
-            self._once("units", self.units).withColumnRenamed("fk_subscription", "user_id"), "user_id"
-        ).select(
-            F.col("country").alias("business_unit"),
-            sub.alias("fk_subscription"),
-            F.when(kind == "click", (1 + sub % 5).cast("int")).otherwise(1).alias(
-                "delivery_weekday"
-            ),
-            F.when(kind == "click", _handle(sub + 1))
-            .when(kind == "purchase", _handle(sub))
-            .alias("delivery_time"),
-            _week_label(F.date_add(F.to_date("ts"), 28)).alias("week_id"),
-        )
+        return self._sql(CHANGES, user_events=self._user_events())
 
     def options(self) -> DataFrame:
         """Three imports per option; the Dutch afternoon slots have no option row."""
-        key = F.col("p_partkey")
-        tenth, fifth = F.floor(key / 10), F.floor(key / 5)
-        slot = (fifth % 2).cast("int")
-        keyed = self.raw("part").select(
-            F.element_at(_text_list(PART_UNITS), (1 + key % 5).cast("int")).alias("region_code"),
-            (F.col("p_size") % 2).alias("day"),
-            slot.alias("slot"),
-            F.element_at(_text_list(OPTION_IMPORTS), (1 + tenth % 3).cast("int")).alias(
-                "fk_imported_at"
-            ),
-            "p_size",
-        )
-        grouped = (
-            keyed.filter(~((F.col("region_code") == "NL") & (F.col("slot") == 1)))
-            .groupBy("region_code", "day", "slot", "fk_imported_at")
-            .agg(
-                F.count("*").alias("n"),
-                F.sum("p_size").alias("sizes"),
-                F.min("p_size").alias("smallest"),
-            )
-        )
-        early = F.col("slot") == 0
-        weekday = _text_list(WEEKDAYS)
-        return grouped.select(
-            "region_code",
-            F.concat(
-                F.lit("D-"),
-                F.col("day").cast("string"),
-                F.when(early, "-0800-1200").otherwise("-1200-1800"),
-            ).alias("option_handle"),
-            (3 + F.col("n") % 3).cast("int").alias("cutoff"),
-            ((F.col("n") % 2) * F.lit(1.5)).cast("decimal(10,2)").alias("surcharge_price"),
-            F.element_at(weekday, (1 + F.col("sizes") % 7).cast("int")).alias("packing_day"),
-            F.element_at(weekday, (1 + F.col("smallest") % 7).cast("int")).alias("delivery_day"),
-            F.col("n").cast("int").alias("production_capacity"),
-            "fk_imported_at",
-            F.when(early, "08:00:00").otherwise("12:00:00").alias("start_time"),
-            F.when(early, "12:00:00").otherwise("18:00:00").alias("end_time"),
-        )
-
-    def _ordered(self) -> DataFrame:
-        orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        lines = self.raw("lineitem")
-        units = self._once("units", self.units)
-        return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).join(
-            units, orders["o_custkey"] == units["fk_subscription"]
-        )
+        return self._sql(OPTIONS, "part")
 
     def order_lines(self) -> DataFrame:
-        order, customer = F.col("o_orderkey"), F.col("o_custkey")
-        day = F.date_add(F.lit("2023-10-30").cast("date"), (order % 160).cast("int"))
-        household = F.when(order % 3 == 0, customer).otherwise(customer - customer % 2)
-        return self._ordered().select(
-            customer.alias("subscription_id"),
-            F.concat(F.lit("C"), household.cast("string")).alias("customer_uuid"),
-            F.date_format("o_orderdate", "yyyy-MM-dd").alias("create_date"),
-            (order * 10 + F.col("l_linenumber")).alias("order_line_items_id"),
-            F.col("country").alias("entity_code"),
-            _week_label(day).alias("delivery_week"),
-            F.when(F.col("l_returnflag") == "R", "Addons").otherwise("Mealboxes").alias(
-                "order_item_type"
-            ),
-        )
+        return self._sql(ORDER_LINES, "orders", "lineitem", units=self._units())
 
     def order_items(self) -> DataFrame:
-        customer = F.col("o_custkey")
-        day = F.date_add(F.lit("2024-01-29").cast("date"), (F.col("o_orderkey") % 28).cast("int"))
-        return self._ordered().select(
-            F.col("country").alias("region_code"),
-            _zip(F.col("country"), customer % 10).alias("postal_code"),
-            customer.alias("subscription_nk"),
-            _handle(customer).alias("delivery_option_handle"),
-            _week_label(day).alias("delivery_week"),
-            F.when(F.col("l_quantity") <= 45, F.col("l_linestatus") == "F").alias("is_delivered"),
-            (F.col("l_returnflag") != "R").alias("is_mealbox"),
-            F.struct(
-                F.when(F.col("l_tax") >= 0.07, "d")
-                .when(F.col("l_discount") >= 0.09, F.lit(None))
-                .otherwise("u")
-                .alias("operation")
-            ).alias("meta"),
-        )
+        return self._sql(ORDER_ITEMS, "orders", "lineitem", units=self._units())
 
     def comparison_rows(self) -> DataFrame:
         """Every order as a comparison row of its nation and priority."""
-        customer = self.raw("customer").select("c_custkey", "c_nationkey")
-        nation = self.raw("nation").select("n_nationkey", "n_name")
-        orders = self.raw("orders")
-        letters = _text_list(
-            (
-                "Cohort A (0)",
-                "Cohort B (-1)",
-                "Cohort C (+1)",
-                "no cohort",
-                "Cohort E (+2)",
-                "Cohort A (0)",
-                "Cohort D (-2)",
-            )
-        )
-        cents = F.col("o_totalprice") % 100
-        return (
-            orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(
-                F.col("o_orderkey").alias("ordinal"),
-                F.col("n_name").alias("Country"),
-                F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias(
-                    "Holiday"
-                ),
-                F.element_at(letters, (1 + F.col("o_orderkey") % 7).cast("int")).alias("cohort"),
-                (cents - 50).alias("Delta_5W"),
-                F.when(F.col("o_custkey") % 11 != 0, 50 - cents).alias("Delta_10W"),
-            )
-        )
+        return self._sql(COMPARISON, "orders", "customer", "nation")

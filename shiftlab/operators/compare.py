@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.functions import cohort_letter
-from shiftlab.operators.scale import dimension
 
 
 def control_comparison(
@@ -37,7 +36,7 @@ def control_comparison(
         .agg(*[F.min_by(m, first).alias(f"control_{m}") for m in metrics])
     )
     others = known.filter(~F.col("letter").eqNullSafe(F.lit(control)))
-    counts = others.join(dimension(controls), list(keys)).agg(
+    counts = others.join(controls, list(keys)).agg(
         F.count("*").alias("comparisons"),
         *[F.count_if(F.col(f"control_{m}") <= F.col(m)).alias(m) for m in metrics],
     )

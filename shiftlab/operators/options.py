@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.functions import cutoff_day, slot_text, time_slot
-from shiftlab.operators.scale import dimension
 from shiftlab.operators.shifts import entity_codes
 
 FLAGS = (
@@ -42,9 +41,7 @@ def delivery_options(
         how = "inner"
     codes = entity_codes(entities)
     slot = [slot_text(F.col("start_time"), F.col("end_time")).alias("delivery_time")]
-    return picked.join(
-        dimension(codes), picked["region_code"] == codes["entity_code"], how
-    ).select(
+    return picked.join(codes, picked["region_code"] == codes["entity_code"], how).select(
         "market",
         F.col("entity_code").alias("country"),
         "option_handle",

@@ -20,7 +20,7 @@ def _order_lines(
     lines = order_lines.filter(
         F.col("entity_code").isin(*units) & F.col("delivery_week").between(*weeks)
     ).withColumnsRenamed({"entity_code": "country", "subscription_id": "fk_subscription"})
-    return lines if known is None else keep_known(lines, known, SUBSCRIPTION)
+    return keep_known(lines, known, SUBSCRIPTION)
 
 
 def latest_customer(

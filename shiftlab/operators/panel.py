@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.functions import holiday_week_status
-from shiftlab.operators.scale import MEMBER_ROWS, fits, keep_known
+from shiftlab.operators.scale import keep_known
 from shiftlab.operators.subscriptions import SUBSCRIPTION
 
 
@@ -75,24 +75,27 @@ def cohort_totals(panel: DataFrame) -> DataFrame:
     )
 
 
-def member_days(statuses: DataFrame, members: DataFrame) -> DataFrame:
+def member_days(
+    statuses: DataFrame, members: DataFrame, known: DataFrame | None = None
+) -> DataFrame:
     """One row per member, cohort and day, with the set of statuses seen that day.
 
     Stands for panel, status and cohort join together: the panel's days are the days of the
     snapshots themselves, so members x days joined to snapshots is just the members' snapshots.
-    Members are filtered by a map-side semi-join while they fit in a broadcast; duplicates collapse
-    before the shuffle either way, and a subscription's days spread over tasks.
+    ``known`` (the members, if they fit a broadcast) drops other subscriptions before the shuffle.
+    Duplicates collapse before the shuffle either way, and a subscription's days spread over tasks.
     """
     per_day = (
-        keep_known(statuses, members, SUBSCRIPTION)
+        keep_known(statuses, known, SUBSCRIPTION)
         .groupBy(*SUBSCRIPTION, "fk_imported_at_date")
         .agg(F.collect_set(F.struct("status")).alias("statuses"))
     )
-    small = fits(members, MEMBER_ROWS)
-    return per_day.join(F.broadcast(members) if small else members, SUBSCRIPTION)
+    return per_day.join(members if known is None else known, SUBSCRIPTION)
 
 
-def member_statuses(statuses: DataFrame, members: DataFrame) -> DataFrame:
+def member_statuses(
+    statuses: DataFrame, members: DataFrame, known: DataFrame | None = None
+) -> DataFrame:
     """Distinct (subscription, cohort, status) over the whole panel, without its days."""
-    held = keep_known(statuses, members, SUBSCRIPTION).select(*SUBSCRIPTION, "status").distinct()
-    return held.join(members, SUBSCRIPTION)
+    held = keep_known(statuses, known, SUBSCRIPTION).select(*SUBSCRIPTION, "status").distinct()
+    return held.join(members if known is None else known, SUBSCRIPTION)

@@ -1,10 +1,12 @@
 """Size-checked broadcasts and staged tables.
 
-A join side is broadcast only after a bounded count shows that it fits; beyond the bound the same
-join runs as a shuffle join, where adaptive execution splits skewed partitions. Results that
-several steps read, or whose size decides a join, are written once to the shared folder named by
-``spark.checkpoint.dir`` and read back: lost executors then cost no recomputation, and the optimizer
-plans the rest from exact file sizes.
+Plans, not operators, decide what to broadcast: they count a table once and mark it when it fits;
+beyond the bound the same join runs as a shuffle join, where adaptive execution splits skewed
+partitions. The mark on a lookup table stays with every projection an operator takes of it.
+
+Results that several steps read, or whose size decides a join, are written once to the shared folder
+named by ``spark.checkpoint.dir`` and read back: lost executors then cost no recomputation, and the
+optimizer plans the rest from exact file sizes.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 DIMENSION_ROWS = 100_000
 """Calendar, entity and option rows: tens of bytes each, so a broadcast stays near 10 MB."""
 
+SHIFT_ROWS = 1_000_000
+"""Shift keys: four short texts, so a broadcast stays near 100 MB."""
+
 MEMBER_ROWS = 5_000_000
 """Subscription keys: about 20 bytes each, so a broadcast stays near 100 MB."""
 
@@ -35,17 +40,18 @@ def dimension(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def keep_known(
-    df: DataFrame, known: DataFrame, on: list[str], max_rows: int = MEMBER_ROWS
-) -> DataFrame:
-    """Drop rows of a large table whose key is not in ``known``, where that needs no shuffle.
+def only_if_fits(df: DataFrame, max_rows: int = MEMBER_ROWS) -> DataFrame | None:
+    """``df`` marked for broadcast, or None when it is too large for that."""
+    return F.broadcast(df) if fits(df, max_rows) else None
+
+
+def keep_known(df: DataFrame, known: DataFrame | None, on: list[str]) -> DataFrame:
+    """Drop rows of a large table whose key is not in ``known``, before they are shuffled.
 
-    Only an early filter: callers still join on the same key later, so beyond the bound the table
-    passes unchanged and the result is the same.
+    Only an early filter: callers still join on the same key later, so without ``known`` (see
+    ``only_if_fits``) the table passes unchanged and the result is the same.
     """
-    if fits(known, max_rows):
-        return df.join(F.broadcast(known.select(*on)), on, "left_semi")
-    return df
+    return df if known is None else df.join(known.select(*on), on, "left_semi")
 
 
 def staging_folder(spark: SparkSession) -> str:

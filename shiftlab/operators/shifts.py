@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.functions import compact_date
-from shiftlab.operators.scale import dimension
 
 DELETED = "d"
 
@@ -87,8 +86,8 @@ def shift_registry(
         .agg(F.min(compact_date(F.col("published_time"))).alias("published_date"))
     )
     return (
-        first.join(dimension(codes), first["business_unit"] == codes["entity_code"], "left")
-        .join(dimension(weeks), "origin_date", "left")
+        first.join(codes, first["business_unit"] == codes["entity_code"], "left")
+        .join(weeks, "origin_date", "left")
         .select(
             "market",
             F.col("entity_code").alias("country"),

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlab.functions import zone_extended, zone_simple
-from shiftlab.operators.scale import dimension
 from shiftlab.operators.shifts import entity_codes
 
 SUBSCRIPTION = ["country", "fk_subscription"]
@@ -19,7 +18,7 @@ def with_week(df: DataFrame, calendar: DataFrame, date_column: str = "delivery_w
     weeks = calendar.select(
         F.col("calendar_date").alias(date_column), "delivery_week"
     ).distinct()
-    return df.join(dimension(weeks), date_column, "left")
+    return df.join(weeks, date_column, "left")
 
 
 def weeks_between(calendar: DataFrame, dates: tuple[str, str]) -> DataFrame:
@@ -47,14 +46,14 @@ def one_off_changes(
     )
     if weeks is not None:
         wanted = weeks.select(F.col("delivery_week").alias("week_id")).distinct()
-        picked = picked.join(dimension(wanted), "week_id", "left_semi")
+        picked = picked.join(wanted, "week_id", "left_semi")
     days = calendar.select(
         F.col("delivery_week").alias("week_id"),
         (F.col("day_of_week") + 1).alias("delivery_weekday"),
         "day_name",
         "calendar_date",
     )
-    dated = picked.join(dimension(days), ["week_id", "delivery_weekday"], "left").select(
+    dated = picked.join(days, ["week_id", "delivery_weekday"], "left").select(
         "business_unit",
         "fk_subscription",
         F.col("delivery_weekday").alias("changed_delivery_weekday"),
@@ -113,7 +112,7 @@ def with_extended_zone(df: DataFrame, entities: DataFrame) -> DataFrame:
     """Shift zone by the extended rules, which look at the entity code (NULL if unknown)."""
     codes = entity_codes(entities).select("entity_code").distinct()
     return (
-        df.join(dimension(codes), df["country"] == codes["entity_code"], "left")
+        df.join(codes, df["country"] == codes["entity_code"], "left")
         .withColumn("zone", zone_extended(F.col("entity_code"), F.col("zip")))
         .drop("entity_code")
     )

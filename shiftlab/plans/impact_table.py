@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from shiftlab.operators.impact import (
     OUTCOME_KEY,
-    SHIFT_KEY,
     affected_subscriptions,
     delivery_outcomes,
     planned_deliveries,
     shift_impact,
 )
 from shiftlab.operators.options import delivery_options
-from shiftlab.operators.scale import DIMENSION_ROWS, keep_known, staged
+from shiftlab.operators.scale import (
+    DIMENSION_ROWS,
+    SHIFT_ROWS,
+    dimension,
+    keep_known,
+    only_if_fits,
+    staged,
+)
 from shiftlab.operators.shifts import shift_registry
 from shiftlab.operators.subscriptions import (
     apply_overrides,
@@ -38,27 +44,25 @@ def shifted_deliveries(
     The shifts decide early what is read. A one-off change stays within its week, so only plans
     and changes of weeks that hold a shift in that country can land on a shifted date.
     """
-    weeks = shifts.select("country", "delivery_week").distinct()
-    plans = with_week(planned_deliveries(tables["snapshots"], units, min_date), tables["calendar"])
-    plans = keep_known(plans, weeks, ["country", "delivery_week"], DIMENSION_ROWS).distinct()
+    calendar = dimension(tables["calendar"])
+    week_key = ["country", "delivery_week"]
+    weeks = only_if_fits(shifts.select(*week_key).distinct(), DIMENSION_ROWS)
+    plans = with_week(planned_deliveries(tables["snapshots"], units, min_date), calendar)
+    plans = keep_known(plans, weeks, week_key).distinct()
     one_offs = one_off_changes(
-        tables["changes"], tables["calendar"], units, min_week, dedupe=False, weeks=weeks
+        tables["changes"], calendar, units, min_week, dedupe=False, weeks=weeks
     )
     moved = apply_overrides(plans, one_offs)
-    zoned = with_extended_zone(moved, tables["entities"])
+    zoned = with_extended_zone(moved, dimension(tables["entities"]))
     shift_key = shifts.select(
         "country",
         F.col("postal_code").alias("zone"),
         F.col("origin_option_handle").alias("updated_delivery_time"),
         F.col("origin_date").alias("updated_delivery_date"),
     ).distinct()
-    shifted = zoned.join(shift_key, shift_key.columns, "left_semi")
-    outcomes = keep_known(
-        delivery_outcomes(tables["order_items"], min_week, dedupe=False),
-        weeks,
-        ["country", "delivery_week"],
-        DIMENSION_ROWS,
-    ).distinct()
+    shifted = zoned.join(dimension(shift_key, SHIFT_ROWS), shift_key.columns, "left_semi")
+    outcomes = delivery_outcomes(tables["order_items"], min_week, dedupe=False)
+    outcomes = keep_known(outcomes, weeks, week_key).distinct()
     return shifted.join(outcomes, OUTCOME_KEY, "left")
 
 
@@ -84,6 +88,4 @@ def shift_impact_table(
     options = delivery_options(
         tables["options"], tables["entities"], min_import, regions=units
     )
-    affected = affected_subscriptions(deliveries)
-    assert affected.columns[: len(SHIFT_KEY)] == SHIFT_KEY
-    return shift_impact(in_scope, options, affected, min_week)
+    return shift_impact(in_scope, options, affected_subscriptions(deliveries), min_week)

@@ -15,7 +15,7 @@ from shiftlab.operators.cohorts import (
 )
 from shiftlab.operators.orders import latest_customer, order_rates, typed_order_lines
 from shiftlab.operators.panel import holiday_week_statuses, member_statuses
-from shiftlab.operators.scale import staged
+from shiftlab.operators.scale import dimension, only_if_fits, staged
 from shiftlab.operators.shifts import active_shifts
 from shiftlab.operators.subscriptions import (
     SUBSCRIPTION,
@@ -51,19 +51,20 @@ def order_cohorts(
     Deleted shifts count here, one-off changes move the date but not the time, and shifts match
     on zone and planned time only.
     """
+    calendar, entities = dimension(tables["calendar"]), dimension(tables["entities"])
     active = active_shifts(tables["shifts"], study.units, study.holiday, drop_deleted=False)
     base = first_snapshot(
         tables["snapshots"], study.units, study.import_range, study.delivery_range
     )
     one_offs = one_off_changes(
         tables["changes"],
-        tables["calendar"],
+        calendar,
         study.units,
         study.min_week,
         dedupe=False,
-        weeks=weeks_between(tables["calendar"], study.delivery_range),
+        weeks=weeks_between(calendar, study.delivery_range),
     )
-    zoned = with_extended_zone(with_week(base, tables["calendar"]), tables["entities"])
+    zoned = with_extended_zone(with_week(base, calendar), entities)
     matched = match_shifts(
         override_dates(zoned, one_offs), active, by_date=False, time="delivery_time"
     )
@@ -83,17 +84,18 @@ def holiday_order_rates(
     panel and the order lines are each read once for the rates.
     """
     members = staged(cohort_members(order_cohorts(tables, study, letters)), "order-members")
+    known = only_if_fits(members)
     statuses = holiday_week_statuses(
         tables["snapshots"], study.units, study.panel_range, study.start
     )
     customers = latest_customer(
-        tables["order_lines"], study.units, study.customer_weeks, known=members
+        tables["order_lines"], study.units, study.customer_weeks, known=known
     )
     panel = staged(
-        member_statuses(statuses, members).join(customers, SUBSCRIPTION, "left"), "order-panel"
+        member_statuses(statuses, members, known).join(customers, SUBSCRIPTION, "left"), "order-panel"
     )
     lines = typed_order_lines(
-        tables["order_lines"], study.units, study.order_weeks, study.item_type, known=members
+        tables["order_lines"], study.units, study.order_weeks, study.item_type, known=known
     )
     by = ["country"] if by_country else []
     rates = order_rates(panel, lines, study.ranges, by)

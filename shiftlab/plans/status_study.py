@@ -6,7 +6,6 @@ from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shiftlab.operators.cohorts import (
     OPTION_LETTERS,
@@ -24,7 +23,7 @@ from shiftlab.operators.rates import (
     status_rates,
     status_rates_by_flag,
 )
-from shiftlab.operators.scale import staged
+from shiftlab.operators.scale import dimension, only_if_fits, staged
 from shiftlab.operators.shifts import active_shifts, with_publication_start
 from shiftlab.operators.subscriptions import (
     apply_overrides,
@@ -92,14 +91,20 @@ def holiday_status_rates(
     """
     active = active_shifts(tables["shifts"], study.units, study.holiday)
     subscriptions = holiday_subscriptions(
-        tables["snapshots"], tables["changes"], tables["calendar"], study, min_zone_length, fix_nl
+        tables["snapshots"],
+        tables["changes"],
+        dimension(tables["calendar"]),
+        study,
+        min_zone_length,
+        fix_nl,
     )
     labelled = assign_cohort(match_shifts(subscriptions, active), study.holiday, letters)
     members = staged(cohort_members(labelled), "cohort-members")
     statuses = holiday_week_statuses(
         tables["status_snapshots"], study.units, study.panel_range, study.start
     )
-    rates = status_rates(daily_counts(member_days(statuses, members)), letters, shown)
+    days = member_days(statuses, members, known=only_if_fits(members))
+    rates = status_rates(daily_counts(days), letters, shown)
     return with_publication_start(rates, active).orderBy("Date", "Status")
 
 
@@ -126,14 +131,14 @@ def holiday_status_rates_by_option(
     active = active_shifts(tables["shifts"], study.units, study.holiday)
     options = delivery_options(
         tables["options"],
-        tables["entities"],
+        dimension(tables["entities"]),
         min_import,
         entity_countries=study.units if entity_countries is None else entity_countries,
         with_slot=True,
     )
     flagged = option_change_flags(active.drop("published_date").distinct(), options, normalise_slots)
     subscriptions = holiday_subscriptions(
-        tables["snapshots"], tables["changes"], tables["calendar"], study, fix_nl=fix_nl
+        tables["snapshots"], tables["changes"], dimension(tables["calendar"]), study, fix_nl=fix_nl
     )
     labelled = assign_cohort(
         match_shifts(subscriptions, flagged, keep=[flag]), study.holiday, letters
@@ -142,6 +147,7 @@ def holiday_status_rates_by_option(
     daily = holiday_week_statuses(
         tables["status_snapshots"], study.units, study.panel_range, study.start
     )
-    counts = daily_counts(member_days(daily, members), FLAG_VALUES)
+    days = member_days(daily, members, known=only_if_fits(members))
+    counts = daily_counts(days, FLAG_VALUES)
     rates = status_rates_by_flag(counts, letters, shown, null_is_true, statuses)
     return with_publication_start(rates, active).orderBy("Date", "Status")
