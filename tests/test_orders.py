@@ -1,0 +1,140 @@
+import random
+from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
+
+from shiftlab.operators.orders import (
+    cohort_orders,
+    latest_customer,
+    order_rate_deltas,
+    order_rates,
+    typed_order_lines,
+)
+from tests.helpers import rows, table
+
+RANGES = {"pre": ("2024-W01", "2024-W02"), "post": ("2024-W03", "2024-W05")}
+PANEL = (
+    "country string, fk_subscription long, cohort string, status string, customer_uuid string"
+)
+LINES = "country string, fk_subscription long, order_line_items_id long, delivery_week string"
+
+
+def half_up(above, below):
+    exact = Decimal(above) / Decimal(below)
+    return float(exact.quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+
+
+def expected(panel, lines):
+    ordered = defaultdict(list)
+    for country, sub, line, week in lines:
+        ordered[country, sub].append((line, week))
+    groups = defaultdict(list)
+    for country, sub, cohort, status, customer in panel:
+        groups[cohort, status] += [(customer, *o) for o in ordered[country, sub]]
+    result = []
+    for group, found in groups.items():
+        rates = []
+        for low, high in RANGES.values():
+            inside = [f for f in found if low <= f[2] <= high]
+            people = {f[0] for f in inside} - {None}
+            rates.append(half_up(len({f[1] for f in inside}), len(people)) if people else None)
+        result.append((*group, len({f[0] for f in found} - {None}), *rates))
+    return sorted(result, key=lambda r: [(v is not None, str(v)) for v in r])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rates_equal_the_definition(spark, seed):
+    rng = random.Random(seed)
+    customers = {sub: rng.choice([None, "x", "y", f"c{sub}"]) for sub in range(20)}
+    panel = sorted(
+        {
+            ("GB", sub, rng.choice(["A", "B", None]), rng.choice(["running", "paused", "Other"]))
+            for sub in range(20)
+            for _ in range(rng.choice([1, 2, 3]))
+        },
+        key=str,
+    )
+    panel = [(*p, customers[p[1]]) for p in panel]
+    lines = [
+        ("GB", rng.randrange(24), rng.randrange(60), f"2024-W0{rng.randrange(1, 8)}")
+        for _ in range(150)
+    ]
+    got = order_rates(spark.createDataFrame(panel, PANEL), spark.createDataFrame(lines, LINES), RANGES)
+    assert rows(got) == expected(panel, lines)
+
+
+def test_group_without_orders_and_rate_without_customers(spark):
+    panel = spark.createDataFrame(
+        [("GB", 1, "A", "running", "c1"), ("GB", 2, "B", "paused", None), ("GB", 3, "B", None, "c3")],
+        PANEL,
+    )
+    lines = spark.createDataFrame([("GB", 1, 7, "2024-W01"), ("GB", 2, 8, "2024-W01")], LINES)
+    assert rows(order_rates(panel, lines, RANGES)) == [
+        ("A", "running", 1, 1.0, None),
+        ("B", None, 0, None, None),
+        ("B", "paused", 0, None, None),
+    ]
+
+
+def test_grouping_by_country(spark):
+    panel = spark.createDataFrame(
+        [("GB", 1, "A", "running", "c1"), ("FR", 1, "A", "running", "c1")], PANEL
+    )
+    lines = spark.createDataFrame(
+        [("GB", 1, n, "2024-W01") for n in range(3)] + [("FR", 1, 9, "2024-W03")], LINES
+    )
+    assert rows(order_rates(panel, lines, RANGES, by=["country"])) == [
+        ("FR", "A", "running", 1, None, 1.0),
+        ("GB", "A", "running", 1, 3.0, None),
+    ]
+
+
+def line(sub, customer, day, number, week="2024-W01", unit="GB", kind="Mealboxes"):
+    return {
+        "subscription_id": sub,
+        "customer_uuid": customer,
+        "create_date": day,
+        "order_line_items_id": number,
+        "entity_code": unit,
+        "delivery_week": week,
+        "order_item_type": kind,
+    }
+
+
+def test_customers_and_lines(spark):
+    df = table(
+        spark,
+        "order_lines",
+        [
+            line(1, "old", "2024-01-01", 1),
+            line(1, "new", "2024-01-02", 2, kind="Addons"),
+            line(1, "newest", "2024-01-03", 3, week="2024-W50"),
+            line(2, "z", "2024-01-02", 4),
+            line(2, "b", "2024-01-02", 4),
+            line(3, "c", "2024-01-02", 5, unit="FR"),
+        ],
+    )
+    weeks = ("2024-W01", "2024-W10")
+    customers = latest_customer(df, ["GB"], weeks)
+    assert rows(customers, "fk_subscription", "customer_uuid") == [(1, "new"), (2, "b")]
+    lines = typed_order_lines(df, ["GB"], weeks, "Mealboxes")
+    assert rows(lines, "order_line_items_id") == [(1,), (4,), (4,)]
+    members = spark.createDataFrame(
+        [("GB", 1), ("GB", 2), ("GB", 9)], "country string, fk_subscription long"
+    )
+    known = latest_customer(df, ["GB"], weeks, known=members.limit(1))
+    assert rows(known, "fk_subscription") == [(1,)]
+    orders = cohort_orders(members, customers, df, ["GB"], weeks, "Mealboxes")
+    assert rows(orders, "fk_subscription", "customer_uuid", "order_line_items_id") == [
+        (1, "new", 1),
+        (2, "b", 4),
+    ]
+
+
+def test_deltas(spark):
+    df = spark.createDataFrame(
+        [(5.62, 3.14, 3.00, 5.35), (None, 1.0, 2.0, 1.0)],
+        "Pre_10W double, Pre_5W double, Post_5W double, Post_10W double",
+    )
+    assert rows(order_rate_deltas(df), "Delta_5W", "Delta_10W") == [(-1.0, None), (0.14, 0.27)]

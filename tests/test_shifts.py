@@ -1,0 +1,90 @@
+from shiftlab.operators.cohorts import published_dates, shift_coverage
+from shiftlab.operators.shifts import (
+    active_shifts,
+    publication_start,
+    shift_registry,
+    with_publication_start,
+)
+from tests.helpers import calendar, rows, table
+
+
+def shift(**change):
+    row = {
+        "business_unit": "GB",
+        "shift_id": "s1",
+        "postal_code": "M1",
+        "origin_option_handle": "a",
+        "target_option_handle": "b",
+        "origin_date": "2024-01-29",
+        "target_date": "2024-01-30",
+        "visible_to_customer": True,
+        "fk_imported_at": "20240103T0600",
+        "published_time": "2024-01-03T08:00:00",
+        "meta": ("u",),
+    }
+    return {**row, **change}
+
+
+def test_soft_deleted_and_unmarked_rows_drop_out(spark):
+    df = table(
+        spark,
+        "shifts",
+        [
+            shift(),
+            shift(),
+            shift(postal_code="M2", meta=("d",)),
+            shift(postal_code="M3", meta=(None,)),
+            shift(postal_code="M4", business_unit="FR"),
+            shift(postal_code="M5", origin_date="2024-01-30"),
+        ],
+    )
+    live = active_shifts(df, ["GB"], "2024-01-29")
+    assert rows(live, "postal_code", "published_date") == [("M1", "20240103")]
+    everything = active_shifts(df, ["GB"], "2024-01-29", drop_deleted=False)
+    assert rows(everything, "postal_code") == [("M1",), ("M2",), ("M3",)]
+
+
+def test_publication_start_is_a_scalar_even_without_shifts(spark):
+    df = table(
+        spark, "shifts", [shift(), shift(postal_code="M2", published_time="2024-01-02T23:00:00")]
+    )
+    live = active_shifts(df, ["GB"], "2024-01-29")
+    assert rows(publication_start(live)) == [("20240102",)]
+    assert rows(published_dates(live)) == [("20240102",), ("20240103",)]
+    ids = spark.range(2)
+    assert rows(with_publication_start(ids, live)) == [(0, "20240102"), (1, "20240102")]
+    none = active_shifts(df, ["GB"], "2030-01-01")
+    assert rows(with_publication_start(ids, none)) == [(0, None), (1, None)]
+
+
+def test_registry_keeps_first_publication_per_shift(spark):
+    df = table(
+        spark,
+        "shifts",
+        [
+            shift(published_time="2024-01-05T00:00:00"),
+            shift(),
+            shift(shift_id="s2", business_unit="XX"),
+            shift(shift_id="s3", origin_date="2023-12-25"),
+            shift(shift_id="s4", origin_date="2025-01-01"),
+        ],
+    )
+    entities = table(
+        spark,
+        "entities",
+        [
+            {"country_group": "UK", "country": "England", "entity_code": "GB"},
+            {"country_group": "UK", "country": "Wales", "entity_code": "GB"},
+        ],
+    )
+    registry = shift_registry(df, entities, calendar(spark), ["GB", "XX"], "2024")
+    assert rows(registry, "shift_id", "market", "country", "delivery_week", "published_date") == [
+        ("s1", "UK", "GB", "2024-W05", "20240103"),
+        ("s2", None, None, "2024-W05", "20240103"),
+        ("s4", "UK", "GB", None, "20240103"),
+    ]
+
+
+def test_coverage_counts_postcodes_once(spark):
+    df = table(spark, "shifts", [shift(), shift(shift_id="s2"), shift(postal_code="M2")])
+    assert rows(shift_coverage(df)) == [("2024-01-29", 2)]

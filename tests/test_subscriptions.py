@@ -1,0 +1,150 @@
+from shiftlab.operators.subscriptions import (
+    apply_overrides,
+    delivery_dates,
+    first_snapshot,
+    one_off_changes,
+    override_dates,
+    snapshot_dates,
+    weeks_between,
+    with_simple_zone,
+    with_week,
+)
+from tests.helpers import calendar, rows, table
+
+
+def snap(sub, day, planned="2024-01-29", time="a", code="M11 1AA", country="GB"):
+    return {
+        "country": country,
+        "fk_subscription": sub,
+        "fk_imported_at_date": day,
+        "delivery_wk_4": planned,
+        "delivery_time": time,
+        "zip": code,
+    }
+
+
+def change(sub, weekday, time="b", week="2024-W05", unit="GB"):
+    return {
+        "business_unit": unit,
+        "fk_subscription": sub,
+        "delivery_weekday": weekday,
+        "delivery_time": time,
+        "week_id": week,
+    }
+
+
+WINDOW = ((20240101, 20240107), ("2024-01-29", "2024-02-02"))
+
+
+def test_first_snapshot_is_earliest_and_ties_are_settled(spark):
+    df = table(
+        spark,
+        "snapshots",
+        [
+            snap(1, 20240103),
+            snap(1, 20240102, "2024-01-31"),
+            snap(1, 20231231),
+            snap(2, 20240102, "2024-01-30", "z"),
+            snap(2, 20240102, "2024-01-30", "b"),
+            snap(3, 20240102, "2024-02-09"),
+            snap(4, 20240102, None),
+            snap(5, 20240102, country="FR"),
+        ],
+    )
+    first = first_snapshot(df, ["GB"], *WINDOW)
+    assert rows(first, "fk_subscription", "delivery_wk_4", "delivery_time") == [
+        (1, "2024-01-31", "a"),
+        (2, "2024-01-30", "b"),
+    ]
+    assert rows(snapshot_dates(df, ["GB"], "2024-01-29")) == [(20231231,), (20240103,)]
+    assert rows(delivery_dates(df, ["GB"], (20240102, 20240102))) == [
+        (None,),
+        ("2024-01-30",),
+        ("2024-01-31",),
+        ("2024-02-09",),
+    ]
+
+
+def test_short_zone_drops_the_subscription_not_the_snapshot(spark):
+    df = table(spark, "snapshots", [snap(1, 20240101, code="M1 1AA"), snap(1, 20240102)])
+    first = first_snapshot(df, ["GB"], *WINDOW)
+    assert rows(with_simple_zone(first, 3)) == []
+    assert rows(with_simple_zone(first), "zone") == [("M1",)]
+
+
+def test_weekdays_become_dates(spark):
+    df = table(
+        spark,
+        "changes",
+        [
+            change(1, 1),
+            change(2, 7),
+            change(3, 2, week="2030-W01"),
+            change(4, 1, time=None),
+            change(5, 1, week="2023-W52"),
+            change(6, 1, unit="FR"),
+            change(1, 1),
+        ],
+    )
+    dated = one_off_changes(df, calendar(spark), ["GB"], "2024-W01")
+    expected = [
+        (1, "2024-01-29", "Monday"),
+        (2, "2024-02-04", "Sunday"),
+        (3, None, None),
+    ]
+    assert rows(dated, "fk_subscription", "changed_delivery_date", "day_name") == expected
+    repeated = one_off_changes(df, calendar(spark), ["GB"], "2024-W01", dedupe=False)
+    assert repeated.count() == 4
+    weeks = weeks_between(calendar(spark), ("2024-01-29", "2024-02-04"))
+    limited = one_off_changes(df, calendar(spark), ["GB"], "2024-W01", weeks=weeks)
+    assert rows(limited, "fk_subscription") == [(1,), (2,)]
+
+
+def test_overrides(spark):
+    days = calendar(spark)
+    base = first_snapshot(
+        table(spark, "snapshots", [snap(n, 20240101) for n in range(1, 6)]), ["GB"], *WINDOW
+    )
+    changes = one_off_changes(
+        table(
+            spark,
+            "changes",
+            [
+                change(1, 1, "b"),
+                change(2, 3, "a"),
+                change(3, 2, "b"),
+                change(3, 4, "c"),
+                change(4, 2, "b", week="2024-W06"),
+                change(1, 1, "b"),
+            ],
+        ),
+        days,
+        ["GB"],
+        "2024-W01",
+        dedupe=False,
+    )
+    moved = apply_overrides(with_week(base, days), changes)
+    assert rows(moved, "fk_subscription", "updated_delivery_time", "updated_delivery_date") == [
+        (1, "b", "2024-01-29"),
+        (2, "a", "2024-01-31"),
+        (3, "b", "2024-01-30"),
+        (3, "c", "2024-02-01"),
+        (4, "a", "2024-01-29"),
+        (5, "a", "2024-01-29"),
+    ]
+    redated = override_dates(with_week(base, days), changes)
+    assert rows(redated, "fk_subscription", "delivery_time", "updated_delivery_date") == [
+        (1, "a", "2024-01-29"),
+        (2, "a", "2024-01-31"),
+        (3, "a", "2024-01-30"),
+        (4, "a", "2024-01-29"),
+        (5, "a", "2024-01-29"),
+    ]
+
+
+def test_change_without_calendar_date_still_changes_the_time(spark):
+    days = calendar(spark, days=29)  # ends on Monday 2024-01-29
+    base = first_snapshot(table(spark, "snapshots", [snap(1, 20240101)]), ["GB"], *WINDOW)
+    changes = one_off_changes(table(spark, "changes", [change(1, 5)]), days, ["GB"], "2024-W01")
+    moved = apply_overrides(with_week(base, days), changes)
+    assert rows(moved, "updated_delivery_time", "updated_delivery_date") == [("b", "2024-01-29")]
