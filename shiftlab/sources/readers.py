@@ -20,18 +20,21 @@ def read_source(
     """A source table with the columns the operators expect, and no others.
 
     ``location`` is a catalog name for ``fmt="table"``, else a path. ``columns`` maps expected
-    names to the names (or dotted field paths) the warehouse uses. Types are cast only where they
-    differ, so filters still reach the scan.
+    names to the warehouse's own names or to SQL expressions over them. Types are cast only where
+    they differ, so filters on matching columns still reach the scan.
     """
     raw = spark.table(location) if fmt == "table" else spark.read.format(fmt).load(location)
     columns = columns or {}
-    selected = []
-    for field in SCHEMAS[name]:
-        column = F.col(columns.get(field.name, field.name))
-        if raw.select(column).schema[0].dataType != field.dataType:
-            column = column.cast(field.dataType)
-        selected.append(column.alias(field.name))
-    return raw.select(*selected)
+    expected = SCHEMAS[name]
+    named = raw.select(
+        *[F.expr(columns.get(f.name, f"`{f.name}`")).alias(f.name) for f in expected]
+    )
+    casts = {
+        f.name: F.col(f.name).cast(f.dataType)
+        for f, given in zip(expected, named.schema, strict=True)
+        if given.dataType != f.dataType
+    }
+    return named.withColumns(casts) if casts else named
 
 
 def read_sources(
