@@ -27,10 +27,7 @@ RAW_SCHEMAS = {
     "events": "ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
 }
 
-_WEEK = (
-    "concat(date_format(date_add({day}, 3 - weekday({day})), 'yyyy'), '-W', "
-    "lpad(string(weekofyear({day})), 2, '0'))"
-)
+_WEEK = "concat(extract(YEAROFWEEK FROM {day}), '-W', lpad(string(weekofyear({day})), 2, '0'))"
 _ZIP = """CASE {unit}
     WHEN 'GB' THEN concat('M', if({sub} % 10 >= 5, '1', ''), {sub} % 10, ' 1AA')
     WHEN 'IE' THEN concat('D0', {sub} % 10, 'X285')
@@ -57,7 +54,7 @@ FROM {events} JOIN {units} ON user_id = fk_subscription"""
 
 SNAPSHOTS = f"""
 SELECT unit AS country, sub AS fk_subscription,
-       int(date_format(day, 'yyyyMMdd')) AS fk_imported_at_date,
+       year(day) * 10000 + month(day) * 100 + dayofmonth(day) AS fk_imported_at_date,
        string(date_add(date_sub(day, weekday(day)), int(28 + sub % 3))) AS delivery_wk_4,
        concat('D-', sub % 2, '-0800-1200') AS delivery_time,
        {_ZIP.format(unit="unit", sub="sub")} AS zip,
@@ -120,25 +117,26 @@ WHERE NOT (region_code = 'NL' AND slot = 1)
 GROUP BY region_code, day, slot, fk_imported_at"""
 
 ORDER_LINES = f"""
-SELECT o_custkey AS subscription_id,
-       concat('C', if(o_orderkey % 3 = 0, o_custkey, o_custkey - o_custkey % 2)) AS customer_uuid,
-       date_format(o_orderdate, 'yyyy-MM-dd') AS create_date,
-       o_orderkey * 10 + l_linenumber AS order_line_items_id,
-       country AS entity_code,
-       {_WEEK.format(day="date_add(DATE'2023-10-30', int(o_orderkey % 160))")} AS delivery_week,
-       if(l_returnflag = 'R', 'Addons', 'Mealboxes') AS order_item_type
-FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey JOIN {{units}} ON o_custkey = fk_subscription"""
+SELECT subscription_id, customer_uuid, create_date, o_orderkey * 10 + l_linenumber AS order_line_items_id,
+       entity_code, delivery_week, if(l_returnflag = 'R', 'Addons', 'Mealboxes') AS order_item_type
+FROM (SELECT o_orderkey, o_custkey AS subscription_id, country AS entity_code,
+             concat('C', if(o_orderkey % 3 = 0, o_custkey, o_custkey - o_custkey % 2)) AS customer_uuid,
+             string(to_date(o_orderdate)) AS create_date,
+             {_WEEK.format(day="date_add(DATE'2023-10-30', int(o_orderkey % 160))")} AS delivery_week
+      FROM {{orders}} JOIN {{units}} ON o_custkey = fk_subscription)
+JOIN {{lineitem}} ON o_orderkey = l_orderkey"""
 
 ORDER_ITEMS = f"""
-SELECT country AS region_code,
-       {_ZIP.format(unit="country", sub="o_custkey")} AS postal_code,
-       o_custkey AS subscription_nk,
-       concat('D-', o_custkey % 2, '-0800-1200') AS delivery_option_handle,
-       {_WEEK.format(day="date_add(DATE'2024-01-29', int(o_orderkey % 28))")} AS delivery_week,
+SELECT region_code, postal_code, subscription_nk, delivery_option_handle, delivery_week,
        CASE WHEN l_quantity <= 45 THEN l_linestatus = 'F' END AS is_delivered,
        l_returnflag <> 'R' AS is_mealbox,
        struct(CASE WHEN l_tax >= 0.07D THEN 'd' WHEN l_discount >= 0.09D THEN NULL ELSE 'u' END AS operation) AS meta
-FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey JOIN {{units}} ON o_custkey = fk_subscription"""
+FROM (SELECT o_orderkey, o_custkey AS subscription_nk, country AS region_code,
+             {_ZIP.format(unit="country", sub="o_custkey")} AS postal_code,
+             concat('D-', o_custkey % 2, '-0800-1200') AS delivery_option_handle,
+             {_WEEK.format(day="date_add(DATE'2024-01-29', int(o_orderkey % 28))")} AS delivery_week
+      FROM {{orders}} JOIN {{units}} ON o_custkey = fk_subscription)
+JOIN {{lineitem}} ON o_orderkey = l_orderkey"""
 
 COMPARISON = """
 SELECT o_orderkey AS ordinal, n_name AS Country,
