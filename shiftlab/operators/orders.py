@@ -87,44 +87,41 @@ def order_rates(
 
     ``panel`` has distinct (subscription, cohort, status) rows with the subscription's customer;
     a member counts under every status held. Lines and customers are stacked into one stream of
-    ids, each reduced to one row per (cohort, status, id) with a mark per range, so that one
+    ids, each reduced to one row per (cohort, status, id) with one bit per range, so that one
     two-step aggregate with partial sums replaces a distinct count per range and id. The panel's
     own groups join the stream without ids, which keeps groups that never ordered.
     """
     group = [*by, "cohort", "status"]
-    marks = [
-        F.col("delivery_week").between(*weeks).alias(name) for name, weeks in ranges.items()
-    ]
-    nothing = F.lit(None)
-    line_type = lines.schema["order_line_items_id"].dataType
-    customer_type = panel.schema["customer_uuid"].dataType
+    marks = {name: 1 << place for place, name in enumerate(ranges)}
+    mark = sum(
+        (
+            F.when(F.col("delivery_week").between(*ranges[name]), bit).otherwise(0)
+            for name, bit in marks.items()
+        ),
+        F.lit(0),
+    )
+    no_line = F.lit(None).cast(lines.schema["order_line_items_id"].dataType)
+    no_customer = F.lit(None).cast(panel.schema["customer_uuid"].dataType)
     ids = F.inline(
         F.array(
-            F.struct(
-                F.col("order_line_items_id").alias("line"),
-                nothing.cast(customer_type).alias("customer"),
-            ),
-            F.struct(
-                nothing.cast(line_type).alias("line"), F.col("customer_uuid").alias("customer")
-            ),
+            F.struct(F.col("order_line_items_id").alias("line"), no_customer.alias("customer")),
+            F.struct(no_line.alias("line"), F.col("customer_uuid").alias("customer")),
         )
     )
-    ordered = panel.join(lines, SUBSCRIPTION).select(*group, *marks, ids)
+    ordered = panel.join(lines, SUBSCRIPTION).select(*group, mark.alias("marks"), ids)
     groups = panel.select(
-        *group,
-        *[F.lit(False).alias(name) for name in ranges],
-        nothing.cast(line_type).alias("line"),
-        nothing.cast(customer_type).alias("customer"),
+        *group, F.lit(0).alias("marks"), no_line.alias("line"), no_customer.alias("customer")
     )
     per_id = (
         ordered.unionByName(groups)
         .groupBy(*group, "line", "customer")
-        .agg(*[F.max(name).alias(name) for name in ranges])
+        .agg(F.bit_or("marks").alias("marks"))
     )
 
     def rate(name: str):
-        placed = F.count_if(F.col(name) & F.col("line").isNotNull())
-        ordering = F.count_if(F.col(name) & F.col("customer").isNotNull())
+        inside = F.col("marks").bitwiseAND(marks[name]) != 0
+        placed = F.count_if(inside & F.col("line").isNotNull())
+        ordering = F.count_if(inside & F.col("customer").isNotNull())
         return F.round(F.try_divide(placed, ordering), 2).alias(name)
 
     return per_id.groupBy(*group).agg(

@@ -78,19 +78,16 @@ def cohort_totals(panel: DataFrame) -> DataFrame:
 def member_days(
     statuses: DataFrame, members: DataFrame, known: DataFrame | None = None
 ) -> DataFrame:
-    """One row per member, cohort and day, with the set of statuses seen that day.
+    """Statuses of the members with their cohort columns, for every day of the panel.
 
     Stands for panel, status and cohort join together: the panel's days are the days of the
     snapshots themselves, so members x days joined to snapshots is just the members' snapshots.
-    ``known`` (the members, if they fit a broadcast) drops other subscriptions before the shuffle.
-    Duplicates collapse before the shuffle either way, and a subscription's days spread over tasks.
+    With ``known`` (the members, if they fit a broadcast) nothing is shuffled; without it
+    duplicates collapse before the join shuffles them. Rows may repeat.
     """
-    per_day = (
-        keep_known(statuses, known, SUBSCRIPTION)
-        .groupBy(*SUBSCRIPTION, "fk_imported_at_date")
-        .agg(F.collect_set(F.struct("status")).alias("statuses"))
-    )
-    return per_day.join(members if known is None else known, SUBSCRIPTION)
+    if known is not None:
+        return statuses.join(known, SUBSCRIPTION)
+    return statuses.distinct().join(members, SUBSCRIPTION)
 
 
 def member_statuses(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlab.operators.cohorts import cohort_name
+from shiftlab.operators.subscriptions import SUBSCRIPTION
 
 FLAG_VALUES = ("flag_true", "flag_false", "flag_null")
 
@@ -15,23 +16,28 @@ FLAG_VALUES = ("flag_true", "flag_false", "flag_null")
 def daily_counts(days: DataFrame, flags: Sequence[str] = ()) -> DataFrame:
     """Members per (day, status, cohort), and the cohort's size that day.
 
-    ``days`` has one row per member, cohort and day, so plain counts are distinct counts. The
-    first status of each row also counts towards the cohort's size: a member with two statuses on
-    a day is one member. Everything past this aggregate is days x statuses x cohorts rows.
+    Each row of ``days`` (see ``member_days``) counts at two levels, its status and the whole
+    cohort: a member with two statuses on a day is one member. Both levels are made distinct in
+    one hash aggregate that combines before its shuffle; everything past it is days x statuses x
+    cohorts rows. Flags belong to (subscription, cohort) and so add no rows.
     """
-    seen = days.select(
-        "fk_imported_at_date",
-        "cohort",
-        *flags,
-        F.posexplode("statuses").alias("place", "seen"),
+    day_cohort = ["fk_imported_at_date", "cohort"]
+    levels = F.inline(
+        F.array(
+            F.struct(F.col("status"), F.lit(False).alias("whole")),
+            F.struct(F.lit(None).cast("string").alias("status"), F.lit(True).alias("whole")),
+        )
     )
-    counts = seen.groupBy("fk_imported_at_date", "cohort", F.col("seen.status").alias("status")).agg(
-        F.count("*").alias("members"),
-        F.count_if(F.col("place") == 0).alias("first_seen"),
-        *[F.count_if(flag).alias(flag) for flag in flags],
+    counts = (
+        days.select(*day_cohort, *SUBSCRIPTION, *flags, levels)
+        .distinct()
+        .groupBy(*day_cohort, "status", "whole")
+        .agg(
+            F.count("*").alias("members"), *[F.count_if(flag).alias(flag) for flag in flags]
+        )
     )
-    cohort_day = Window.partitionBy("fk_imported_at_date", "cohort")
-    return counts.withColumn("total_subs", F.sum("first_seen").over(cohort_day)).drop("first_seen")
+    size = F.max(F.when(F.col("whole"), F.col("members"))).over(Window.partitionBy(*day_cohort))
+    return counts.withColumn("total_subs", size).filter(~F.col("whole")).drop("whole")
 
 
 def _wide(counts: DataFrame, shares: Mapping[str, tuple[str, str]]) -> DataFrame:

@@ -77,9 +77,9 @@ def test_daily_rates_shuffle_the_snapshots_once(spark, stored):
     )
     counts = daily_counts(member_days(daily, members, only_if_fits(members)))
     text = formatted_plan(counts)
-    assert "Expand" not in text and "Cartesian" not in text and "NestedLoop" not in text
-    assert text.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in text
-    # subscription and day; then the small cohort counts twice
+    assert "ObjectHash" not in text and "SortAggregate" not in text and "Cartesian" not in text and "NestedLoop" not in text
+    assert text.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in text
+    # distinct members per day; then the small cohort counts twice
     assert exchanges(counts) == 3
     assert "delivery_time" not in scan(counts, "status_wk_4")
 
