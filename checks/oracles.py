@@ -227,7 +227,7 @@ def _status_rates(letters: str, zone_filter: str) -> str:
     return with_views({**STEPS, **steps}, _wide_rates(columns, "r_attached", "r_totals"), None)
 
 
-def _flag_rates(flag: str, null_is_true: str) -> str:
+def _flag_rates(flag: str, null_is_true: str, statuses: tuple[str, ...]) -> str:
     steps = {
         "r_members": f"SELECT DISTINCT country, fk_subscription, cohort, {flag} AS flag FROM s_option_labelled",
         "r_attached": f"""
@@ -237,6 +237,7 @@ def _flag_rates(flag: str, null_is_true: str) -> str:
         "r_totals": """
     SELECT fk_imported_at_date, cohort, count(DISTINCT fk_subscription) AS total_subs FROM r_attached GROUP BY ALL""",
     }
+    wanted = ", ".join(f"'{s}'" for s in statuses)
     columns = {}
     for days, letter in STATUS_LETTERS.items():
         own = f"a.cohort = '{cohort_name(letter, days)}'"
@@ -245,7 +246,7 @@ def _flag_rates(flag: str, null_is_true: str) -> str:
         columns[f"Cohort_{letter}_FALSE"] = f"{own} AND NOT a.flag"
     return with_views(
         {**STEPS, **steps},
-        _wide_rates(columns, "r_attached", "r_totals", "WHERE status = 'paused'"),
+        _wide_rates(columns, "r_attached", "r_totals", f"WHERE status IN ({wanted})"),
         None,
     )
 
@@ -421,8 +422,14 @@ _SELECTS = {
     "control_report": _report("v_comparison", "country", "holiday", _LETTER, "ordinal"),
 }
 
+_SELECTS["option_change_flags_with_normalised_slots"] = (
+    _SELECTS["option_change_flags"]
+    .replace("coalesce(o1.delivery_time,", "coalesce(replace(o1.delivery_time, ':', ''),")
+    .replace("coalesce(o2.delivery_time,", "coalesce(replace(o2.delivery_time, ':', ''),")
+)
+
 ORACLES: dict[str, str] = {name: with_views(STEPS, sql) for name, sql in _SELECTS.items()}
 ORACLES["status_rates"] = _status_rates("ABCDE", "WHERE length(zone) > 2")
 ORACLES["status_rates_all_cohorts"] = _status_rates("ABCDEFG", "")
-for _name, (_flag, _nulls) in FLAG_VARIANTS.items():
-    ORACLES[f"status_rates_by_{_name}"] = _flag_rates(_flag, _nulls)
+for _name, _variant in FLAG_VARIANTS.items():
+    ORACLES[f"status_rates_by_{_name}"] = _flag_rates(*_variant)

@@ -54,14 +54,19 @@ ORDER_STUDY = plans.OrderStudy(
     customer_weeks=("2023-W47", "2024-W40"),
 )
 
-# Option flag variants: registered name -> (flag, cohorts whose unknown flag counts as TRUE).
+# Option flag variants: registered name -> (flag, cohorts whose unknown flag counts as TRUE, statuses).
 FLAG_VARIANTS = {
-    "packing_day": ("packing_day_shifted", "A"),
-    "packing_day_strict": ("packing_day_shifted", ""),
-    "cutoff_day": ("cutoff_day_shifted", ""),
-    "cutoff_value": ("cutoff_value_shifted", ""),
-    "delivery_time": ("delivery_time_shift", ""),
-    "surcharge": ("surcharge_shifted", ""),
+    "packing_day": ("packing_day_shifted", "A", ("paused",)),
+    "packing_day_strict": ("packing_day_shifted", "", ("paused",)),
+    "packing_day_in_every_status": (
+        "packing_day_shifted",
+        "A",
+        ("running", "cancelled", "paused"),
+    ),
+    "cutoff_day": ("cutoff_day_shifted", "", ("paused",)),
+    "cutoff_value": ("cutoff_value_shifted", "", ("paused",)),
+    "delivery_time": ("delivery_time_shift", "", ("paused",)),
+    "surcharge": ("surcharge_shifted", "", ("paused",)),
 }
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,6 +263,13 @@ def option_change_flags(t):
     return _flagged(t)
 
 
+@registered
+def option_change_flags_with_normalised_slots(t):
+    return options.option_change_flags(
+        _active(t).drop("published_date").distinct(), _options(t), normalise_slots=True
+    )
+
+
 @registered
 def cutoff_days(t):
     return (
@@ -383,22 +395,24 @@ def status_rates_all_cohorts(t):
     return plans.holiday_status_rates(t, STUDY, shown="ABCDEFG", min_zone_length=0)
 
 
-def _register_flag_variant(name: str, flag: str, null_is_true: str) -> None:
+def _register_flag_variant(
+    name: str, flag: str, null_is_true: str, statuses: tuple[str, ...]
+) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return plans.holiday_status_rates_by_option(
             DriverViews(spark, folder),
             STUDY,
             flag,
             null_is_true,
-            statuses=("paused",),
+            statuses=statuses,
             entity_countries=NATIONS,
         )
 
     QUERIES[f"status_rates_by_{name}"] = run
 
 
-for _name, (_flag, _nulls) in FLAG_VARIANTS.items():
-    _register_flag_variant(_name, _flag, _nulls)
+for _name, _variant in FLAG_VARIANTS.items():
+    _register_flag_variant(_name, *_variant)
 
 
 @registered

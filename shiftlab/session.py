@@ -8,8 +8,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # Staged tables carry exact sizes; lookups up to this size are worth a broadcast.
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
     # ISO dates and yyyyMMdd integers mean UTC days.
     "spark.sql.session.timeZone": "UTC",
     # Python call sites are not recorded for every column built.
