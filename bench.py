@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from checks.queries import QUERIES  # noqa: E402
+from shiftlab_checks.queries import QUERIES  # noqa: E402
 from shiftlab.session import configure  # noqa: E402
 
 HEADLINES = (

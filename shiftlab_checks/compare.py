@@ -10,8 +10,8 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import SparkSession
 
-from checks.oracles import ORACLES
-from checks.queries import QUERIES
+from shiftlab_checks.oracles import ORACLES
+from shiftlab_checks.queries import QUERIES
 
 
 def open_tables(folder: str) -> duckdb.DuckDBPyConnection:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from checks.duckdb_views import ZONE_1, ZONE_2, with_views
-from checks.queries import FLAG_VARIANTS, HOLIDAY, MIN_IMPORT, MIN_WEEK, ORDER_STUDY, STUDY, UNITS
+from shiftlab_checks.duckdb_views import ZONE_1, ZONE_2, with_views
+from shiftlab_checks.queries import FLAG_VARIANTS, HOLIDAY, MIN_IMPORT, MIN_WEEK, ORDER_STUDY, STUDY, UNITS
 from shiftlab.operators.cohorts import (
     OPTION_LETTERS,
     ORDER_LETTERS,

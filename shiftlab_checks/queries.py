@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.driver_views import DriverViews
+from shiftlab_checks.driver_views import DriverViews
 from shiftlab import plans
 from shiftlab.functions import cutoff_day, zone_extended, zone_simple
 from shiftlab.operators import (

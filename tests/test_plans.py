@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from checks.queries import QUERIES
+from shiftlab_checks.queries import QUERIES
 from shiftlab import plans
 from shiftlab.operators.orders import latest_customer, typed_order_lines
 from shiftlab.operators.panel import holiday_week_statuses, member_days

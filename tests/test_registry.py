@@ -2,9 +2,9 @@
 
 import pytest
 
-from checks.compare import compare, open_tables
-from checks.oracles import ORACLES
-from checks.queries import QUERIES
+from shiftlab_checks.compare import compare, open_tables
+from shiftlab_checks.oracles import ORACLES
+from shiftlab_checks.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -3,9 +3,10 @@
 import dataclasses
 
 import pytest
+from pyspark.sql import functions as F
 
-from checks.driver_views import DriverViews
-from checks.queries import NATIONS, ORDER_STUDY, STUDY, UNITS
+from shiftlab_checks.driver_views import DriverViews
+from shiftlab_checks.queries import NATIONS, ORDER_STUDY, STUDY, UNITS
 from shiftlab import plans
 from shiftlab.operators import scale
 from shiftlab.operators.compare import control_comparison
@@ -14,19 +15,21 @@ from tests.helpers import rows
 SMALL = "/root/testdata/sf0.001"
 
 
+def repeated(df, condition):
+    """``df`` with fifty more copies of the rows that meet the condition."""
+    copies = df.filter(condition).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    return df.union(copies.drop("copy"))
+
+
 class Skewed(dict):
     """Driver tables in which one subscription holds a large part of all rows."""
 
     def __init__(self, spark):
         views = DriverViews(spark, SMALL)
         super().__init__({name: views[name] for name in views})
-        hot = self["snapshots"].filter("fk_subscription = 6")
-        self["snapshots"] = self["snapshots"].union(hot.crossJoin(spark.range(50)).drop("id"))
+        self["snapshots"] = repeated(self["snapshots"], "fk_subscription = 6")
         self["status_snapshots"] = self["snapshots"]
-        lines = self["order_lines"].filter("subscription_id = 6")
-        self["order_lines"] = self["order_lines"].union(
-            lines.crossJoin(spark.range(50)).drop("id")
-        )
+        self["order_lines"] = repeated(self["order_lines"], "subscription_id = 6")
 
 
 JOBS = {
