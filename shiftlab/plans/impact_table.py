@@ -41,26 +41,35 @@ def shifted_deliveries(
 ) -> DataFrame:
     """Deliveries, after one-off changes, that one of the shifts moves, with their outcome.
 
-    The shifts decide early what is read. A one-off change stays within its week, so only plans
-    and changes of weeks that hold a shift in that country can land on a shifted date.
+    The shifts decide early what is read. A one-off change keeps the postcode and stays within its
+    week, so only plans whose zone has a shift in their week can land on a shifted date; changes
+    and outcomes are limited by country and week.
     """
     calendar = dimension(tables["calendar"])
     week_key = ["country", "delivery_week"]
     weeks = only_if_fits(shifts.select(*week_key).distinct(), DIMENSION_ROWS)
-    plans = with_week(planned_deliveries(tables["snapshots"], units, min_date), calendar)
-    plans = keep_known(plans, weeks, week_key).distinct()
+    zone_key = [*week_key, "zone"]
+    zones = shifts.select(*week_key, F.col("postal_code").alias("zone")).distinct()
+    zone_weeks = only_if_fits(zones, SHIFT_ROWS)
+    planned = with_extended_zone(
+        with_week(planned_deliveries(tables["snapshots"], units, min_date), calendar),
+        dimension(tables["entities"]),
+    )
+    if zone_weeks is None:
+        plans = keep_known(planned, weeks, week_key).distinct()
+    else:
+        plans = keep_known(planned, zone_weeks, zone_key).distinct()
     one_offs = one_off_changes(
         tables["changes"], calendar, units, min_week, dedupe=False, weeks=weeks
     )
     moved = apply_overrides(plans, one_offs)
-    zoned = with_extended_zone(moved, dimension(tables["entities"]))
     shift_key = shifts.select(
         "country",
         F.col("postal_code").alias("zone"),
         F.col("origin_option_handle").alias("updated_delivery_time"),
         F.col("origin_date").alias("updated_delivery_date"),
     ).distinct()
-    shifted = zoned.join(dimension(shift_key, SHIFT_ROWS), shift_key.columns, "left_semi")
+    shifted = moved.join(dimension(shift_key, SHIFT_ROWS), shift_key.columns, "left_semi")
     outcomes = delivery_outcomes(tables["order_items"], min_week, dedupe=False)
     outcomes = keep_known(outcomes, weeks, week_key).distinct()
     return shifted.join(outcomes, OUTCOME_KEY, "left")

@@ -91,3 +91,10 @@ def test_staged_tables_go_to_the_shared_folder(spark):
 def test_studies_are_values():
     other = dataclasses.replace(STUDY, units=("GB",))
     assert other.units == ("GB",) and other.holiday == STUDY.holiday
+
+
+def test_impact_table_with_too_many_shift_keys_to_broadcast(spark, monkeypatch):
+    views = DriverViews(spark, SMALL)
+    expected = rows(plans.shift_impact_table(views, UNITS))
+    monkeypatch.setattr(plans.impact_table, "SHIFT_ROWS", 0)
+    assert rows(plans.shift_impact_table(views, UNITS)) == expected
