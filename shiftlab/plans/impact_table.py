@@ -45,24 +45,22 @@ def shifted_deliveries(
     week, so only plans whose zone has a shift in their week can land on a shifted date; changes
     and outcomes are limited by country and week.
     """
-    calendar = dimension(tables["calendar"])
+    calendar, entities = dimension(tables["calendar"]), dimension(tables["entities"])
     week_key = ["country", "delivery_week"]
     weeks = only_if_fits(shifts.select(*week_key).distinct(), DIMENSION_ROWS)
     zone_key = [*week_key, "zone"]
     zones = shifts.select(*week_key, F.col("postal_code").alias("zone")).distinct()
     zone_weeks = only_if_fits(zones, SHIFT_ROWS)
-    planned = with_extended_zone(
-        with_week(planned_deliveries(tables["snapshots"], units, min_date), calendar),
-        dimension(tables["entities"]),
-    )
+    plans = with_week(planned_deliveries(tables["snapshots"], units, min_date), calendar)
     if zone_weeks is None:
-        plans = keep_known(planned, weeks, week_key).distinct()
+        plans = keep_known(plans, weeks, week_key)
     else:
-        plans = keep_known(planned, zone_weeks, zone_key).distinct()
+        zoned = keep_known(with_extended_zone(plans, entities), zone_weeks, zone_key)
+        plans = zoned.drop("zone")  # cheaper to derive again than to shuffle
     one_offs = one_off_changes(
         tables["changes"], calendar, units, min_week, dedupe=False, weeks=weeks
     )
-    moved = apply_overrides(plans, one_offs)
+    moved = with_extended_zone(apply_overrides(plans.distinct(), one_offs), entities)
     shift_key = shifts.select(
         "country",
         F.col("postal_code").alias("zone"),
