@@ -6,17 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftlab.llm import simhash
+from shiftlab.llm import language, packing, quality, simhash
 from shiftlab.llm.common import read_table
 
 ORACLES: dict[str, str] = {}
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    return quality.predict(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, learned outside the held-out fold."""
+    return language.predict(read_table(spark, folder, "documents"))
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces in training sequences of up to 2048 tokens."""
+    return packing.pack_documents(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
+    "op8_packing": op8_packing,
 }
