@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftlab.llm import language, packing, quality, simhash
+from shiftlab.llm import decontam, language, lines, packing, quality, simhash
 from shiftlab.llm.common import read_table
 
-ORACLES: dict[str, str] = {}
+# Queries without SQL here are tested against brute force, round trips or held-out accuracy.
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": lines.ORACLE,
+}
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,14 +30,26 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(read_table(spark, folder, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every dropped line of the documents with the earlier line that is kept."""
+    return lines.duplicate_lines(read_table(spark, folder, "documents")).drop("row")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces in training sequences of up to 2048 tokens."""
     return packing.pack_documents(read_table(spark, folder, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every place of a benchmark item in the documents."""
+    return decontam.contaminations(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op10_decontamination": op10_decontamination,
 }
