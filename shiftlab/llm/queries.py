@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftlab.llm import decontam, language, lines, packing, quality, simhash
+from shiftlab.llm import decontam, imatch, language, lines, packing, pii, quality, secrets, sharding, simhash
 from shiftlab.llm.common import read_table
 
 # Queries without SQL here are tested against brute force, round trips or held-out accuracy.
 ORACLES: dict[str, str] = {
+    "op1_sharding": sharding.ORACLE,
     "op7_line_dedup": lines.ORACLE,
 }
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard of every document, by the hash of its id, at most 1 MiB of text each."""
+    return sharding.shard_documents(read_table(spark, folder, "documents"))
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document, learned from the labels outside the held-out fold."""
     return quality.predict(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
@@ -30,6 +36,16 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(read_table(spark, folder, "documents"))
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, judged by how many owners hold them in the corpus."""
+    return secrets.scan(read_table(spark, folder, "documents"))
+
+
+def op6_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return imatch.edited_documents(read_table(spark, folder, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every dropped line of the documents with the earlier line that is kept."""
     return lines.duplicate_lines(read_table(spark, folder, "documents")).drop("row")
@@ -40,16 +56,25 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, folder, "documents"))
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms of the same format."""
+    return pii.pseudonymise(read_table(spark, folder, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every place of a benchmark item in the documents."""
     return decontam.contaminations(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op5_secrets": op5_secrets,
+    "op6_imatch": op6_imatch,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
 }
