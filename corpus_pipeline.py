@@ -1,4 +1,8 @@
-"""The corpus pipeline: filters and packs the documents table in stages of one operator each."""
+"""The corpus pipeline: documents to packed training sequences, one operator per stage.
+
+Every stage reads what its predecessor kept, written as Parquet in the shared folder, and all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +10,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftlab.llm import simhash
+from shiftlab.llm import decontam, language, lines, packing, simhash
 from shiftlab.llm.common import read_table, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts without a letter and unclear ones go."""
+    return language.keep_known(docs)
+
+
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier document or line has; those left without a line go."""
+    return lines.without_duplicate_lines(docs)
+
+
+def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id."""
     return simhash.one_of_each(docs)
 
 
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents' pieces in training sequences."""
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("near_duplicates", near_duplicates),
+    ("language", known_languages),
+    ("line_dedup", unique_lines),
+    ("near_duplicates", unique_documents),
+    ("decontamination", clean_documents),
+    ("packing", packed),
 ]
 
-# Fingerprints, networks and token ids are beyond SQL; tests hold the stages against brute force.
+# Networks, fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each stage's result is written and read again."""
+    """All stages over the documents of a folder."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
