@@ -287,14 +287,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents, all columns, that hold no place of a benchmark item."""
     context = docs.sparkSession.sparkContext
-    for items in blocks(benchmark, "item_id", "text"):
+
+    def free_of(items: list[tuple]):
         sent = context.broadcast(build_index(items))
 
-        def clean(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             index, table = sent.value, fold_table()
             for texts in batches:
                 yield pd.Series([not hits for hits in search(list(texts), index, table)], dtype=bool)
 
         clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        docs = docs.where(F.pandas_udf(clean, "boolean")(blank(text)))
-    return docs
+        return F.pandas_udf(clean, "boolean")(blank(text))
+
+    return reduce(lambda kept, items: kept.where(free_of(items)), blocks(benchmark, "item_id", "text"), docs)
