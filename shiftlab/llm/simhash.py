@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftlab.llm.common import blank, fresh, staged
 from shiftlab.llm.components import components
@@ -61,7 +62,7 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         values = np.array([fingerprint(t or "") for t in texts], np.uint64)
