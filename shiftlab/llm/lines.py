@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftlab.llm.common import blank, fresh, staged
 
@@ -63,7 +64,7 @@ def variant_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers, dtype=np.uint64)])
     variants = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(BASE_INVERSE)
     places = np.arange(len(w), dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(len(w))
-    return _mixed(variants, places), _mixed(variants, np.uint64(0)), int(_mixed(sums[-1:], np.uint64(0))[0])
+    return _mixed(variants, places), np.unique(_mixed(variants, np.uint64(0))), int(_mixed(sums[-1:], np.uint64(0))[0])
 
 
 def _mixed(x: np.ndarray, salt) -> np.ndarray:
@@ -122,15 +123,26 @@ def _chosen_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _neighbourhood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Keys of a line's neighbourhood; role 0: with place, 1: without place, 2: the line itself."""
     for batch in batches:
+        lines, keys, roles, size = [], [], [], 0
         for h, words in zip(batch["h"], batch["words"]):
             placed, plain, own = variant_keys(words.split(" "))
-            n = len(placed)
-            yield pd.DataFrame(
-                {"h": h, "key": np.concatenate([placed, np.unique(plain), [own]]), "role": np.repeat(np.array([0, 1, 2], np.int8), [n, len(np.unique(plain)), 1])}
-            )
+            for role, part in enumerate((placed, plain, [own])):
+                lines.append(np.full(len(part), h, np.int64))
+                keys.append(np.asarray(part, np.int64))
+                roles.append(np.full(len(part), role, np.int8))
+                size += len(part)
+            if size >= 200_000:
+                yield _rows(lines, keys, roles)
+                lines, keys, roles, size = [], [], [], 0
+        if lines:
+            yield _rows(lines, keys, roles)
 
 
-@F.pandas_udf("boolean")
+def _rows(lines: list[np.ndarray], keys: list[np.ndarray], roles: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"h": np.concatenate(lines), "key": np.concatenate(keys), "role": np.concatenate(roles)})
+
+
+@F.pandas_udf(T.BooleanType())
 def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype=bool)
 
@@ -164,6 +176,8 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .groupBy("h", "n").agg(F.min("first").alias("first"), F.min("partner").alias("partner"))
         .select("h", "n", "first", F.least("first", "partner").alias("kept"))
     )
+    # Written first: a join of two plain shuffles is one whose hot lines adaptive execution can split.
+    best = staged(best, "best-lines")
     return (
         lines.select("place", "h", "n").join(best, ["h", "n"]).where("place > kept")
         .select(
