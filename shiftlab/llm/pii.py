@@ -39,6 +39,20 @@ def _date_pattern() -> str:
     return rf"(?<![0-9A-Za-z./-])(?:{'|'.join(forms)})(?![0-9A-Za-z/-]|\.[0-9])"
 
 
+def _card_pattern() -> str:
+    """Digits alone, or in groups with one separator that no further digits join."""
+    groups = "|".join(f"[0-9]{{4}}{c}(?:[0-9]{{4}}{c}[0-9]{{4}}{c}[0-9]{{4}}(?:{c}[0-9]{{3}})?|[0-9]{{6}}{c}[0-9]{{5}})" for c in (r"\x20", "-"))
+    return rf"(?<![0-9A-Za-z])(?:[0-9]{{13,19}}|(?<![0-9][\x20-])(?:{groups})(?![\x20-][0-9]))(?![0-9A-Za-z])"
+
+
+def _phone_pattern() -> str:
+    """With a country code, an area code in brackets, or as three, three and four digits."""
+    groups = r"[0-9]{2,4}(?:[\x20-][0-9]{2,4}){1,4}"
+    area = r"\([0-9]{2,4}\)[\x20-]?"
+    plain = rf"(?<![0-9][\x20-])(?:[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}\x20[0-9]{{3}}\x20[0-9]{{4}})(?![\x20-][0-9])"
+    return rf"(?<![0-9A-Za-z/.+-])(?:\+[0-9]{{1,3}}[\x20-]?(?:{area})?{groups}|{area}{groups}|{plain})(?![0-9A-Za-z/-])"
+
+
 # How the kinds are written. No pattern looks back or ahead further than its longest value.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9_%+'-])[A-Za-z0-9_%+'-][A-Za-z0-9_%+'.-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
@@ -46,8 +60,8 @@ PATTERNS = {
     "date": _date_pattern(),
     "ipv4": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z/.-])(?:\+[0-9]{1,3}[\x20-]?)?(?:\([0-9]{2,4}\)[\x20-]?)?[0-9]{2,4}(?:[\x20-][0-9]{2,4}){1,4}(?![0-9A-Za-z/-])",
+    "card": _card_pattern(),
+    "phone": _phone_pattern(),
 }
 SINGLE = {k: re.compile(p) for k, p in PATTERNS.items()}
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
@@ -158,11 +172,20 @@ def _reading(text: str, year_first: bool) -> tuple[date, bool]:
 
 
 def _ipv4(text: str, key: bytes, back: bool) -> str | None:
+    """Every part keeps its number of digits."""
     parts = text.split(".")
     if any(int(p) > 255 or str(int(p)) != p for p in parts):
         return None
-    value = int.from_bytes(bytes(map(int, parts)), "big")
-    return ".".join(map(str, feistel(value, 1 << 32, key, b"ipv4", back).to_bytes(4, "big")))
+    ranges = [((0, 10), (10, 90), (100, 156))[len(p) - 1] for p in parts]  # first value, number of values
+    value = size = 0
+    for p, (first, n) in zip(parts, ranges):
+        value, size = value * n + int(p) - first, max(size, 1) * n
+    value = feistel(value, size, key, f"ipv4{[len(p) for p in parts]}".encode(), back)
+    out = []
+    for first, n in reversed(ranges):
+        value, v = divmod(value, n)
+        out.append(str(first + v))
+    return ".".join(reversed(out))
 
 
 def _ssn_valid(d: str) -> bool:
@@ -181,15 +204,12 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
     """The country code stays; the national number, 7 to 14 digits, is permuted."""
-    code = re.match(r"\+[0-9]{1,3}(?=[\x20.-])", text)
+    code = re.match(r"\+[0-9]{1,3}(?=[\x20(-])", text)
     head = code.group() if code else ""
     digits = "".join(filter(str.isdigit, text[len(head) :]))
-    if not 7 <= len(digits) <= 14 or not (head or text[0] in "+(" or len(digits) >= 10):
+    if not 7 <= len(digits) <= 14:
         return None
-    digits = permute_digits(digits, key, "phone" + head, back)
-    while len(digits) >= 13 and luhn_digit(digits[:-1]) == digits[-1]:  # that would be a card
-        digits = permute_digits(digits, key, "phone" + head, back)
-    return head + _fill(text[len(head) :], digits, str.isdigit)
+    return head + _fill(text[len(head) :], permute_digits(digits, key, "phone" + head, back), str.isdigit)
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
