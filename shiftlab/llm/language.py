@@ -28,11 +28,13 @@ FILTERS = 16
 EMBEDDING = 8
 TRAIN_TEXTS = 5_000
 TRAIN_WINDOWS = 3
-EPOCHS = 3
+EPOCHS = 3  # or as many as make LEAST_STEPS steps
+LEAST_STEPS = 400
 BATCH = 64
 RATE = 0.004
 UNKNOWN = "und"
 FOLDS, HELD_OUT_FOLD = 4, 2
+KEPT = 0.4  # documents are rejected below this probability
 SCORE_BATCH = 128
 
 
@@ -65,7 +67,7 @@ def train(labels: list[str], grids: list[np.ndarray], seed: int = 11) -> ByteNet
         p[f"b{w}"] = np.zeros(FILTERS)
     p = {k: v.astype(np.float32) for k, v in p.items()}
     steps = Adam(p, RATE)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(x)))):
         order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
@@ -175,7 +177,7 @@ def predict(docs: DataFrame) -> DataFrame:
     return with_language(own, net, "lang_pred", "score").drop("text")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = KEPT) -> DataFrame:
     """The documents, all columns, whose language is recognised with at least the given probability."""
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     known = with_language(docs, fit(docs), lang, score)
