@@ -1,0 +1,31 @@
+import random
+
+from shiftlab.llm.components import components
+
+
+def least(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_components_of_chains_stars_and_random_edges(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 540)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(30)] + [(-5, 3), (-5, 3)]
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    wanted = least([e for e in edges if e[0] != e[1]])
+    assert {r["node"]: r["root"] for r in found} == wanted
+    assert len(found) == len(wanted)
+
+
+def test_no_edges_and_self_loops_give_nothing(spark):
+    assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -1,0 +1,110 @@
+import zlib
+
+import duckdb
+import numpy as np
+
+from shiftlab.llm import language, quality
+from shiftlab.llm.queries import op2_quality, op4_language
+from shiftlab.llm.windows import windows
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def held(i, folds, fold):
+    return i is not None and zlib.crc32(str(i).encode()) % folds == fold
+
+
+def test_windows_cover_whole_texts():
+    grid, counts = windows(["", "abc", "x" * 9], 4)
+    assert counts.tolist() == [1, 1, 3]
+    assert grid.tobytes() == b"\0" * 4 + b"abc\0" + b"x" * 9 + b"\0" * 3
+
+
+def test_quality_of_held_out_documents(spark):
+    labels = dict(duckdb.connect().execute(f"SELECT doc_id, quality FROM '{FOLDER}/labels.parquet'").fetchall())
+    rows = op2_quality(spark, FOLDER).collect()
+    assert len(rows) == 1000
+    assert all(r["held_out"] == held(r["doc_id"], 3, 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    test = [(labels[r["doc_id"]], r["score"]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    good, bad = [s for y, s in test if y == 1], [s for y, s in test if y == 0]
+    assert np.mean([[g > b for g in good] for b in bad]) > 0.95
+
+
+def test_quality_edge_rows(spark, edge_docs, no_docs, small):
+    labels = spark.createDataFrame([(1, 1), (2, None), (3, 0), (5, 1), (None, 0), (99, 1)], "doc_id long, quality int")
+    rows = quality.predict(edge_docs, labels).collect()
+    assert len(rows) == edge_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] in (5, 6)}) == 1
+    assert quality.predict(no_docs, labels).count() == 0
+    assert {r["score"] for r in quality.predict(edge_docs, labels.where("false")).collect()} == {0.5}
+
+
+def test_attention_learns_which_passage_counts():
+    rng = np.random.default_rng(3)
+    plain = lambda: rng.integers(97, 110, quality.PASSAGE, dtype=np.uint8)
+    odd = lambda: rng.integers(35, 40, quality.PASSAGE, dtype=np.uint8)
+    bags = [(np.stack([odd() if y and k == i % 4 else plain() for k in range(4)]), y) for i, y in enumerate([0, 1] * 60)]
+    model = quality.train(np.array([y for _, y in bags]), [x for x, _ in bags])
+    x = quality.encode(np.concatenate([b for b, _ in bags]), quality.pair_buckets())
+    scores = model.scores(x, np.full(len(bags), 4))
+    assert np.mean((scores >= 0.5) == [y for _, y in bags]) > 0.95
+
+
+def test_attention_gradients():
+    rng = np.random.default_rng(1)
+    p = quality.train(np.array([]), []).params
+    p = {k: rng.normal(0, 0.3, v.shape) for k, v in p.items()}
+    x, counts = rng.random((5, quality.FEATURES)), np.array([2, 3])
+    y, weight = np.array([1.0, 0.0]), np.array([1.0, 2.0])
+
+    def loss(q):
+        s = quality.BagModel(q).scores(x, counts)
+        return float(-(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).mean())
+
+    grads = quality._gradients(p, x, counts, y, weight)
+    for name in p:
+        at = tuple(rng.integers(0, n) for n in p[name].shape)
+        up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+        up[name][at] += 1e-5
+        down[name][at] -= 1e-5
+        assert abs((loss(up) - loss(down)) / 2e-5 - grads[name][at]) < 1e-5
+
+
+def test_language_of_held_out_documents(spark):
+    langs = dict(duckdb.connect().execute(f"SELECT doc_id, lang FROM '{FOLDER}/documents.parquet'").fetchall())
+    rows = op4_language(spark, FOLDER).collect()
+    assert len(rows) == 1000
+    assert all(r["held_out"] == held(r["doc_id"], 4, 2) and 0 <= r["score"] <= 1 for r in rows)
+    assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in rows if r["held_out"]]) > 0.97
+
+
+def test_language_edge_rows(edge_docs, no_docs):
+    rows = language.predict(edge_docs).collect()
+    assert len(rows) == edge_docs.count()
+    # Only one language is there to learn; texts without a letter have none.
+    assert {r["doc_id"]: r["lang_pred"] for r in rows if r["doc_id"]} == {1: "en", 2: "und", 3: "und", 4: "en", 5: "en", 6: "en", 7: "und", 8: "und", 9: "en"}
+    assert all(r["score"] == 0 for r in rows if r["lang_pred"] == "und")
+    assert language.predict(no_docs).count() == 0
+    kept = language.keep_known(edge_docs)
+    assert kept.columns == edge_docs.columns and kept.count() == 7
+
+
+def test_nothing_learned_is_unknown(edge_docs):
+    from pyspark.sql import functions as F
+
+    rows = language.predict(edge_docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r["lang_pred"] for r in rows} == {"und"}
+
+
+def test_tables_give_what_the_filters_give():
+    rng = np.random.default_rng(2)
+    net = language.train(["a", "b"], [rng.integers(0, 256, (6, language.WINDOW), dtype=np.uint8) for _ in range(2)])
+    grid = rng.integers(0, 256, (3, language.WINDOW), dtype=np.uint8)
+    pooled = []
+    for w in language.WIDTHS:
+        x = net.params["embed"][grid]
+        spans = np.stack([x[:, i : i + w].reshape(3, -1) @ net.params[f"w{w}"] for i in range(language.WINDOW - w + 1)], 1)
+        pooled.append(spans.max(axis=1) + net.params[f"b{w}"])
+    logits = np.maximum(np.concatenate(pooled, axis=1), 0) @ net.params["out"] + net.params["bias"]
+    odds = np.exp(logits)
+    assert np.allclose(language.probabilities(net, net.tables(), grid), odds / odds.sum(axis=1, keepdims=True), atol=1e-4)
