@@ -46,7 +46,8 @@ def control_comparison(
         "comparisons",
         F.when(
             F.col("comparisons") > 0,
-            F.round(F.col("better_or_equal") / F.col("comparisons") * 100, 1),
+            # Ties go to the even digit, as in printed reports.
+            F.format_number(F.col("better_or_equal") / F.col("comparisons") * 100, 1).cast("double"),
         )
         .otherwise(F.lit(0.0))
         .alias("percentage"),

@@ -69,3 +69,16 @@ def test_nothing_to_compare(spark):
 def test_another_control(spark, control, expected):
     data = [(1, "FR", "x", "Cohort A (0)", 0.1), (2, "FR", "x", "Cohort B (-1)", 0.2)]
     assert compare(spark, data, control=control)[0][1] == expected
+
+
+@pytest.mark.parametrize("wins, total, percent", [(1, 16, 6.2), (5, 16, 31.2), (1, 80, 1.2), (3, 16, 18.8), (167, 2000, 8.3)])
+def test_percentages_are_rounded_like_printed_ones(spark, wins, total, percent):
+    assert float(f"{wins / total * 100:.1f}") == percent
+    df = spark.range(total + 1).selectExpr(
+        "int(id) AS ordinal",
+        "'GB' AS Country",
+        "'x' AS Holiday",
+        "if(id = 0, 'Cohort A (0)', 'Cohort B (-1)') AS cohort",
+        f"if(id = 0, 0.5D, if(id <= {wins}, 1D, 0D)) AS delta",
+    )
+    assert rows(control_comparison(df, ["delta"], ["ordinal"])) == [("delta", wins, total, percent)]
