@@ -110,7 +110,7 @@ def cohort_sizes(labelled: DataFrame, flag: str | None = None) -> DataFrame:
     """Distinct subscriptions per cohort, optionally per value of an option flag."""
     keys = ["cohort"] if flag is None else ["cohort", flag]
     return labelled.groupBy(*keys).agg(
-        F.count_distinct("fk_subscription").alias("subscriptions")
+        F.count_distinct(*SUBSCRIPTION).alias("subscriptions")
     )
 
 

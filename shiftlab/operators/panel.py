@@ -71,7 +71,7 @@ def attach_cohort(statuses: DataFrame, members: DataFrame) -> DataFrame:
 def cohort_totals(panel: DataFrame) -> DataFrame:
     """Distinct subscriptions per day and cohort."""
     return panel.groupBy("fk_imported_at_date", "cohort").agg(
-        F.count_distinct("fk_subscription").alias("total_subs")
+        F.count_distinct(*SUBSCRIPTION).alias("total_subs")
     )
 
 

@@ -9,6 +9,7 @@ from shiftlab.operators.cohorts import (
     cohort_sizes,
     match_shifts,
 )
+from shiftlab.operators.panel import cohort_totals
 from tests.helpers import rows
 
 HOLIDAY = "2024-01-29"
@@ -125,3 +126,12 @@ def test_members_sizes_and_flags(spark):
         ("GB", 2, "B", True, True, False),
         ("GB", 3, None, False, True, False),
     ]
+
+
+def test_an_id_in_two_units_is_two_subscriptions(spark):
+    df = spark.createDataFrame(
+        [("GB", 1, 20240101, "A"), ("FR", 1, 20240101, "A"), ("GB", 1, 20240101, "A")],
+        "country string, fk_subscription long, fk_imported_at_date int, cohort string",
+    )
+    assert rows(cohort_sizes(df)) == [("A", 2)]
+    assert rows(cohort_totals(df)) == [(20240101, "A", 2)]
