@@ -52,7 +52,10 @@ def read_sources(
 
 
 def comparison_rows_from_text(spark: SparkSession, text: str) -> DataFrame:
-    """Comparison rows from CSV text with a header line; ``ordinal`` keeps the line order."""
+    """Comparison rows from CSV text with a header line; ``ordinal`` keeps the line order.
+
+    For inline text: one task parses it. Read larger inputs with ``read_comparison_csv``.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in COMPARISON_SCHEMA)
     body = text.strip().split("\n", 1)[1]
     lines = spark.range(1).select(

@@ -38,6 +38,15 @@ SCHEMAS = {
         published_time=_TEXT,
         meta=_META,
     ),
+    "latest_shifts": _schema(
+        business_unit=_TEXT,
+        origin_option_handle=_TEXT,
+        target_option_handle=_TEXT,
+        origin_date=_TEXT,
+        target_date=_TEXT,
+        postal_code=_TEXT,
+        published_time=_TEXT,
+    ),
     "changes": _schema(
         business_unit=_TEXT,
         fk_subscription=_LONG,
