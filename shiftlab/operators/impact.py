@@ -84,13 +84,16 @@ def shift_impact(
     origin date.
     """
     attributes = ("packing_day", "cutoff", "surcharge_price")
-    shifts = registry.filter(F.col("delivery_week") >= min_week).drop(
-        "imported_on", "business_unit"
+    # Distinct while they are few and narrow: what is joined to them has one row per key and version.
+    shifts = (
+        registry.filter(F.col("delivery_week") >= min_week)
+        .drop("imported_on", "business_unit")
+        .withColumn("target_date", F.coalesce("target_date", "origin_date"))
+        .distinct()
     )
     both = with_both_options(
         shifts.withColumn("business_unit", F.col("country")), options, attributes
     )
-    new_date = F.coalesce("target_date", "origin_date")
     return (
         both.join(affected, SHIFT_KEY, "left")
         .select(
@@ -100,22 +103,21 @@ def shift_impact(
             "postal_code",
             "visible_to_customer",
             "published_date",
-            F.left("origin_packing_day", F.lit(3)).alias("origin_packing_day"),
+            "origin_packing_day",
             F.col("origin_cutoff").alias("origin_cutoff_value"),
             cutoff_day(F.col("origin_date"), F.col("origin_cutoff")).alias("origin_cutoff_name"),
             "origin_surcharge_price",
-            F.left("target_packing_day", F.lit(3)).alias("target_packing_day"),
+            "target_packing_day",
             F.col("target_cutoff").alias("target_cutoff_value"),
             cutoff_day(F.col("origin_date"), F.col("target_cutoff")).alias("target_cutoff_name"),
             "target_surcharge_price",
             F.col("origin_option_handle").alias("updated_origin_time_handle"),
             "target_option_handle",
             F.col("origin_date").alias("updated_origin_date"),
-            new_date.alias("updated_target_date"),
+            F.col("target_date").alias("updated_target_date"),
             "delivery_week",
-            F.datediff(new_date, "origin_date").alias("day_difference"),
+            F.datediff("target_date", "origin_date").alias("day_difference"),
             "is_delivered",
             F.coalesce("subscription_count", F.lit(0)).alias("subscription_count"),
         )
-        .distinct()
     )

@@ -60,10 +60,15 @@ def _side(options: DataFrame, side: str, attributes: Sequence[str]) -> DataFrame
     return options.select(
         F.col("country").alias("business_unit"),
         F.col("option_handle").alias(f"{side}_option_handle"),
-        *[F.col(a).alias(f"{side}_{a}") for a in attributes],
+        *[_attribute(a).alias(f"{side}_{a}") for a in attributes],
     ).distinct()
 
 
+def _attribute(name: str) -> Column:
+    """An option attribute; of the packing day, whose spelling varies, three letters count."""
+    return F.left(F.col(name), F.lit(3)) if name == "packing_day" else F.col(name)
+
+
 def with_both_options(
     shifts: DataFrame, options: DataFrame, attributes: Sequence[str]
 ) -> DataFrame:
@@ -99,16 +104,13 @@ def option_change_flags(
     attributes = ("packing_day", "surcharge_price", "cutoff", "delivery_time")
     both = with_both_options(shifts, options, attributes)
 
-    def differs(attribute: str, width: int | None = None) -> Column:
-        a, b = F.col(f"origin_{attribute}"), F.col(f"target_{attribute}")
-        if width is not None:
-            a, b = F.left(a, F.lit(width)), F.left(b, F.lit(width))
-        return a != b
+    def differs(attribute: str) -> Column:
+        return F.col(f"origin_{attribute}") != F.col(f"target_{attribute}")
 
     new_date = F.coalesce("target_date", "origin_date")
     return both.select(
         *shifts.columns,
-        differs("packing_day", 3).alias("packing_day_shifted"),
+        differs("packing_day").alias("packing_day_shifted"),
         differs("surcharge_price").alias("surcharge_shifted"),
         differs("cutoff").alias("cutoff_value_shifted"),
         (

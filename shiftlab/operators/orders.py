@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlab.operators.scale import keep_known
 from shiftlab.operators.subscriptions import SUBSCRIPTION
 
+# Join partitions a subscription's order lines are dealt to where nothing is broadcast.
+SALTS = 16
+
 
 def _order_lines(
     order_lines: DataFrame,
@@ -82,6 +85,9 @@ def order_rates(
     lines: DataFrame,
     ranges: Mapping[str, tuple[str, str]],
     by: Sequence[str] = (),
+    box_counts: bool = False,
+    per_customer: bool = False,
+    salts: int = 1,
 ) -> DataFrame:
     """Distinct order lines per distinct ordering customer, for each week range.
 
@@ -90,6 +96,12 @@ def order_rates(
     ids, each reduced to one row per (cohort, status, id) with one bit per range, so that one
     two-step aggregate with partial sums replaces a distinct count per range and id. The panel's
     own groups join the stream without ids, which keeps groups that never ordered.
+
+    ``box_counts`` adds the lines of each range as ``<range>_BoxCount``; ``per_customer`` divides by
+    all customers of the group. With ``salts`` over 1 the lines are first reduced to one row per
+    (subscription, line), and a subscription's lines are dealt to that many join partitions, each
+    with a copy of its few panel rows: for a join by shuffle in which one subscription may hold a
+    large part of all lines.
     """
     group = [*by, "cohort", "status"]
     marks = {name: 1 << place for place, name in enumerate(ranges)}
@@ -108,7 +120,14 @@ def order_rates(
             F.struct(no_line.alias("line"), F.col("customer_uuid").alias("customer")),
         )
     )
-    ordered = panel.join(lines, SUBSCRIPTION).select(*group, mark.alias("marks"), ids)
+    marked = lines.select(*SUBSCRIPTION, "order_line_items_id", mark.alias("marks"))
+    key, holders = [*SUBSCRIPTION], panel
+    if salts > 1:
+        marked = marked.groupBy(*SUBSCRIPTION, "order_line_items_id").agg(F.bit_or("marks").alias("marks"))
+        marked = marked.withColumn("salt", F.pmod(F.xxhash64("order_line_items_id"), F.lit(salts)))
+        holders = panel.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        key.append("salt")
+    ordered = holders.join(marked, key).select(*group, "marks", ids)
     groups = panel.select(
         *group, F.lit(0).alias("marks"), no_line.alias("line"), no_customer.alias("customer")
     )
@@ -118,14 +137,17 @@ def order_rates(
         .agg(F.bit_or("marks").alias("marks"))
     )
 
-    def rate(name: str):
-        inside = F.col("marks").bitwiseAND(marks[name]) != 0
-        placed = F.count_if(inside & F.col("line").isNotNull())
-        ordering = F.count_if(inside & F.col("customer").isNotNull())
-        return F.round(F.try_divide(placed, ordering), 2).alias(name)
+    def inside(name: str, kind: str) -> Column:
+        return F.count_if((F.col("marks").bitwiseAND(marks[name]) != 0) & F.col(kind).isNotNull())
 
+    customers = F.count("customer")
+    boxes = {f"{name}_BoxCount": inside(name, "line") for name in ranges} if box_counts else {}
+    rates = {
+        name: F.round(F.try_divide(inside(name, "line"), customers if per_customer else inside(name, "customer")), 2)
+        for name in ranges
+    }
     return per_id.groupBy(*group).agg(
-        F.count("customer").alias("Total_Customers"), *[rate(name) for name in ranges]
+        customers.alias("Total_Customers"), *[value.alias(name) for name, value in {**boxes, **rates}.items()]
     )
 
 

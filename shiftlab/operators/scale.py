@@ -6,40 +6,51 @@ partitions. The mark on a lookup table stays with every projection an operator t
 
 Results that several steps read, or whose size decides a join, are written once to the shared folder
 named by ``spark.checkpoint.dir`` and read back: lost executors then cost no recomputation, and the
-optimizer plans the rest from exact file sizes.
+optimizer plans the rest from exact file sizes. Results are lazy, so only the caller knows when staged
+tables are no longer needed: run a study and write its result inside ``staging`` to have them deleted.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Bounds in rows. A row of a few short columns takes 100 to 200 bytes in a broadcast hash table,
-# whatever its compressed size on disk, so these stay near 20, 100 and 150 MB per executor.
-DIMENSION_ROWS = 100_000
-SHIFT_ROWS = 500_000
-MEMBER_ROWS = 1_000_000
-
+# Bounds in bytes of a broadcast hash table on every executor.
+DIMENSION_BYTES = 20_000_000
+SHIFT_BYTES = 100_000_000
+MEMBER_BYTES = 150_000_000
+# What a row takes there besides its values: pointers, key, lengths.
+ROW_BYTES = 48
 
 _local_folders: dict[str, str] = {}
+_open_stagings: list[list[str]] = []
+
 
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of ``df`` as a hash table: its values' lengths and a share per row."""
+    values = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns]
+    width = sum((v + F.lit(8) for v in values), F.lit(ROW_BYTES))
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows. Each task reports one number."""
-    return df.count() <= max_rows
 
+def fits(df: DataFrame, max_bytes: int) -> bool:
+    """Whether ``df`` takes at most ``max_bytes``. Each task reports one number."""
+    return table_bytes(df) <= max_bytes
 
-def dimension(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
+
+def dimension(df: DataFrame, max_bytes: int = DIMENSION_BYTES) -> DataFrame:
     """``df`` marked for broadcast when it is small enough, otherwise unchanged."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+    return F.broadcast(df) if fits(df, max_bytes) else df
 
 
-def only_if_fits(df: DataFrame, max_rows: int = MEMBER_ROWS) -> DataFrame | None:
+def only_if_fits(df: DataFrame, max_bytes: int = MEMBER_BYTES) -> DataFrame | None:
     """``df`` marked for broadcast, or None when it is too large for that."""
-    return F.broadcast(df) if fits(df, max_rows) else None
+    return F.broadcast(df) if fits(df, max_bytes) else None
 
 
 def keep_known(df: DataFrame, known: DataFrame | None, on: list[str]) -> DataFrame:
@@ -68,5 +79,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the staging folder and return the written table."""
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open_stagings:
+        _open_stagings[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Own the tables staged inside, and delete them at the end.
+
+    Results that read them have to be written or collected before.
+    """
+    _open_stagings.append([])
+    try:
+        yield
+    finally:
+        for path in _open_stagings.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

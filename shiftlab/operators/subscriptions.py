@@ -8,16 +8,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlab.functions import zone_extended, zone_simple
-from shiftlab.operators.shifts import entity_codes
 
 SUBSCRIPTION = ["country", "fk_subscription"]
 
 
+WEEK_LOOKUP = ["calendar_date", "delivery_week"]
+CODE_LOOKUP = ["entity_code"]
+
+
+def week_lookup(calendar: DataFrame) -> DataFrame:
+    """One row per date and week. A table with just these columns is one already."""
+    return calendar if calendar.columns == WEEK_LOOKUP else calendar.select(*WEEK_LOOKUP).distinct()
+
+
+def code_lookup(entities: DataFrame) -> DataFrame:
+    """One row per entity code. A table with just this column is one already."""
+    return entities if entities.columns == CODE_LOOKUP else entities.select(*CODE_LOOKUP).distinct()
+
+
 def with_week(df: DataFrame, calendar: DataFrame, date_column: str = "delivery_wk_4") -> DataFrame:
     """Delivery week of a date column; NULL for dates the calendar does not have."""
-    weeks = calendar.select(
-        F.col("calendar_date").alias(date_column), "delivery_week"
-    ).distinct()
+    weeks = week_lookup(calendar).withColumnRenamed("calendar_date", date_column)
     return df.join(weeks, date_column, "left")
 
 
@@ -26,6 +37,12 @@ def weeks_between(calendar: DataFrame, dates: tuple[str, str]) -> DataFrame:
     return calendar.filter(F.col("calendar_date").between(*dates)).select("delivery_week").distinct()
 
 
+def in_week_of(df: DataFrame, calendar: DataFrame, day: str, date: str = "delivery_wk_4") -> DataFrame:
+    """Rows planned for the day, or for the week the calendar gives it."""
+    week = calendar.filter(F.col("calendar_date") == day).agg(F.min("delivery_week"))
+    return df.filter((F.col(date) == day) | (F.col("delivery_week") == week.scalar()))
+
+
 def one_off_changes(
     changes: DataFrame,
     calendar: DataFrame,
@@ -45,7 +62,7 @@ def one_off_changes(
         & F.col("delivery_time").isNotNull()
     )
     if weeks is not None:
-        wanted = weeks.select(F.col("delivery_week").alias("week_id")).distinct()
+        wanted = weeks.select(F.col("delivery_week").alias("week_id"))
         picked = picked.join(wanted, "week_id", "left_semi")
     days = calendar.select(
         F.col("delivery_week").alias("week_id"),
@@ -110,7 +127,7 @@ def with_simple_zone(df: DataFrame, min_length: int = 0, fix_nl: bool = False) -
 
 def with_extended_zone(df: DataFrame, entities: DataFrame) -> DataFrame:
     """Shift zone by the extended rules, which look at the entity code (NULL if unknown)."""
-    codes = entity_codes(entities).select("entity_code").distinct()
+    codes = code_lookup(entities)
     return (
         df.join(codes, df["country"] == codes["entity_code"], "left")
         .withColumn("zone", zone_extended(F.col("entity_code"), F.col("zip")))

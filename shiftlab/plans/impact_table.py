@@ -8,29 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.operators.impact import (
-    OUTCOME_KEY,
     affected_subscriptions,
     delivery_outcomes,
     planned_deliveries,
     shift_impact,
 )
 from shiftlab.operators.options import delivery_options
-from shiftlab.operators.scale import (
-    DIMENSION_ROWS,
-    SHIFT_ROWS,
-    dimension,
-    keep_known,
-    only_if_fits,
-    staged,
-)
+from shiftlab.operators.scale import SHIFT_BYTES, dimension, staged
 from shiftlab.operators.shifts import shift_registry
 from shiftlab.operators.subscriptions import (
-    apply_overrides,
+    SUBSCRIPTION,
+    code_lookup,
     one_off_changes,
+    week_lookup,
     with_extended_zone,
     with_week,
 )
 
+SUBSCRIPTION_WEEK = [*SUBSCRIPTION, "delivery_week"]
+
+
+def _by_week(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The distinct values of the columns per subscription and week, as one array.
+
+    Repeats collapse before the shuffle; what is left of one subscription's week is a few values.
+    """
+    return df.groupBy(*SUBSCRIPTION_WEEK).agg(F.collect_set(F.struct(*columns)).alias(name))
+
 
 def shifted_deliveries(
     tables: Mapping[str, DataFrame],
@@ -43,34 +47,61 @@ def shifted_deliveries(
 
     The shifts decide early what is read. A one-off change keeps the postcode and stays within its
     week, so only plans whose zone has a shift in their week can land on a shifted date; changes
-    and outcomes are limited by country and week.
+    and outcomes are limited by country and week. Plans, changes and outcomes then meet on one
+    clustering, subscription and week, so each of them is shuffled once.
     """
-    calendar, entities = dimension(tables["calendar"]), dimension(tables["entities"])
+    # Lookups are measured, used more than once and small: each is written once.
+    calendar = dimension(tables["calendar"])
+    days = dimension(staged(week_lookup(tables["calendar"]), "weeks-of-days"))
+    codes = dimension(staged(code_lookup(tables["entities"]), "entity-codes"))
     week_key = ["country", "delivery_week"]
-    weeks = only_if_fits(shifts.select(*week_key).distinct(), DIMENSION_ROWS)
-    zone_key = [*week_key, "zone"]
-    zones = shifts.select(*week_key, F.col("postal_code").alias("zone")).distinct()
-    zone_weeks = only_if_fits(zones, SHIFT_ROWS)
-    plans = with_week(planned_deliveries(tables["snapshots"], units, min_date), calendar)
-    if zone_weeks is None:
-        plans = keep_known(plans, weeks, week_key)
-    else:
-        zoned = keep_known(with_extended_zone(plans, entities), zone_weeks, zone_key)
-        plans = zoned.drop("zone")  # cheaper to derive again than to shuffle
+    weeks = dimension(staged(shifts.select(*week_key).distinct(), "shift-weeks"))
+    # One number per zone and week; should two be equal, the exact key below decides.
+    zone_week = F.xxhash64("country", "delivery_week", "zone").alias("zone_week")
+    zones = shifts.select("country", "delivery_week", F.col("postal_code").alias("zone"))
+    zone_weeks = dimension(staged(zones.select(zone_week).distinct(), "shift-zones"), SHIFT_BYTES)
+    planned = with_week(planned_deliveries(tables["snapshots"], units, min_date), days)
+    zoned = with_extended_zone(planned, codes).withColumn("zone_week", zone_week)
+    plans = _by_week(
+        zoned.join(zone_weeks, "zone_week", "left_semi"), "plans", "delivery_wk_4", "delivery_time", "zip"
+    )
     one_offs = one_off_changes(
         tables["changes"], calendar, units, min_week, dedupe=False, weeks=weeks
+    ).withColumnRenamed("business_unit", "country")
+    changes = _by_week(one_offs, "changes", "changed_delivery_time", "changed_delivery_date")
+    delivered = delivery_outcomes(tables["order_items"], min_week, dedupe=False)
+    outcomes = _by_week(
+        delivered.join(weeks, week_key, "left_semi"), "outcomes", "zip", "updated_delivery_time", "is_delivered"
+    )
+    moved = (
+        plans.join(changes, SUBSCRIPTION_WEEK, "left")
+        .join(outcomes, SUBSCRIPTION_WEEK, "left")
+        .select(*SUBSCRIPTION_WEEK, F.explode("plans").alias("plan"), "changes", "outcomes")
+        .select("*", F.explode_outer("changes").alias("change"))
+        .select(
+            *SUBSCRIPTION_WEEK,
+            "plan.zip",
+            F.coalesce("change.changed_delivery_time", "plan.delivery_time").alias("updated_delivery_time"),
+            F.coalesce("change.changed_delivery_date", "plan.delivery_wk_4").alias("updated_delivery_date"),
+            "outcomes",
+        )
     )
-    moved = with_extended_zone(apply_overrides(plans.distinct(), one_offs), entities)
     shift_key = shifts.select(
         "country",
         F.col("postal_code").alias("zone"),
         F.col("origin_option_handle").alias("updated_delivery_time"),
         F.col("origin_date").alias("updated_delivery_date"),
-    ).distinct()
-    shifted = moved.join(dimension(shift_key, SHIFT_ROWS), shift_key.columns, "left_semi")
-    outcomes = delivery_outcomes(tables["order_items"], min_week, dedupe=False)
-    outcomes = keep_known(outcomes, weeks, week_key).distinct()
-    return shifted.join(outcomes, OUTCOME_KEY, "left")
+    )
+    keys = dimension(staged(shift_key.distinct(), "shift-keys"), SHIFT_BYTES)
+    shifted = with_extended_zone(moved, codes).join(keys, keys.columns, "left_semi")
+
+    def own(outcome):
+        time = outcome["updated_delivery_time"]
+        return (outcome["zip"] == F.col("zip")) & (time == F.col("updated_delivery_time"))
+
+    return shifted.select(
+        "*", F.explode_outer(F.filter("outcomes", own)["is_delivered"]).alias("is_delivered")
+    ).drop("outcomes")
 
 
 def shift_impact_table(
@@ -84,7 +115,7 @@ def shift_impact_table(
     """One row per shift, option attributes and outcome, with distinct affected subscriptions.
 
     ``tables`` needs ``shifts``, ``entities``, ``calendar``, ``snapshots``, ``changes``,
-    ``options`` and ``order_items``. Write the result with ``sources.write_table``.
+    ``option_history`` and ``order_items``. Write the result with ``sources.write_table``.
     """
     registry = staged(
         shift_registry(tables["shifts"], tables["entities"], tables["calendar"], units, min_year),
@@ -93,6 +124,6 @@ def shift_impact_table(
     in_scope = registry.filter(F.col("delivery_week") >= min_week)
     deliveries = shifted_deliveries(tables, in_scope, units, min_week, min_date)
     options = delivery_options(
-        tables["options"], tables["entities"], min_import, regions=units
+        tables["option_history"], tables["entities"], min_import, regions=units
     )
     return shift_impact(in_scope, options, affected_subscriptions(deliveries), min_week)

@@ -13,13 +13,14 @@ from shiftlab.operators.cohorts import (
     cohort_members,
     match_shifts,
 )
-from shiftlab.operators.orders import latest_customer, order_rates, typed_order_lines
+from shiftlab.operators.orders import SALTS, latest_customer, order_rates, typed_order_lines
 from shiftlab.operators.panel import holiday_week_statuses, member_statuses
 from shiftlab.operators.scale import dimension, only_if_fits, staged
 from shiftlab.operators.shifts import active_shifts
 from shiftlab.operators.subscriptions import (
     SUBSCRIPTION,
     first_snapshot,
+    in_week_of,
     one_off_changes,
     override_dates,
     weeks_between,
@@ -48,11 +49,11 @@ def order_cohorts(
 ) -> DataFrame:
     """Subscriptions delivered on the holiday with their cohort.
 
-    Deleted shifts count here, one-off changes move the date but not the time, and shifts match
-    on zone and planned time only.
+    Their shifts come from ``latest_shifts``, which has no deletion marks: deleted shifts count.
+    One-off changes move the date but not the time, and shifts match on zone and planned time only.
     """
     calendar, entities = dimension(tables["calendar"]), dimension(tables["entities"])
-    active = active_shifts(tables["shifts"], study.units, study.holiday, drop_deleted=False)
+    active = active_shifts(tables["latest_shifts"], study.units, study.holiday, drop_deleted=False)
     base = first_snapshot(
         tables["snapshots"], study.units, study.import_range, study.delivery_range
     )
@@ -62,9 +63,10 @@ def order_cohorts(
         study.units,
         study.min_week,
         dedupe=False,
-        weeks=weeks_between(calendar, study.delivery_range),
+        weeks=weeks_between(calendar, (study.holiday, study.holiday)),
     )
-    zoned = with_extended_zone(with_week(base, calendar), entities)
+    planned = in_week_of(with_week(base, calendar), calendar, study.holiday)
+    zoned = with_extended_zone(planned, entities)
     matched = match_shifts(
         override_dates(zoned, one_offs), active, by_date=False, time="delivery_time"
     )
@@ -76,12 +78,16 @@ def holiday_order_rates(
     study: OrderStudy,
     letters: Mapping[int, str] = ORDER_LETTERS,
     by_country: bool = False,
+    box_counts: bool = False,
+    per_customer: bool = False,
 ) -> DataFrame:
     """Order rates per cohort and status, optionally per country.
 
-    ``tables`` needs ``shifts``, ``snapshots``, ``changes``, ``calendar``, ``entities`` and
-    ``order_lines``. Members, then members with status and customer are staged, so the snapshot
-    panel and the order lines are each read once for the rates.
+    ``tables`` needs ``latest_shifts``, ``snapshots``, ``changes``, ``calendar``, ``entities`` and
+    ``order_lines``. Members, then members with status and customer are staged. The order lines are
+    read twice: for the members' customers, and for their orders. ``box_counts`` adds the order
+    lines of every range, ``per_customer`` divides by all customers of the group instead of those
+    who ordered in the range.
     """
     members = staged(cohort_members(order_cohorts(tables, study, letters)), "order-members")
     known = only_if_fits(members)
@@ -98,7 +104,8 @@ def holiday_order_rates(
         tables["order_lines"], study.units, study.order_weeks, study.item_type, known=known
     )
     by = ["country"] if by_country else []
-    rates = order_rates(panel, lines, study.ranges, by)
+    salts = 1 if known is not None else SALTS
+    rates = order_rates(panel, lines, study.ranges, by, box_counts, per_customer, salts)
     return rates.withColumnsRenamed(
         {"country": "Country", "cohort": "Cohort", "status": "Status"}
     ).orderBy(*(["Country"] if by_country else []), "Cohort", "Status")

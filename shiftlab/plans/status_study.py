@@ -28,6 +28,7 @@ from shiftlab.operators.shifts import active_shifts, with_publication_start
 from shiftlab.operators.subscriptions import (
     apply_overrides,
     first_snapshot,
+    in_week_of,
     one_off_changes,
     weeks_between,
     with_simple_zone,
@@ -61,7 +62,10 @@ def holiday_subscriptions(
     min_zone_length: int = 0,
     fix_nl: bool = False,
 ) -> DataFrame:
-    """First snapshots of the base window with zone and one-off changes."""
+    """First snapshots of the base window that can land on the holiday, with zone and one-off changes.
+
+    A one-off change stays within its week, so plans of other weeks are left out before the join.
+    """
     base = first_snapshot(
         snapshots, study.units, study.import_range, study.delivery_range
     )
@@ -71,10 +75,10 @@ def holiday_subscriptions(
         study.units,
         study.min_week,
         dedupe=False,
-        weeks=weeks_between(calendar, study.delivery_range),
+        weeks=weeks_between(calendar, (study.holiday, study.holiday)),
     )
     zoned = with_simple_zone(base, min_zone_length, fix_nl)
-    return apply_overrides(with_week(zoned, calendar), one_offs)
+    return apply_overrides(in_week_of(with_week(zoned, calendar), calendar, study.holiday), one_offs)
 
 
 def holiday_status_rates(
@@ -89,7 +93,7 @@ def holiday_status_rates(
 
     ``tables`` needs ``shifts``, ``snapshots``, ``status_snapshots``, ``changes``, ``calendar``.
     """
-    active = active_shifts(tables["shifts"], study.units, study.holiday)
+    active = staged(active_shifts(tables["shifts"], study.units, study.holiday), "active-shifts")
     subscriptions = holiday_subscriptions(
         tables["snapshots"],
         tables["changes"],
@@ -112,7 +116,7 @@ def holiday_status_rates_by_option(
     tables: Mapping[str, DataFrame],
     study: HolidayStudy,
     flag: str = "packing_day_shifted",
-    null_is_true: Collection[str] = (),
+    null_is_true: Collection[str] | None = None,
     statuses: Sequence[str] | None = ("paused",),
     entity_countries: Sequence[str] | None = None,
     min_import: int = 20240101,
@@ -125,10 +129,14 @@ def holiday_status_rates_by_option(
 
     ``flag`` is one of ``FLAGS``. ``tables`` needs ``options`` and ``entities`` besides those of
     ``holiday_status_rates``. Options are limited to ``entity_countries``, by default the units.
+    In the cohorts of ``null_is_true`` an unknown flag counts as changed; by default that is the
+    unshifted cohort A for the packing day, and none for the other flags.
     """
     if flag not in FLAGS:
         raise ValueError(f"unknown option flag {flag!r}, expected one of {FLAGS}")
-    active = active_shifts(tables["shifts"], study.units, study.holiday)
+    if null_is_true is None:
+        null_is_true = "A" if flag == "packing_day_shifted" else ""
+    active = staged(active_shifts(tables["shifts"], study.units, study.holiday), "active-shifts")
     options = delivery_options(
         tables["options"],
         dimension(tables["entities"]),

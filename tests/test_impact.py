@@ -58,7 +58,7 @@ def source_tables(spark):
                 shift(shift_id="undated", postal_code=zone, origin_date="2030-01-01"),
             ],
         ),
-        "options": table(
+        "option_history": table(
             spark,
             "option_history",
             [option("a", 5), option("a", 5, fk_imported_at=20240110), option("b", 6)],
@@ -145,7 +145,7 @@ def test_shift_impact_table(spark):
 def test_option_history_fans_out_only_where_attributes_differ(spark):
     tables = source_tables(spark)
     cheaper = option("a", 5, surcharge_price=decimal.Decimal("0.00"))
-    tables["options"] = tables["options"].union(table(spark, "option_history", [cheaper]))
+    tables["option_history"] = tables["option_history"].union(table(spark, "option_history", [cheaper]))
     impact = plans.shift_impact_table(tables, ["GB", "FR"]).filter("shift_id = 'nobody'")
     assert rows(impact, "origin_surcharge_price") == [
         (decimal.Decimal("0.00"),),

@@ -9,7 +9,7 @@ from shiftlab import plans
 from shiftlab.operators.orders import latest_customer, typed_order_lines
 from shiftlab.operators.panel import holiday_week_statuses, member_days
 from shiftlab.operators.rates import daily_counts
-from shiftlab.operators.scale import dimension, fits, keep_known, only_if_fits, staged
+from shiftlab.operators.scale import dimension, fits, keep_known, only_if_fits, staged, table_bytes
 from shiftlab.operators.shifts import active_shifts
 from shiftlab.operators.subscriptions import first_snapshot, with_week
 from tests.helpers import calendar, formatted_plan, optimized_plan, table
@@ -86,9 +86,10 @@ def test_daily_rates_shuffle_the_snapshots_once(spark, stored):
 
 def test_beyond_the_bound_nothing_is_broadcast_by_force(spark):
     members = members_of(spark)
-    assert fits(members, 10) and not fits(members, 9)
-    assert only_if_fits(members, 9) is None
-    assert "ResolvedHint" not in dimension(members, 9)._jdf.queryExecution().analyzed().toString()
+    size = table_bytes(members)
+    assert size > 10 * len("GB0A") and fits(members, size) and not fits(members, size - 1)
+    assert only_if_fits(members, size - 1) is None
+    assert "ResolvedHint" not in dimension(members, size - 1)._jdf.queryExecution().analyzed().toString()
     assert keep_known(members, None, ["country"]) is members
 
 
@@ -119,6 +120,18 @@ def test_impact_table_reads_few_order_item_columns_and_no_python(stored):
     assert "Expand" not in optimized_plan(impact)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_impact_table_filters_by_zone_and_week_and_shuffles_each_table_once(stored, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(plans.impact_table, "dimension", lambda df, *_: df)
+    text = formatted_plan(plans.shift_impact_table(stored, ["GB"]))
+    assert "zone_week" in text and "LeftSemi" in text
+    if broadcast:
+        assert text.count("Exchange hashpartitioning") <= 12
+    # Plans, changes and outcomes: one clustering each, their joins add no shuffle.
+    assert text.count("partial_collect_set(struct(") == 3
+
+
 def test_unknown_flag_is_refused(spark):
     with pytest.raises(ValueError, match="unknown option flag"):
         plans.holiday_status_rates_by_option({}, None, "colour")

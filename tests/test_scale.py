@@ -1,6 +1,7 @@
 """Staging, and equal results with and without broadcasts on skewed tables."""
 
 import dataclasses
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from shiftlab_checks.queries import NATIONS, ORDER_STUDY, STUDY, UNITS
 from shiftlab import plans
 from shiftlab.operators import scale
 from shiftlab.operators.compare import control_comparison
-from tests.helpers import rows
+from shiftlab.operators.orders import SALTS, order_rates
+from shiftlab.operators.shifts import active_shifts
+from shiftlab.sources import read_sources
+from tests.helpers import formatted_plan, rows
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -49,6 +53,7 @@ def test_repeats_and_missing_broadcasts_change_nothing(spark, monkeypatch, name)
     assert rows(JOBS[name](Skewed(spark))) == expected
     for module in (plans.status_study, plans.order_study, plans.impact_table):
         monkeypatch.setattr(module, "dimension", lambda df, *_: df)
+    for module in (plans.status_study, plans.order_study):
         monkeypatch.setattr(module, "only_if_fits", lambda df, *_: None)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
@@ -96,5 +101,66 @@ def test_studies_are_values():
 def test_impact_table_with_too_many_shift_keys_to_broadcast(spark, monkeypatch):
     views = DriverViews(spark, SMALL)
     expected = rows(plans.shift_impact_table(views, UNITS))
-    monkeypatch.setattr(plans.impact_table, "SHIFT_ROWS", 0)
+    monkeypatch.setattr(plans.impact_table, "dimension", lambda df, *_: df)
     assert rows(plans.shift_impact_table(views, UNITS)) == expected
+
+
+def test_staged_tables_are_deleted_at_the_end(spark, tmp_path):
+    before = set(Path(scale.staging_folder(spark)).iterdir())
+    with scale.staging(spark):
+        views = DriverViews(spark, SMALL)
+        plans.shift_impact_table(views, UNITS).write.parquet(str(tmp_path / "impact"))
+        plans.holiday_status_rates(views, STUDY).write.parquet(str(tmp_path / "rates"))
+        assert set(Path(scale.staging_folder(spark)).iterdir()) > before
+    assert set(Path(scale.staging_folder(spark)).iterdir()) == before
+    assert spark.read.parquet(str(tmp_path / "impact")).count() > 0
+
+
+def test_a_study_scans_the_shifts_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(plans.status_study, "active_shifts", lambda *a: asked.append(1) or active_shifts(*a))
+    text = formatted_plan(plans.holiday_status_rates(DriverViews(spark, SMALL), STUDY))
+    assert asked == [1] and text.count("active-shifts") == 1
+
+
+def test_all_jobs_run_on_one_set_of_sources(spark, tmp_path):
+    views, locations = DriverViews(spark, SMALL), {}
+    for name in views:
+        locations[name] = str(tmp_path / name)
+        views[name].write.parquet(locations[name])
+    tables = read_sources(spark, locations, "parquet")
+    assert tables["option_history"].columns != tables["options"].columns
+    assert "meta" not in tables["latest_shifts"].columns
+    for job in JOBS.values():
+        assert rows(job(tables)) == rows(job(views))
+
+
+def test_salted_lines_give_the_same_rates(spark):
+    panel = spark.createDataFrame(
+        [("GB", s, "A" if s % 2 else "B", status, f"c{s // 2}") for s in range(8) for status in ("running", "paused")],
+        "country string, fk_subscription long, cohort string, status string, customer_uuid string",
+    )
+    hot = [("GB", 1, n % 500, f"2024-W{1 + n % 9:02d}") for n in range(3000)]
+    lines = spark.createDataFrame(
+        hot + [("GB", s, 1000 + s * 10 + n, "2024-W03") for s in range(9) for n in range(s)],
+        "country string, fk_subscription long, order_line_items_id long, delivery_week string",
+    )
+    ranges = {"Pre": ("2024-W01", "2024-W04"), "Post": ("2024-W05", "2024-W08"), "Never": ("2024-W40", "2024-W41")}
+    for options in ({}, {"box_counts": True, "per_customer": True}):
+        plain = rows(order_rates(panel, lines, ranges, **options))
+        assert rows(order_rates(panel, lines, ranges, **options, salts=16)) == plain
+    boxes = order_rates(panel, lines, ranges, box_counts=True, per_customer=True).where("cohort = 'A'").first()
+    assert boxes["Never_BoxCount"] == 0 and boxes["Never"] == 0.0
+    assert boxes["Pre"] == round(boxes["Pre_BoxCount"] / boxes["Total_Customers"], 2)
+
+
+def test_a_hot_subscription_is_dealt_to_many_partitions(spark):
+    lines = spark.range(60_000).selectExpr(
+        "'GB' AS country",
+        "if(id % 3 = 0, 1L, id % 5000) AS fk_subscription",
+        "id AS order_line_items_id",
+        "'2024-W03' AS delivery_week",
+    )
+    marked = lines.withColumn("salt", F.pmod(F.xxhash64("order_line_items_id"), F.lit(SALTS)))
+    sizes = [r["count"] for r in marked.groupBy("country", "fk_subscription", "salt").count().collect()]
+    assert max(sizes) < 2 * 20_000 / SALTS

@@ -48,6 +48,16 @@ def tables(spark):
         ],
     )
     french = {"business_unit": "FR", "origin_option_handle": "a", "target_option_handle": "c"}
+    moved = [
+        shift(**french, postal_code="75001", target_date="2024-01-30"),
+        shift(**french, postal_code="75003", meta=("d",)),
+        shift(
+            **french,
+            postal_code="75006",
+            target_date="2024-01-25",
+            published_time="2024-01-02T08:00:00",
+        ),
+    ]
     return {
         "calendar": calendar(spark),
         "entities": table(
@@ -55,20 +65,8 @@ def tables(spark):
         ),
         "snapshots": snapshots,
         "status_snapshots": snapshots,
-        "shifts": table(
-            spark,
-            "shifts",
-            [
-                shift(**french, postal_code="75001", target_date="2024-01-30"),
-                shift(**french, postal_code="75003", meta=("d",)),
-                shift(
-                    **french,
-                    postal_code="75006",
-                    target_date="2024-01-25",
-                    published_time="2024-01-02T08:00:00",
-                ),
-            ],
-        ),
+        "shifts": table(spark, "shifts", moved),
+        "latest_shifts": table(spark, "latest_shifts", moved),
         "changes": table(
             spark, "changes", [change(4, 1, "b", unit="FR"), change(5, 3, "a", unit="FR")]
         ),
@@ -137,7 +135,9 @@ def test_status_rates_by_packing_day(tables):
         ("running", 1 / 3, 0.0, 1.0, 0.0),
     ]
     assert len(rates.columns) == 2 + 14 + 1
-    strict = plans.holiday_status_rates_by_option(tables, plans.HolidayStudy(**WINDOWS))
+    strict = plans.holiday_status_rates_by_option(
+        tables, plans.HolidayStudy(**WINDOWS), null_is_true=""
+    )
     assert rows(strict, "Date", "Status", "Cohort_A_TRUE", "Cohort_C_TRUE") == [
         (20240101, "paused", 0.0, 0.0),
         (20240110, "paused", 0.0, 1.0),
