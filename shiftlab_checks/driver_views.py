@@ -3,7 +3,8 @@
 Events act as subscription snapshots (a user is a subscription), parts as delivery options, orders
 and line items as order lines. Every table follows ``sources.SCHEMAS``; ``duckdb_views`` derives the
 same rows for the SQL side. What the last digit of a subscription decides (zone, target date,
-deleted or not) is there to reach every rule of the analyses.
+deleted or not) is there to reach every rule of the analyses; a quarter of the subscriptions exist in
+two units, some never pause, run or cancel, and some are not seen in the panel's first days.
 """
 
 from __future__ import annotations
@@ -45,11 +46,15 @@ SELECT n_nationkey, n_name, r_name,
 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"""
 
 UNITS = """
-SELECT c_custkey AS fk_subscription, unit AS country FROM {customer} JOIN {nations} ON c_nationkey = n_nationkey"""
+SELECT c_custkey AS fk_subscription,
+       explode(if(c_custkey % 4 = 1, array(unit, if(unit = 'BE', 'FR', 'BE')), array(unit))) AS country
+FROM {customer} JOIN {nations} ON c_nationkey = n_nationkey"""
 
 EVENTS = """
-SELECT user_id AS sub, country AS unit, to_date(ts) AS day, event_type, value,
-       CASE event_type WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'paused' ELSE 'running' END AS status
+SELECT user_id AS sub, country AS unit, event_type, value,
+       if(user_id % 7 = 5, greatest(to_date(ts), DATE'2024-01-03'), to_date(ts)) AS day,
+       CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'cancelled'
+            WHEN event_type = 'click' AND user_id % 7 < 3 OR user_id % 7 = 6 THEN 'paused' ELSE 'running' END AS status
 FROM {events} JOIN {units} ON user_id = fk_subscription"""
 
 SNAPSHOTS = f"""
@@ -60,8 +65,8 @@ SELECT unit AS country, sub AS fk_subscription,
        {_ZIP.format(unit="unit", sub="sub")} AS zip,
        CASE WHEN value <= 110 THEN status END AS status_wk_0,
        status AS status_wk_1,
-       if(value > 50, 'paused', status) AS status_wk_2,
-       if(event_type = 'view' AND value > 100, 'paused', status) AS status_wk_3,
+       if(value > 50 AND sub % 7 < 3, 'paused', status) AS status_wk_2,
+       if(event_type = 'view' AND value > 100 AND sub % 7 < 3, 'paused', status) AS status_wk_3,
        status AS status_wk_4
 FROM {{user_events}}"""
 
@@ -73,29 +78,37 @@ SELECT country AS business_unit,
        concat_ws('/', country, postal_code, origin_date, handle) AS shift_id,
        postal_code,
        handle AS origin_option_handle,
-       if(digit % 3 = 0, handle, replace(handle, '0800-1200', '1200-1800')) AS target_option_handle,
+       if(digit % 3 = 0 OR country IN ('FR', 'IE'), handle, replace(handle, '0800-1200', '1200-1800'))
+           AS target_option_handle,
        origin_date,
        string(date_add(origin_date, CASE digit WHEN 0 THEN -2 WHEN 1 THEN -1 WHEN 2 THEN 1 WHEN 3 THEN 2
            WHEN 4 THEN 3 WHEN 5 THEN -3 WHEN 6 THEN -4 WHEN 7 THEN 1 WHEN 9 THEN -5 END)) AS target_date,
        digit % 2 = 0 AS visible_to_customer,
        concat('2024010', 1 + digit % 3, 'T0600') AS fk_imported_at,
        concat('2024-01-0', published, 'T08:00:00') AS published_time,
-       struct(CASE WHEN digit = 7 THEN 'd' WHEN digit = 5 THEN NULL WHEN digit % 2 = 0 THEN 'c' ELSE 'u' END
+       struct(CASE WHEN digit = 7 THEN 'd' WHEN digit = 5 AND handle LIKE 'D-0%' THEN NULL WHEN digit % 2 = 0 THEN 'c' ELSE 'u' END
            AS operation) AS meta
 FROM (SELECT *, explode(array(1 + digit % 7, 9)) AS published
       FROM (SELECT *, explode(array('D-0-0800-1200', 'D-1-0800-1200')) AS handle FROM {zones}))"""
 
+# The latest state of the shifts: the last publication only, no marks, and one target date corrected.
+LATEST_SHIFTS = """
+SELECT business_unit, origin_option_handle, target_option_handle, origin_date,
+       if(target_date = string(date_add(origin_date, -4)), string(date_add(origin_date, 3)), target_date) AS target_date,
+       postal_code, published_time
+FROM {shifts} WHERE published_time LIKE '2024-01-09%'"""
+
 CHANGES = f"""
 SELECT unit AS business_unit, sub AS fk_subscription,
        int(if(event_type = 'click', 1 + sub % 5, 1)) AS delivery_weekday,
-       CASE event_type WHEN 'click' THEN concat('D-', (sub + 1) % 2, '-0800-1200')
-                       WHEN 'purchase' THEN concat('D-', sub % 2, '-0800-1200') END AS delivery_time,
+       CASE WHEN dayofmonth(day) % 7 <> sub % 7 THEN NULL
+            WHEN event_type = 'click' THEN concat('D-', (sub + 1) % 2, '-0800-1200')
+            WHEN event_type = 'purchase' THEN concat('D-', sub % 2, '-0800-1200') END AS delivery_time,
        {_WEEK.format(day="date_add(day, 28)")} AS week_id
-FROM {{user_events}}
-WHERE event_type IN ('click', 'purchase', 'signup') AND value > 120"""
+FROM {{user_events}}"""
 
-OPTIONS = """
-SELECT region_code,
+_OPTIONS = """
+SELECT if(region_code = 'NL' AND slot = 1, 'XX', region_code) AS region_code,
        concat('D-', day, if(slot = 0, '-0800-1200', '-1200-1800')) AS option_handle,
        int(3 + count(*) % 3) AS cutoff,
        CAST((count(*) % 2) * 1.5 AS DECIMAL(10, 2)) AS surcharge_price,
@@ -110,11 +123,12 @@ SELECT region_code,
 FROM (SELECT element_at(array('GB', 'IE', 'NL', 'FR', 'BE'), int(1 + p_partkey % 5)) AS region_code,
              p_size % 2 AS day,
              (p_partkey DIV 5) % 2 AS slot,
-             element_at(array(20231215, 20240105, 20240120), int(1 + (p_partkey DIV 10) % 3)) AS fk_imported_at,
+             element_at(array($imports), int(1 + (p_partkey DIV 10) % size(array($imports)))) AS fk_imported_at,
              p_size
       FROM {part})
-WHERE NOT (region_code = 'NL' AND slot = 1)
 GROUP BY region_code, day, slot, fk_imported_at"""
+OPTIONS = _OPTIONS.replace("$imports", "20231215, 20240105, 20240120")
+OPTION_HISTORY = _OPTIONS.replace("$imports", "20231215, 20240102, 20240105, 20240110, 20240120")
 
 ORDER_LINES = f"""
 SELECT subscription_id, customer_uuid, create_date, o_orderkey * 10 + l_linenumber AS order_line_items_id,
@@ -153,12 +167,14 @@ class DriverViews(Mapping):
 
     names = (
         "shifts",
+        "latest_shifts",
         "changes",
         "calendar",
         "entities",
         "snapshots",
         "status_snapshots",
         "options",
+        "option_history",
         "order_items",
         "order_lines",
     )
@@ -226,13 +242,20 @@ class DriverViews(Mapping):
         )
         return self._sql(SHIFTS, zones=zones)
 
+    def latest_shifts(self) -> DataFrame:
+        return self._sql(LATEST_SHIFTS, shifts=self["shifts"])
+
     def changes(self) -> DataFrame:
         return self._sql(CHANGES, user_events=self._user_events())
 
     def options(self) -> DataFrame:
-        """Three imports per option; the Dutch afternoon slots have no option row."""
+        """Three imports per option; the Dutch afternoon slots stand under a region nobody knows."""
         return self._sql(OPTIONS, "part")
 
+    def option_history(self) -> DataFrame:
+        """Five imports per option, other attributes than the latest options have."""
+        return self._sql(OPTION_HISTORY, "part").drop("start_time", "end_time")
+
     def order_lines(self) -> DataFrame:
         return self._sql(ORDER_LINES, "orders", "lineitem", units=self._units())
 

@@ -49,11 +49,15 @@ VIEWS = {
     "v_entities": """
     SELECT r_name AS country_group, n_name AS country, unit AS entity_code FROM v_nation""",
     "v_units": """
-    SELECT c_custkey AS fk_subscription, unit AS country
+    SELECT c_custkey AS fk_subscription,
+           unnest(CASE WHEN c_custkey % 4 = 1 THEN [unit, CASE unit WHEN 'BE' THEN 'FR' ELSE 'BE' END]
+                       ELSE [unit] END) AS country
     FROM customer JOIN v_nation ON c_nationkey = n_nationkey""",
     "v_events": """
-    SELECT user_id AS sub, country AS unit, CAST(ts AS DATE) AS day, event_type, value,
-           CASE event_type WHEN 'error' THEN 'cancelled' WHEN 'click' THEN 'paused' ELSE 'running' END AS status
+    SELECT user_id AS sub, country AS unit, event_type, value,
+           CASE WHEN user_id % 7 = 5 THEN greatest(CAST(ts AS DATE), DATE '2024-01-03') ELSE CAST(ts AS DATE) END AS day,
+           CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'cancelled'
+                WHEN event_type = 'click' AND user_id % 7 < 3 OR user_id % 7 = 6 THEN 'paused' ELSE 'running' END AS status
     FROM events JOIN v_units ON user_id = fk_subscription""",
     "v_snapshots": f"""
     SELECT unit AS country,
@@ -64,8 +68,8 @@ VIEWS = {
            {_ZIP.format(unit="unit", sub="sub")} AS zip,
            CASE WHEN value <= 110 THEN status END AS status_wk_0,
            status AS status_wk_1,
-           CASE WHEN value > 50 THEN 'paused' ELSE status END AS status_wk_2,
-           CASE WHEN event_type = 'view' AND value > 100 THEN 'paused' ELSE status END AS status_wk_3,
+           CASE WHEN value > 50 AND sub % 7 < 3 THEN 'paused' ELSE status END AS status_wk_2,
+           CASE WHEN event_type = 'view' AND value > 100 AND sub % 7 < 3 THEN 'paused' ELSE status END AS status_wk_3,
            status AS status_wk_4
     FROM v_events""",
     "v_plans": f"""
@@ -77,7 +81,7 @@ VIEWS = {
            country || '/' || postal_code || '/' || origin_date || '/' || handle AS shift_id,
            postal_code,
            handle AS origin_option_handle,
-           CASE WHEN digit % 3 = 0 THEN handle ELSE replace(handle, '0800-1200', '1200-1800') END AS target_option_handle,
+           CASE WHEN digit % 3 = 0 OR country IN ('FR', 'IE') THEN handle ELSE replace(handle, '0800-1200', '1200-1800') END AS target_option_handle,
            origin_date,
            strftime(CAST(origin_date AS DATE)
                + CAST(CASE digit WHEN 0 THEN -2 WHEN 1 THEN -1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3
@@ -86,21 +90,27 @@ VIEWS = {
            digit % 2 = 0 AS visible_to_customer,
            '2024010' || (1 + digit % 3) || 'T0600' AS fk_imported_at,
            '2024-01-0' || published || 'T08:00:00' AS published_time,
-           CASE WHEN digit = 7 THEN 'd' WHEN digit = 5 THEN NULL WHEN digit % 2 = 0 THEN 'c' ELSE 'u' END AS operation
+           CASE WHEN digit = 7 THEN 'd' WHEN digit = 5 AND handle LIKE 'D-0%' THEN NULL WHEN digit % 2 = 0 THEN 'c' ELSE 'u' END AS operation
     FROM v_plans,
          (VALUES ('D-0-0800-1200'), ('D-1-0800-1200')) AS handles(handle),
          unnest([1 + digit % 7, 9]) AS publications(published)""",
+    "v_latest_shifts": """
+    SELECT business_unit, origin_option_handle, target_option_handle, origin_date,
+           CASE date_diff('day', CAST(origin_date AS DATE), CAST(target_date AS DATE))
+               WHEN -4 THEN strftime(CAST(origin_date AS DATE) + 3, '%Y-%m-%d') ELSE target_date END AS target_date,
+           postal_code, published_time
+    FROM v_shifts WHERE published_time LIKE '2024-01-09%'""",
     "v_changes": """
     SELECT unit AS business_unit,
            sub AS fk_subscription,
            CAST(CASE WHEN event_type = 'click' THEN 1 + sub % 5 ELSE 1 END AS INTEGER) AS delivery_weekday,
-           CASE event_type WHEN 'click' THEN 'D-' || ((sub + 1) % 2) || '-0800-1200'
-                           WHEN 'purchase' THEN 'D-' || (sub % 2) || '-0800-1200' END AS delivery_time,
+           CASE WHEN extract(day FROM day) % 7 <> sub % 7 THEN NULL
+                WHEN event_type = 'click' THEN 'D-' || ((sub + 1) % 2) || '-0800-1200'
+                WHEN event_type = 'purchase' THEN 'D-' || (sub % 2) || '-0800-1200' END AS delivery_time,
            strftime(day + 28, '%G-W%V') AS week_id
-    FROM v_events
-    WHERE event_type IN ('click', 'purchase', 'signup') AND value > 120""",
+    FROM v_events""",
     "v_options": """
-    SELECT region_code,
+    SELECT CASE WHEN region_code = 'NL' AND slot = 1 THEN 'XX' ELSE region_code END AS region_code,
            'D-' || day || (CASE slot WHEN 0 THEN '-0800-1200' ELSE '-1200-1800' END) AS option_handle,
            CAST(3 + count(*) % 3 AS INTEGER) AS cutoff,
            CAST((count(*) % 2) * 1.5 AS DECIMAL(10, 2)) AS surcharge_price,
@@ -113,10 +123,9 @@ VIEWS = {
     FROM (SELECT ['GB', 'IE', 'NL', 'FR', 'BE'][1 + p_partkey % 5] AS region_code,
                  p_size % 2 AS day,
                  (p_partkey // 5) % 2 AS slot,
-                 [20231215, 20240105, 20240120][1 + (p_partkey // 10) % 3] AS fk_imported_at,
+                 [$imports][1 + (p_partkey // 10) % len([$imports])] AS fk_imported_at,
                  p_size
           FROM part)
-    WHERE NOT (region_code = 'NL' AND slot = 1)
     GROUP BY region_code, day, slot, fk_imported_at""",
     "v_order_lines": """
     SELECT o_custkey AS subscription_id,
@@ -148,6 +157,9 @@ VIEWS = {
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
 }
 
+VIEWS["v_option_history"] = VIEWS["v_options"].replace("$imports", "20231215, 20240102, 20240105, 20240110, 20240120")
+VIEWS["v_options"] = VIEWS["v_options"].replace("$imports", "20231215, 20240105, 20240120")
+
 
 def with_views(steps: dict[str, str], query: str, views: dict[str, str] | None = None) -> str:
     """``query`` preceded by the views and named steps it uses, directly or through others."""

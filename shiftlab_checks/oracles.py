@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from shiftlab_checks.duckdb_views import ZONE_1, ZONE_2, with_views
 from shiftlab_checks.queries import FLAG_VARIANTS, HOLIDAY, MIN_IMPORT, MIN_WEEK, ORDER_STUDY, STUDY, UNITS
-from shiftlab.operators.cohorts import (
-    OPTION_LETTERS,
-    ORDER_LETTERS,
-    STATUS_LETTERS,
-    cohort_name,
-)
+
+# Written out, so that a wrong letter in the library shows. Cohorts by days moved.
+STATUS_COHORTS = """WHEN 0 THEN 'Cohort A (0)' WHEN -1 THEN 'Cohort B (-1)' WHEN 1 THEN 'Cohort C (+1)'
+    WHEN -2 THEN 'Cohort D (-2)' WHEN 2 THEN 'Cohort E (+2)' WHEN -3 THEN 'Cohort F (-3)' WHEN 3 THEN 'Cohort G (+3)'"""
+OPTION_COHORTS = STATUS_COHORTS + " WHEN -4 THEN 'Cohort H (-4)'"
+ORDER_COHORTS = """WHEN 0 THEN 'Cohort A (0)' WHEN -1 THEN 'Cohort B (-1)' WHEN 1 THEN 'Cohort C (+1)'
+    WHEN -2 THEN 'Cohort D (-2)' WHEN 2 THEN 'Cohort E (+2)' WHEN 3 THEN 'Cohort F (+3)' WHEN -3 THEN 'Cohort G (-3)'"""
+COLUMN_COHORTS = {
+    "A": "Cohort A (0)",
+    "B": "Cohort B (-1)",
+    "C": "Cohort C (+1)",
+    "D": "Cohort D (-2)",
+    "E": "Cohort E (+2)",
+    "F": "Cohort F (-3)",
+    "G": "Cohort G (+3)",
+}
 
 _UNITS = ", ".join(f"'{u}'" for u in UNITS)
 
@@ -19,9 +29,8 @@ def _between(column: str, bounds: tuple) -> str:
     return f"{column} BETWEEN {low} AND {high}"
 
 
-def _label(days: str, letters: dict[int, str]) -> str:
-    whens = " ".join(f"WHEN {d} THEN '{cohort_name(letter, d)}'" for d, letter in letters.items())
-    return f"CASE {days} {whens} END"
+def _label(days: str, cohorts: str) -> str:
+    return f"CASE {days} {cohorts} END"
 
 
 def _days(later: str, earlier: str) -> str:
@@ -53,6 +62,10 @@ STEPS = {
     SELECT DISTINCT business_unit, origin_option_handle, target_option_handle, origin_date, target_date, postal_code,
            replace(left(published_time, 10), '-', '') AS published_date
     FROM v_shifts WHERE business_unit IN ({_UNITS}) AND origin_date = '{HOLIDAY}'""",
+    "s_latest": f"""
+    SELECT DISTINCT business_unit, origin_option_handle, target_option_handle, origin_date, target_date, postal_code,
+           replace(left(published_time, 10), '-', '') AS published_date
+    FROM v_latest_shifts WHERE business_unit IN ({_UNITS}) AND origin_date = '{HOLIDAY}'""",
     "s_changes": f"""
     SELECT c.business_unit, c.fk_subscription, c.delivery_weekday AS changed_delivery_weekday, d.day_name,
            c.delivery_time AS changed_delivery_time, d.calendar_date AS changed_delivery_date,
@@ -103,7 +116,7 @@ STEPS = {
     FROM (SELECT f.*, {ZONE_2.format(code="e.entity_code")} AS zone
           FROM (SELECT country, fk_subscription, delivery_time, zip, updated_delivery_date FROM s_redated) f
           LEFT JOIN (SELECT DISTINCT entity_code FROM v_entities) e ON e.entity_code = f.country) r
-    LEFT JOIN (SELECT DISTINCT business_unit, postal_code, origin_option_handle, target_date FROM s_active_all) a
+    LEFT JOIN (SELECT DISTINCT business_unit, postal_code, origin_option_handle, target_date FROM s_latest) a
       ON a.business_unit = r.country AND a.postal_code = r.zone AND a.origin_option_handle = r.delivery_time""",
     "s_flags": f"""
     SELECT m.*,
@@ -120,14 +133,14 @@ STEPS = {
     LEFT JOIN s_options o2 ON o2.country = m.business_unit AND o2.option_handle = m.target_option_handle""",
     "s_labelled": f"""
     SELECT *, {_days('target_date', 'updated_delivery_date')} AS day_shift,
-           {_label(_days('target_date', 'updated_delivery_date'), STATUS_LETTERS)} AS cohort
+           {_label(_days('target_date', 'updated_delivery_date'), STATUS_COHORTS)} AS cohort
     FROM s_matched WHERE updated_delivery_date = '{HOLIDAY}'""",
     "s_option_labelled": f"""
-    SELECT *, {_label(_days('target_date', 'updated_delivery_date'), OPTION_LETTERS)} AS cohort
+    SELECT *, {_label(_days('target_date', 'updated_delivery_date'), OPTION_COHORTS)} AS cohort
     FROM s_flags WHERE updated_delivery_date = '{HOLIDAY}'""",
     "s_order_labelled": f"""
     SELECT *, {_days('target_date', 'updated_delivery_date')} AS day_shift,
-           {_label(_days('target_date', 'updated_delivery_date'), ORDER_LETTERS)} AS cohort
+           {_label(_days('target_date', 'updated_delivery_date'), ORDER_COHORTS)} AS cohort
     FROM s_planned_match WHERE updated_delivery_date = '{HOLIDAY}'""",
     "s_dates": f"""
     SELECT DISTINCT fk_imported_at_date FROM v_snapshots
@@ -141,7 +154,7 @@ STEPS = {
     SELECT DISTINCT p.country, p.fk_subscription, p.fk_imported_at_date, p.status, l.cohort
     FROM s_statuses p LEFT JOIN s_labelled l USING (country, fk_subscription)""",
     "s_totals": """
-    SELECT fk_imported_at_date, cohort, count(DISTINCT fk_subscription) AS total_subs
+    SELECT fk_imported_at_date, cohort, count(DISTINCT (country, fk_subscription)) AS total_subs
     FROM s_attached GROUP BY ALL""",
     "s_customers": f"""
     SELECT entity_code AS country, subscription_id AS fk_subscription, customer_uuid
@@ -167,13 +180,16 @@ def _rounded_ratio(above: str, below: str) -> str:
     return f"((200 * {above} + {below}) // nullif(2 * {below}, 0)) / 100"
 
 
-def _order_rates(by: str) -> str:
+def _order_rates(by: str, per_customer: bool = False) -> str:
     counts, ratios = [], []
     for name, weeks in ORDER_STUDY.ranges.items():
         inside = _between("o.delivery_week", weeks)
         counts.append(f"count(DISTINCT CASE WHEN {inside} THEN o.order_line_items_id END) AS lines_{name}")
         counts.append(f"count(DISTINCT CASE WHEN {inside} THEN o.customer_uuid END) AS people_{name}")
-        ratios.append(f"{_rounded_ratio(f'lines_{name}', f'people_{name}')} AS {name}")
+        below = "people" if per_customer else f"people_{name}"
+        ratios.append(f"{_rounded_ratio(f'lines_{name}', below)} AS {name}")
+        if per_customer:
+            ratios.append(f'lines_{name} AS "{name}_BoxCount"')
     key = f"{by} cohort, status"
     return f"""
     SELECT {key}, people AS "Total_Customers", {', '.join(ratios)}
@@ -183,6 +199,7 @@ def _order_rates(by: str) -> str:
 
 
 STEPS["s_order_rates"] = _order_rates("")
+STEPS["s_rates_per_customer"] = _order_rates("", per_customer=True)
 STEPS["s_country_rates"] = _order_rates("country,")
 STEPS["s_deltas"] = """
     SELECT country AS "Country", 'Test Monday' AS "Holiday", cohort, status,
@@ -194,7 +211,7 @@ STEPS["s_deltas"] = """
 def _wide_rates(columns: dict[str, str], source: str, totals: str, where: str = "") -> str:
     """Shares of the cohort total per (day, status, cohort), widened by the largest value."""
     inner = ", ".join(
-        f"count(DISTINCT CASE WHEN {test} THEN a.fk_subscription END) / t.total_subs AS {name}"
+        f"count(DISTINCT CASE WHEN {test} THEN (a.country, a.fk_subscription) END) / t.total_subs AS {name}"
         for name, test in columns.items()
     )
     outer = ", ".join(f'max({name}) AS "{name}"' for name in columns)
@@ -217,11 +234,11 @@ def _status_rates(letters: str, zone_filter: str) -> str:
     FROM r_members m JOIN v_snapshots s USING (country, fk_subscription)
     WHERE {_between('s.fk_imported_at_date', STUDY.panel_range)}""",
         "r_totals": """
-    SELECT fk_imported_at_date, cohort, count(DISTINCT fk_subscription) AS total_subs FROM r_attached GROUP BY ALL""",
+    SELECT fk_imported_at_date, cohort, count(DISTINCT (country, fk_subscription)) AS total_subs FROM r_attached GROUP BY ALL""",
     }
     columns = {
-        f"Cohort_{letter}": f"a.cohort = '{cohort_name(letter, days)}'"
-        for days, letter in STATUS_LETTERS.items()
+        f"Cohort_{letter}": f"a.cohort = '{cohort}'"
+        for letter, cohort in COLUMN_COHORTS.items()
         if letter in letters
     }
     return with_views({**STEPS, **steps}, _wide_rates(columns, "r_attached", "r_totals"), None)
@@ -235,12 +252,12 @@ def _flag_rates(flag: str, null_is_true: str, statuses: tuple[str, ...]) -> str:
     FROM r_members m JOIN v_snapshots s USING (country, fk_subscription)
     WHERE {_between('s.fk_imported_at_date', STUDY.panel_range)}""",
         "r_totals": """
-    SELECT fk_imported_at_date, cohort, count(DISTINCT fk_subscription) AS total_subs FROM r_attached GROUP BY ALL""",
+    SELECT fk_imported_at_date, cohort, count(DISTINCT (country, fk_subscription)) AS total_subs FROM r_attached GROUP BY ALL""",
     }
     wanted = ", ".join(f"'{s}'" for s in statuses)
     columns = {}
-    for days, letter in STATUS_LETTERS.items():
-        own = f"a.cohort = '{cohort_name(letter, days)}'"
+    for letter, cohort in COLUMN_COHORTS.items():
+        own = f"a.cohort = '{cohort}'"
         changed = "a.flag IS NULL" if letter in null_is_true else "a.flag"
         columns[f"Cohort_{letter}_TRUE"] = f"{own} AND {changed}"
         columns[f"Cohort_{letter}_FALSE"] = f"{own} AND NOT a.flag"
@@ -260,7 +277,7 @@ def _report(source: str, country: str, holiday: str, letter: str, order: str) ->
            coalesce(count(*) FILTER (WHERE c.control <= r.{metric}), 0) AS better_or_equal,
            count(*) AS comparisons,
            CASE WHEN count(*) > 0
-                THEN round_even(count(*) FILTER (WHERE c.control <= r.{metric}) / count(*) * 100, 1)
+                THEN CAST(format('{{:.1f}}', count(*) FILTER (WHERE c.control <= r.{metric}) / count(*) * 100) AS DOUBLE)
                 ELSE 0.0 END AS percentage
     FROM {source} r
     JOIN (SELECT {country} AS c_country, {holiday} AS c_holiday, {metric} AS control FROM {source}
@@ -304,6 +321,10 @@ STEPS["s_deliveries"] = f"""
     LEFT JOIN s_outcomes o ON o.country = p.country AND o.zip = p.zip AND o.fk_subscription = p.fk_subscription
                           AND o.updated_delivery_time = p.updated_delivery_time AND o.delivery_week = p.delivery_week"""
 
+STEPS["s_history"] = f"""
+    SELECT o.region_code AS country, o.option_handle, o.cutoff, o.surcharge_price, o.packing_day
+    FROM v_option_history o WHERE o.fk_imported_at >= {MIN_IMPORT} AND o.region_code IN ({_UNITS})"""
+
 _IMPACT = f"""
     SELECT h.market, h.country, h.shift_id, h.postal_code, h.visible_to_customer, h.published_date,
            left(o1.packing_day, 3) AS origin_packing_day, o1.cutoff AS origin_cutoff_value,
@@ -318,8 +339,8 @@ _IMPACT = f"""
            {_days('coalesce(h.target_date, h.origin_date)', 'h.origin_date')} AS day_difference,
            b.is_delivered, count(DISTINCT b.fk_subscription) AS subscription_count
     FROM s_registry h
-    LEFT JOIN s_options o1 ON o1.country = h.country AND o1.option_handle = h.origin_option_handle
-    LEFT JOIN s_options o2 ON o2.country = h.country AND o2.option_handle = h.target_option_handle
+    LEFT JOIN s_history o1 ON o1.country = h.country AND o1.option_handle = h.origin_option_handle
+    LEFT JOIN s_history o2 ON o2.country = h.country AND o2.option_handle = h.target_option_handle
     LEFT JOIN s_deliveries b ON b.country = h.country AND b.zone = h.postal_code
                             AND b.updated_delivery_time = h.origin_option_handle
                             AND b.updated_delivery_date = h.origin_date
@@ -389,7 +410,7 @@ _SELECTS = {
     "attached_cohorts": "SELECT * FROM s_attached",
     "cohort_totals": "SELECT * FROM s_totals",
     "daily_cohort_counts": """
-    SELECT a.fk_imported_at_date, a.cohort, a.status, count(DISTINCT a.fk_subscription) AS members,
+    SELECT a.fk_imported_at_date, a.cohort, a.status, count(DISTINCT (a.country, a.fk_subscription)) AS members,
            any_value(t.total_subs) AS total_subs
     FROM s_attached a JOIN s_totals t
       ON t.fk_imported_at_date = a.fk_imported_at_date AND t.cohort IS NOT DISTINCT FROM a.cohort
@@ -404,9 +425,9 @@ _SELECTS = {
     SELECT origin_date, count(DISTINCT postal_code) AS postal_codes
     FROM v_shifts WHERE operation <> 'd' GROUP BY origin_date""",
     "published_dates": "SELECT DISTINCT published_date FROM s_active",
-    "cohort_sizes": "SELECT cohort, count(DISTINCT fk_subscription) AS subscriptions FROM s_labelled GROUP BY cohort",
+    "cohort_sizes": "SELECT cohort, count(DISTINCT (country, fk_subscription)) AS subscriptions FROM s_labelled GROUP BY cohort",
     "cohort_sizes_by_delivery_time": """
-    SELECT cohort, delivery_time_shift, count(DISTINCT fk_subscription) AS subscriptions
+    SELECT cohort, delivery_time_shift, count(DISTINCT (country, fk_subscription)) AS subscriptions
     FROM s_option_labelled GROUP BY cohort, delivery_time_shift""",
     "latest_customers": "SELECT * FROM s_customers",
     "cohort_orders": f"""
@@ -417,6 +438,7 @@ _SELECTS = {
     WHERE {_between('o.delivery_week', ORDER_STUDY.order_weeks)} AND o.order_item_type = 'Mealboxes'""",
     "shift_impact_table": _IMPACT,
     "order_rates": 'SELECT * RENAME (cohort AS "Cohort", status AS "Status") FROM s_order_rates',
+    "order_rates_per_customer": 'SELECT * RENAME (cohort AS "Cohort", status AS "Status") FROM s_rates_per_customer',
     "order_rate_deltas": "SELECT * FROM s_deltas",
     "control_report_of_order_rates": _report("s_deltas", "Country", "Holiday", _LETTER, "cohort"),
     "control_report": _report("v_comparison", "country", "holiday", _LETTER, "ordinal"),

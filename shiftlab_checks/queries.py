@@ -87,6 +87,10 @@ def _active(t, drop_deleted: bool = True) -> DataFrame:
     return shifts.active_shifts(t["shifts"], UNITS, HOLIDAY, drop_deleted)
 
 
+def _latest(t) -> DataFrame:
+    return shifts.active_shifts(t["latest_shifts"], UNITS, HOLIDAY, drop_deleted=False)
+
+
 def _one_offs(t, dedupe: bool = True) -> DataFrame:
     return subscriptions.one_off_changes(t["changes"], t["calendar"], UNITS, MIN_WEEK, dedupe)
 
@@ -240,7 +244,7 @@ def matched_shifts_by_planned_time(t):
         moved.select(
             "country", "fk_subscription", "zone", "delivery_time", "updated_delivery_date"
         ),
-        _active(t, drop_deleted=False),
+        _latest(t),
         by_date=False,
         time="delivery_time",
     )
@@ -420,6 +424,11 @@ def order_rates(t):
     return plans.holiday_order_rates(t, ORDER_STUDY)
 
 
+@registered
+def order_rates_per_customer(t):
+    return plans.holiday_order_rates(t, ORDER_STUDY, box_counts=True, per_customer=True)
+
+
 def _comparison_input(t) -> DataFrame:
     by_country = plans.holiday_order_rates(t, ORDER_STUDY, by_country=True)
     return plans.comparison_input(by_country, "Test Monday", HOLIDAY)
