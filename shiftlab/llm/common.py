@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 
 from shiftlab.operators.scale import staged
 
-__all__ = ["blank", "fresh", "held_out", "iterate_texts", "read_table", "staged", "text_udf"]
+__all__ = ["blank", "fresh", "held_out", "iterate_texts", "read_table", "staged", "text_batches", "text_udf"]
 
 # Texts are handed to numpy code in slices of about this many characters, so that a batch of very
 # long documents needs no more memory than one of short ones.
 SLICE_CHARS = 4_000_000
+BATCH_ROWS = 1_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +26,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Have Spark hand rows to Python in smaller batches than its default, which is made for numbers.
+
+    Whole texts are long: with the default, a worker would hold tens of megabytes of text several
+    times over. The setting only affects memory; a smaller value that a user has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def blank(column: str = "text") -> Column:
     """The text, empty where it is NULL."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import blank, iterate_texts
+from shiftlab.llm.common import blank, iterate_texts, text_batches
 
 Q = 8
 EDIT_SHARE = 0.05
@@ -265,6 +265,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     searched; a NULL or empty text holds nothing. Repeated rows are reported each, a NULL id as NULL;
     other columns are ignored; an empty table on either side gives no row.
     """
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     kinds = dict(own.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id]
     context = docs.sparkSession.sparkContext
@@ -288,6 +289,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     """The documents, all columns, that hold no place of a benchmark item."""
     context = docs.sparkSession.sparkContext
 
+    text_batches(docs.sparkSession)
+
     def free_of(items: list[tuple]):
         sent = context.broadcast(build_index(items))
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import blank, fresh, held_out, text_udf
+from shiftlab.llm.common import blank, fresh, held_out, text_batches, text_udf
 from shiftlab.llm.windows import Adam, fold_case, labelled_windows, sample_rows, windows
 
 WINDOW = 256
@@ -159,6 +159,7 @@ def with_language(docs: DataFrame, net: ByteNet | None, lang_name: str, score_na
 
         return score
 
+    text_batches(docs.sparkSession)
     both = fresh(docs, "language_score")
     scored = docs.withColumn(both, text_udf(build, 2)(blank(text)))
     names = F.array(*(F.lit(v) for v in languages))

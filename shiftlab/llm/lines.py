@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlab.llm.common import blank, fresh, staged
+from shiftlab.llm.common import blank, fresh, staged, text_batches
 
 # Lines with fewer words than this have exact copies only: one word in few is not a small edit.
 NEAR_WORDS = 8
@@ -161,6 +161,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     number = F.monotonically_increasing_id() if row is None else F.col(row)
     source = docs.select(F.col(doc_id).alias("doc_id"), number.cast("long").alias("row"), blank(text).alias("text"))
     kind = dict(source.dtypes)["doc_id"]
+    text_batches(docs.sparkSession)
     read = source.mapInArrow(_read_lines, f"doc_id {kind}, row long, line int, h long, n int, halves array<long>")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line")
     lines = staged(read.select(place.alias("place"), "h", "n", "halves"), "lines")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from shiftlab.llm.common import blank
+from shiftlab.llm.common import blank, text_batches
 from shiftlab.llm.tokens import WordTokens
 
 VOCABULARY = "word_bpe_49k.json"
@@ -191,5 +191,6 @@ def pack_documents(
 
     schema = f"doc_id {kind}, {COLUMNS}" + (", ids array<long>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
+    text_batches(docs.sparkSession)
     own = docs.select(docs[doc_id].alias("doc_id"), blank(text).alias("text"))
     return own.mapInPandas(run, schema)

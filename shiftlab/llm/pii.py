@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import blank
+from shiftlab.llm.common import blank, text_batches
 
 ROUNDS = 10
 # For the registered query and tests. A production key is passed as ``key`` and kept elsewhere.
@@ -309,6 +309,7 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, doc_id: str = "doc_i
                 }
             )
 
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), blank(text).alias("text"), F.col(text).isNull().alias("absent"))
     counts = ", ".join(f"n_{k} int" for k in KINDS)
     done = own.mapInPandas(run, f"doc_id {kind}, text string, spans string, absent boolean, {counts}")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import blank, fresh, held_out, text_udf
+from shiftlab.llm.common import blank, held_out, text_batches, text_udf
 from shiftlab.llm.windows import Adam, labelled_windows, sample_rows, windows
 
 PASSAGE = 512
@@ -138,6 +138,7 @@ def with_quality(docs: DataFrame, model: BagModel, name: str, text: str = "text"
 
         return score
 
+    text_batches(docs.sparkSession)
     return docs.withColumn(name, text_udf(build, 1)(blank(text))[0])
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import blank, staged
+from shiftlab.llm.common import blank, staged, text_batches
 
 # The base patterns. Letters of the keywords stand in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -96,6 +96,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository
     NULL texts are empty; repeated rows are reported each and are one repository; other columns are
     ignored; an empty table gives no row.
     """
+    text_batches(docs.sparkSession)
     source = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(repository or doc_id).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"),
         blank(text).alias("text"), F.monotonically_increasing_id().alias("row"),

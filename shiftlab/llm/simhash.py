@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlab.llm.common import blank, fresh, staged
+from shiftlab.llm.common import blank, fresh, staged, text_batches
 from shiftlab.llm.components import components
+from shiftlab.llm.windows import HASH_RANGE
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -71,6 +72,7 @@ def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def with_fingerprint(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
     """``docs`` with the fingerprint as a long (its 64 bits) in a column ``name``; NULL text is empty."""
+    text_batches(docs.sparkSession)
     return docs.withColumn(name, _fingerprints(blank(text)))
 
 
@@ -172,7 +174,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, sha
     total = prints.count()
     share = min(1.0, sample / max(total, 1))
     # A hash of the fingerprint picks the sample: the same rows whatever the partitioning.
-    picked = prints.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = prints.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(HASH_RANGE)) < int(share * HASH_RANGE))
     points = picked.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     radius, leaf = max_bits // 2, max(32, int(shard_points * share))
     trees = [grow(half, radius, leaf, seed) for seed, half in enumerate(halves(points), 7)]

@@ -11,7 +11,7 @@ from __future__ import annotations
 import regex
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 # What the vocabulary file states as its word pattern, and the longest control
 # characters that str.split takes for white space while the pattern does not.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HASH_RANGE = 10**15  # a sample's share of it is never rounded to nothing
+
 
 def windows(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts, shape (windows, length), and how many each text has.
@@ -31,7 +33,7 @@ def fold_case(texts: list[str]) -> list[str]:
 def sample_rows(rows: DataFrame, key: str, bound: int) -> DataFrame:
     """About ``bound`` of the rows at most, picked by a hash of ``key``: the same ones in every run."""
     share = min(1.0, bound / max(rows.count(), 1))
-    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(HASH_RANGE)) < int(share * HASH_RANGE))
 
 
 def labelled_windows(rows: DataFrame, text: str, label: str, length: int, per_text: int, lower: bool = False) -> pd.DataFrame:
