@@ -2,9 +2,8 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band: neither words of most
 texts nor words of a few. Frequencies are counted over all documents, per bucket of the terms' hash:
-the table of counts has a fixed size, so it can be sent to all executors
-whatever the corpus holds. A fingerprint starts with a hash of the text's sorted distinct lexicon
-terms; further slots hash the terms that lie in one of several random subsets of the lexicon, denser
+the lexicon is a bit per bucket, of a size fixed whatever the corpus holds. A fingerprint starts with a hash of the text's sorted distinct lexicon
+terms; further slots hash the terms that lie in one of many random subsets of the lexicon, denser
 and sparser ones, so texts that share most of their terms agree in some slots. Likeness is the share
 of equal slots among those that are not empty in both.
 
@@ -15,8 +14,8 @@ documents in ranges of ids; every range also receives the first document of the
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -24,103 +23,97 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import blank
+from shiftlab.llm.common import blank, text_batches
 
 BUCKET_BITS = 21
+BITMAP_BITS = 32_768  # of one bitmap that Spark aggregates
 # The band, as powers of the number of documents N: a term's document frequency lies between them.
 RAREST, COMMONEST = 0.15, 0.85
-FAMILIES = 20
-# A subset at level l holds a share of 2 ** -l of the lexicon.
-LEVELS = (2, 4, 6, 8, 10)
-SLOT_DIGITS = 6
-EMPTY = "0" * SLOT_DIGITS
-TERM_CACHE = 400_000
+# Levels of subsets as (cells the lexicon is dealt to, cells used): each used cell is a subset.
+LEVELS = ((4, 4), (16, 16), (64, 24), (256, 24), (1024, 24))
+SUBSETS = sum(used for _, used in LEVELS)
+SLOT_BYTES = 3
+EMPTY = bytes(SLOT_BYTES)
 
 
-class Terms:
-    """Distinct term hashes of texts, words looked up in a bounded cache."""
+def terms(text: str) -> np.ndarray:
+    """Sorted hashes of the distinct words: lower case, without punctuation at their ends."""
+    words = {w.strip(punctuation) for w in set(text.lower().split())}
+    words.discard("")
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
 
-    def __init__(self):
-        self.split = re.compile(r"\w+").findall
-        self.known: dict[str, int] = {}
 
-    def of(self, text: str) -> np.ndarray:
-        words, known = set(self.split(text.lower())), self.known
-        if len(known) > TERM_CACHE:
-            known.clear()
-        for w in words.difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.sort(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+def buckets(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def buckets(terms: np.ndarray) -> np.ndarray:
-    return (terms >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Document frequency of every bucket, over all documents. Its size does not depend on them."""
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """bucket and n: the document frequency of every bucket that occurs, over all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, total = Terms(), np.zeros(1 << BUCKET_BITS, np.int64)
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for t in batch["text"]:
-                total[np.unique(buckets(terms.of(t)))] += 1
-        held = np.flatnonzero(total).astype(np.int32)
+                total[np.unique(buckets(terms(t)))] += 1
+        held = np.flatnonzero(total)
         for at in range(0, len(held), 100_000):
             part = held[at : at + 100_000]
-            yield pd.DataFrame({"bucket": part, "n": total[part]})
+            yield pd.DataFrame({"bucket": part.astype(np.int32), "n": total[part]})
 
     counts = docs.select(blank(text).alias("text")).mapInPandas(count, "bucket int, n long")
-    # At most 2 ** BUCKET_BITS rows, however many documents there are.
-    table = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
-    total[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    return total
+    return counts.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def lexicon(frequency: np.ndarray, documents: int) -> np.ndarray:
-    """Which buckets lie in the band."""
+def lexicon(frequency: DataFrame, documents: int) -> np.ndarray:
+    """Which buckets lie in the band. Bits are gathered in Spark: 2 ** BUCKET_BITS of them at most."""
     n = max(documents, 1)
-    return (frequency >= n**RAREST) & (frequency <= n**COMMONEST) & (frequency > 1)
+    inside = frequency.where((F.col("n") >= max(2.0, n**RAREST)) & (F.col("n") <= n**COMMONEST))
+    bits = F.bitmap_construct_agg((F.col("bucket") % BITMAP_BITS).cast("long")).alias("bits")
+    band = np.zeros((1 << BUCKET_BITS) // 8, np.uint8).reshape(-1, BITMAP_BITS // 8)
+    for row in inside.groupBy(F.floor(F.col("bucket") / BITMAP_BITS).cast("int").alias("block")).agg(bits).collect():
+        band[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(band.ravel(), bitorder="little").astype(bool)
 
 
-def fingerprint(text: str, band: np.ndarray, terms: Terms) -> str:
-    """The slots of a text, hexadecimal digits one after the other.
+def fingerprint(text: str, band: np.ndarray) -> bytes:
+    """The slots of a text, one after the other; a subset without a term of the text is an empty slot.
 
     A text none of whose terms is in the lexicon is fingerprinted by all its terms, one without terms
     by its characters: texts are never alike for what they lack.
     """
-    every = terms.of(text)
+    every = terms(text)
     own = every[band[buckets(every)]]
     own = own if len(own) else every
     if not len(own):
-        return _slot(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 1)) + EMPTY * (FAMILIES * len(LEVELS))
-    slots = [_slot(xxhash.xxh64_intdigest(own.tobytes()))]
-    for family in range(FAMILIES):
-        # A family orders the lexicon anew; its subsets are the first terms of that order.
-        keyed = own ^ np.uint64((family + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        keyed = (keyed ^ (keyed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        keyed = np.sort((keyed ^ (keyed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB))
-        data = keyed.tobytes()
-        for n in np.searchsorted(keyed, _LIMITS):
-            slots.append(_slot(xxhash.xxh64_intdigest(data[: 8 * n])) if n else EMPTY)
-    return "".join(slots)
-
-
-_LIMITS = np.array([1 << (64 - level) for level in LEVELS], np.uint64)
-
-
-def _slot(value: int) -> str:
-    return f"{value % (16**SLOT_DIGITS - 1) + 1:0{SLOT_DIGITS}x}"
-
-
-def likeness(a: str, b: str) -> float:
+        return _slot(text.encode("utf-8", "surrogatepass"), 1) + EMPTY * SUBSETS
+    slots = [EMPTY] * (1 + SUBSETS)
+    slots[0] = _slot(own.tobytes(), 0)
+    at = 1
+    for level, (cells, used) in enumerate(LEVELS, 1):
+        # Every level orders the lexicon anew and deals it to its cells.
+        keyed = (own ^ np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        keyed = (keyed ^ (keyed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        keyed = np.sort(keyed[keyed < np.uint64(used * (1 << 64) // cells)] if used < cells else keyed)
+        data, cell = keyed.tobytes(), keyed // np.uint64((1 << 64) // cells)
+        ends = np.searchsorted(cell, np.arange(used + 1, dtype=np.uint64)).tolist()
+        for k, (start, end) in enumerate(zip(ends, ends[1:])):
+            if end > start:
+                slots[at + k] = _slot(data[8 * start : 8 * end], level)
+        at += used
+    return b"".join(slots)
+
+
+def _slot(data: bytes, seed: int) -> bytes:
+    return (xxhash.xxh64_intdigest(data, seed) % (256**SLOT_BYTES - 1) + 1).to_bytes(SLOT_BYTES, "big")
+
+
+def likeness(a: bytes, b: bytes) -> float:
     """Share of equal slots among those not empty in both; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    pairs = [(a[i : i + SLOT_DIGITS], b[i : i + SLOT_DIGITS]) for i in range(0, len(a), SLOT_DIGITS)]
-    used = [(x, y) for x, y in pairs if x != EMPTY or y != EMPTY]
-    return sum(x == y for x, y in used) / len(used)
+    x, y = (np.frombuffer(s, np.uint8).reshape(-1, SLOT_BYTES) for s in (a, b))
+    used = np.count_nonzero(x.any(axis=1) | y.any(axis=1))
+    return (np.count_nonzero((x == y).all(axis=1)) - len(x) + used) / used
 
 
 def edited(text: str, following: str) -> str:
@@ -163,22 +156,23 @@ def edited_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), blank(text).alias("text"))
     spark = docs.sparkSession
+    text_batches(spark)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(np.packbits(lexicon(frequencies(own), own.count())))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        band, terms = np.unpackbits(sent.value).astype(bool), Terms()
+        band = np.unpackbits(sent.value).astype(bool)
         held = None  # a document that waits for the next one: (id, text, fingerprint, part)
         for batch in batches:
             rows = []
             for own_id, t, part, extra in zip(batch["doc_id"], batch["text"], batch["part"], batch["extra"]):
                 if held is None and extra:
                     continue  # a further row with the id of the following part's first document
-                print_ = fingerprint(t, band, terms)
+                print_ = fingerprint(t, band)
                 if held is not None:
                     if held[3] != part:
                         raise ValueError("a part does not end with the document that follows it")
-                    rows.append(_compared(held, t, print_, band, terms))
+                    rows.append(_compared(held, t, print_, band))
                 held = None if extra else (None if own_id != own_id else own_id, t, print_, part)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
         if held is not None:
@@ -193,9 +187,9 @@ def edited_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compared(held: tuple, following: str, following_print: str, band: np.ndarray, terms: Terms) -> tuple:
+def _compared(held: tuple, following: str, following_print: bytes, band: np.ndarray) -> tuple:
     own_id, text, own, _ = held
     new = edited(text, following)
-    new_print = own if new == text else fingerprint(new, band, terms)
+    new_print = own if new == text else fingerprint(new, band)
     digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-    return own_id, len(text), digest, own, new_print, likeness(own, new_print), likeness(own, following_print)
+    return own_id, len(text), digest, own.hex(), new_print.hex(), likeness(own, new_print), likeness(own, following_print)
