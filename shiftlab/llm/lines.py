@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlab.llm.common import blank, fresh, staged, text_batches
+from shiftlab.operators.scale import dimension
 
 # Lines with fewer words than this have exact copies only: one word in few is not a small edit.
 NEAR_WORDS = 8
 SIGNED = 1 << 63
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-# Documents looked up for the second reading are sent to all executors up to this many.
-LOOKUP_DOCS = 200_000
+# Lists of lines per document are sent to all executors up to this size, beyond it they are shuffled.
+LOOKUP_BYTES = 50_000_000
 
 
 def hashed(words: list[str], seed: int = 0) -> int:
@@ -197,8 +198,7 @@ def _near_partners(texts: DataFrame, distinct: DataFrame) -> DataFrame:
 
     # Second reading of the documents that hold the first copies of these lines.
     wanted = lines.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line").alias("lines"), F.collect_list("h").alias("hashes"))
-    wanted = staged(wanted, "wanted-lines")
-    wanted = F.broadcast(wanted) if wanted.count() <= LOOKUP_DOCS else wanted
+    wanted = dimension(staged(wanted, "wanted-lines"), LOOKUP_BYTES)
     held = texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("t.text", "w.lines", "w.hashes")
     # A text that several rows repeat gives its lines once.
     words = held.mapInPandas(_chosen_lines, "h long, words string").groupBy("h").agg(F.min("words").alias("words"))
@@ -231,8 +231,8 @@ def without_duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     row, gone = fresh(docs, "row"), fresh(docs, "gone")
     own = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     dropped = duplicate_lines(own, doc_id, text, row)
-    lists = staged(dropped.groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(gone)), "dropped-lines")
-    lists = F.broadcast(lists) if lists.count() <= LOOKUP_DOCS else lists
+    lists = dropped.groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(gone))
+    lists = dimension(staged(lists, "dropped-lines"), LOOKUP_BYTES)
     left = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i))
     kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     joined = own.join(lists, row, "left").withColumn(text, kept)

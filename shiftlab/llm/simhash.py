@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from shiftlab.llm.common import blank, fresh, staged, text_batches
 from shiftlab.llm.components import components
 from shiftlab.llm.windows import HASH_RANGE
+from shiftlab.operators.scale import dimension
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -39,6 +40,7 @@ MAX_BITS = 3
 SAMPLE = 65_536
 SHARD_POINTS = 4_096
 HASH_BLOCK = 65_536
+DROPPED_BYTES = 50_000_000
 
 
 # --- fingerprints -------------------------------------------------------------------------------
@@ -211,12 +213,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def classes(own: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """component_id for every distinct fp of a stored table with columns doc_id and fp."""
+    """root (a fp) and component_id for every distinct fp of a stored table with columns doc_id and fp."""
     first = staged(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
     groups = components(links(first, max_bits)).select(F.col("node").alias("fp"), "root")
     grouped = first.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return grouped.join(least, "root").select("fp", "component_id")
+    return grouped.join(least, "root").select("fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,10 +232,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     own = staged(with_fingerprint(docs, fp, text).withColumn(row, F.monotonically_increasing_id()), "printed")
     keys = own.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     grouped = keys.join(classes(keys.select("doc_id", "fp")), "fp")
-    # One row per fingerprint before one per group: copies collapse where they are.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    # A group is known by its fingerprints' smallest id; groups without an id by the fingerprint.
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    kept = grouped.groupBy(group.alias("g")).agg(F.min(order)["row"].alias("kept"))
+    kept = grouped.groupBy("root").agg(F.min(order)["row"].alias("kept"))
     dropped = grouped.join(kept, F.col("row") == F.col("kept"), "left_anti").select(F.col("row").alias(row))
+    # Sent to all executors while it is small: then the texts are not shuffled.
+    dropped = dimension(staged(dropped, "dropped-rows"), DROPPED_BYTES)
     return own.join(dropped, row, "left_anti").select(*docs.columns)
