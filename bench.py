@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from shiftlab_checks.queries import QUERIES  # noqa: E402
+from shiftlab.operators.scale import staging  # noqa: E402
 from shiftlab.session import configure  # noqa: E402
 
 HEADLINES = (
@@ -49,8 +50,9 @@ def main() -> None:
         runs = []
         for _ in range(RUNS):
             started = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - started)
+            with staging(spark):
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+                runs.append(time.perf_counter() - started)
         seconds[name] = round(min(runs), 3)
     spark.stop()
     print(
