@@ -1,19 +1,21 @@
 """Token ids of whole texts with a public BPE vocabulary, cached by word.
 
-The vocabulary's pre-tokenizer never joins across white space, so the ids of a text are those of its
-white-space separated chunks in a row, and a chunk has to be encoded once per task. Chunks of Latin-1
-characters are lower-cased, split and given to the library's BPE model directly; any other chunk
-passes the whole tokenizer.
+The vocabulary's pre-tokenizer splits lower-cased text into words and never joins across white space. A
+text of Latin-1 characters is split by the same pattern here, and every distinct word is given to the
+library's BPE model once. Any other text is taken chunk by chunk, between white space, and chunks with
+other characters pass the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import struct
+
 import regex
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 200_000
-# What the vocabulary file states as its word pattern, and the longest control
-# characters that str.split takes for white space while the pattern does not.
+CACHE_WORDS = 300_000
+# What the vocabulary file states as its word pattern, and the control
+# characters that Python takes for white space while the library does not.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NOT_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -32,45 +34,46 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(WORD_PATTERN).findall
         self.letters = byte_letters()
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        odd = any(c in text for c in NOT_SPACES)
-        parts = regex.findall(r"[^ \t\n\r]+", text) if odd else text.split()
-        known = self.chunks
+        if _plain_latin(text):
+            return self._words(text)
+        chunks = regex.findall(r"[^ \t\n\r]+", text)
+        return b"".join(self._words(c) if _plain_latin(c) else self._library(c) for c in chunks)
+
+    def _words(self, text: str) -> bytes:
+        words, known = self.split(text.lower()), self.words
+        for word in set(words).difference(known):
+            known[word] = self.older.get(word) or self._word(word)
+        ids = b"".join(map(known.__getitem__, words))
         if len(known) > CACHE_WORDS:
-            known.clear()
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            for part in parts:
-                if part not in known:
-                    known[part] = self._chunk(part)
-            return b"".join(map(known.__getitem__, parts))
-
-    def _chunk(self, chunk: str) -> bytes:
-        try:
-            chunk.encode("latin-1")
-        except UnicodeEncodeError:
-            return self._plain(chunk)
-        if "<|" in chunk:
-            return self._plain(chunk)
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        out = []
-        for word in self.split(chunk.lower()):
-            ids = words.get(word)
-            if ids is None:
-                seen = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
-                ids = words[word] = _packed([t.id for t in self.tokenizer.model.tokenize(seen)])
-            out.append(ids)
-        return b"".join(out)
-
-    def _plain(self, chunk: str) -> bytes:
+            # Words seen since the last turn are kept for another one.
+            self.older, self.words = known, {}
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isalnum()):
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.tokenizer.model.tokenize(word)])
+
+    def _library(self, chunk: str) -> bytes:
         return _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
 
+def _plain_latin(text: str) -> bool:
+    """Latin-1 without special tokens or odd control characters: lower case and words are the library's."""
+    if "<|" in text or any(c in text for c in NOT_SPACES):
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
