@@ -4,8 +4,8 @@ A document is a bag of passages (fixed-length windows of its UTF-8 bytes). Every
 frequencies of hashed byte pairs, how full it is and how much it repeats itself, then a learned layer. Gated attention, learned from document labels
 alone, weighs the passages; the weighted mean of their encodings is scored by a logistic output.
 
-Training reads a bounded sample: about ``TRAIN_TEXTS`` labelled documents, ``TRAIN_PASSAGES`` evenly
-spread passages of each. Scoring reads every passage of every document.
+Training reads a bounded sample: about ``TRAIN_TEXTS`` labelled documents, fewer if these hold more
+than ``SAMPLE_BYTES`` of text, with every passage of each. Scoring reads every passage of every document.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.llm.common import blank, held_out, text_batches, text_udf
-from shiftlab.llm.windows import Adam, labelled_windows, sample_rows, windows
+from shiftlab.llm.windows import Adam, bounded_texts, labelled_windows, sample_rows, windows
 
 PASSAGE = 512
 PAIRS = 512
@@ -26,7 +26,6 @@ FEATURES = PAIRS + 3
 HIDDEN = 24
 ATTENTION = 12
 TRAIN_TEXTS = 5_000
-TRAIN_PASSAGES = 6
 EPOCHS = 8
 BATCH = 64
 RATE = 0.004
@@ -121,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     own = sample_rows(known.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")), "doc_id", bound)
     texts = docs.select(F.col(doc_id).alias("doc_id"), blank(text).alias("text"))
     # The sample is bounded, so it may be sent to every executor.
-    frame = labelled_windows(texts.join(F.broadcast(own), "doc_id"), "text", "label", PASSAGE, TRAIN_PASSAGES)
+    sampled = bounded_texts(texts.join(F.broadcast(own), "doc_id"), "doc_id", "text")
+    frame = labelled_windows(sampled, "text", "label", PASSAGE)
     return train(frame["label"].to_numpy(), [np.frombuffer(b, np.uint8).reshape(-1, PASSAGE) for b in frame["bytes"]])
 
 

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftlab.llm.common import staged
+
 HASH_RANGE = 10**15  # a sample's share of it is never rounded to nothing
+SAMPLE_BYTES = 200_000_000  # of sampled texts, which reach the driver whole
 
 
 def windows(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,22 +33,30 @@ def fold_case(texts: list[str]) -> list[str]:
     return [t.lower() for t in texts]
 
 
-def sample_rows(rows: DataFrame, key: str, bound: int) -> DataFrame:
+def sample_rows(rows: DataFrame, key: str, bound: int, salt: str = "sample") -> DataFrame:
     """About ``bound`` of the rows at most, picked by a hash of ``key``: the same ones in every run."""
     share = min(1.0, bound / max(rows.count(), 1))
-    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(HASH_RANGE)) < int(share * HASH_RANGE))
+    return rows.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(HASH_RANGE)) < int(share * HASH_RANGE))
+
+
+def bounded_texts(rows: DataFrame, key: str, text: str, limit: int = SAMPLE_BYTES) -> DataFrame:
+    """The given (few) rows, or as many of them as hold about ``limit`` bytes of text: whole texts either way."""
+    own = staged(rows, "sampled-texts")
+    n, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return own if size <= limit else sample_rows(own, key, max(1, n * limit // size), "bytes")
 
 
-def labelled_windows(rows: DataFrame, text: str, label: str, length: int, per_text: int, lower: bool = False) -> pd.DataFrame:
-    """Of the given (few) rows: label and up to ``per_text`` evenly spread windows, as bytes, sorted."""
+def labelled_windows(rows: DataFrame, text: str, label: str, length: int, per_text: int | None = None, lower: bool = False) -> pd.DataFrame:
+    """Of the given (few) rows: label and all windows (or ``per_text`` evenly spread ones) as bytes, sorted."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for t, y in zip(batch["text"], batch["label"]):
                 grid, _ = windows(["" if t is None else t.lower() if lower else t], length)
-                spread = np.unique(np.linspace(0, len(grid) - 1, per_text).astype(int))
-                found.append((y, grid[spread].tobytes()))
+                if per_text is not None:
+                    grid = grid[np.unique(np.linspace(0, len(grid) - 1, per_text).astype(int))]
+                found.append((y, grid.tobytes()))
             yield pd.DataFrame(found, columns=["label", "bytes"])
 
     kind = dict(rows.dtypes)[label]

@@ -5,7 +5,7 @@ import numpy as np
 
 from shiftlab.llm import language, quality
 from shiftlab.llm.queries import op2_quality, op4_language
-from shiftlab.llm.windows import windows
+from shiftlab.llm.windows import bounded_texts, windows
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -50,6 +50,24 @@ def test_attention_learns_which_passage_counts():
     assert np.mean((scores >= 0.5) == [y for _, y in bags]) > 0.95
 
 
+def test_training_sees_every_passage(make_docs, spark, monkeypatch):
+    docs = make_docs([(i, "".join(chr(97 + k) * quality.PASSAGE for k in range(i))) for i in range(1, 21)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda labels, grids: seen.extend(grids))
+    quality.fit(docs, labels)
+    wanted = [i for i in range(1, 21) if not held(i, 3, 1)]
+    assert sorted(len(g) for g in seen) == wanted and max(wanted) > 6
+    assert all(g[:, 0].tolist() == list(range(97, 97 + len(g))) for g in seen)
+
+
+def test_sampled_texts_are_bounded_by_rows(spark):
+    rows = spark.createDataFrame([(i, "x" * 100) for i in range(200)], "doc_id long, text string")
+    assert bounded_texts(rows, "doc_id", "text").count() == 200
+    few = [r["text"] for r in bounded_texts(rows, "doc_id", "text", 5_000).collect()]
+    assert 20 < len(few) < 90 and set(few) == {"x" * 100}
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(1)
     p = quality.train(np.array([]), []).params
