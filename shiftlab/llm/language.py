@@ -8,7 +8,9 @@ averaged over the windows by the bytes they hold.
 For scoring, embedding and filter weights are multiplied out into one table per pair of adjacent
 bytes, so that a filter of width four is the sum of two table rows.
 
-Training reads a bounded sample: about ``TRAIN_TEXTS`` texts, ``TRAIN_WINDOWS`` windows of each.
+Training reads a bounded sample: about ``TRAIN_TEXTS`` texts of all languages, rare ones included (fewer
+if these hold more than ``SAMPLE_BYTES``), with every window of each. All languages weigh the same, but
+a window never more than ``MOST_WEIGHT`` times the average.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.llm.common import blank, fresh, held_out, text_batches, text_udf
-from shiftlab.llm.windows import Adam, fold_case, labelled_windows, sample_rows, windows
+from shiftlab.llm.windows import Adam, bounded_texts, fold_case, labelled_windows, sample_labels, windows
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 TRAIN_TEXTS = 5_000
-TRAIN_WINDOWS = 3
+MOST_WEIGHT = 20
 EPOCHS = 3  # or as many as make LEAST_STEPS steps
 LEAST_STEPS = 400
 BATCH = 64
@@ -67,15 +69,17 @@ def train(labels: list[str], grids: list[np.ndarray], seed: int = 11) -> ByteNet
         p[f"b{w}"] = np.zeros(FILTERS)
     p = {k: v.astype(np.float32) for k, v in p.items()}
     steps = Adam(p, RATE)
+    sizes = np.bincount(y, minlength=len(languages))
+    weight = np.minimum(len(y) / (len(languages) * np.maximum(sizes, 1)), MOST_WEIGHT)[y].astype(np.float32)
     for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(x)))):
         order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            steps.update(_gradients(p, x[rows], y[rows]))
+            steps.update(_gradients(p, x[rows], y[rows], weight[rows]))
     return ByteNet(languages, p)
 
 
-def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     embedded, n = p["embed"][x], np.arange(len(x))
     pooled, places = [], []
     for w in WIDTHS:
@@ -89,7 +93,7 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[s
     error = np.exp(logits - logits.max(axis=1, keepdims=True))
     error /= error.sum(axis=1, keepdims=True)
     error[n, y] -= 1
-    error /= len(x)
+    error *= weight[:, None] / len(x)
     grads = {"out": hidden.T @ error, "bias": error.sum(axis=0), "embed": np.zeros_like(p["embed"])}
     back = (error @ p["out"].T) * (hidden > 0)
     for k, (w, place) in enumerate(zip(WIDTHS, places)):
@@ -125,8 +129,10 @@ def probabilities(net: ByteNet, tables: list[list[np.ndarray]], grid: np.ndarray
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", bound: int = TRAIN_TEXTS) -> ByteNet | None:
     """A network learned from the documents outside the held-out fold that have a language and a text."""
     known = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id, FOLDS, HELD_OUT_FOLD))
-    rows = sample_rows(known.select(doc_id, F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")), doc_id, bound)
-    frame = labelled_windows(rows.where("text is not null and text rlike '\\\\p{L}'"), "text", "lang", WINDOW, TRAIN_WINDOWS, lower=True)
+    named = known.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    usable = named.where("text is not null and text rlike '\\\\p{L}'")
+    sampled = bounded_texts(sample_labels(usable, "doc_id", "lang", bound), "doc_id", "text")
+    frame = labelled_windows(sampled, "text", "lang", WINDOW, lower=True)
     return train(list(frame["label"]), [np.frombuffer(b, np.uint8).reshape(-1, WINDOW) for b in frame["bytes"]])
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import staged
+from shiftlab.llm.common import fresh, staged
 
 HASH_RANGE = 10**15  # a sample's share of it is never rounded to nothing
 SAMPLE_BYTES = 200_000_000  # of sampled texts, which reach the driver whole
@@ -39,6 +39,27 @@ def sample_rows(rows: DataFrame, key: str, bound: int, salt: str = "sample") ->
     return rows.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(HASH_RANGE)) < int(share * HASH_RANGE))
 
 
+def sample_labels(rows: DataFrame, key: str, label: str, bound: int) -> DataFrame:
+    """About ``bound`` of the rows at most, picked by a hash of ``key``, with rows of every label.
+
+    Half of the bound is dealt to the labels by their numbers of rows and half equally; a label with
+    fewer rows than that has all of them, and every label the row whose hash is smallest.
+    """
+    place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(HASH_RANGE))
+    # One row per label reaches the driver, as labels are what is learned.
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()
+    total = sum(r["n"] for r in counts)
+    if total <= bound:
+        return rows
+    ends = []
+    for name, n, least in counts:
+        share = min(1.0, bound / 2 * (1 / total + 1 / (len(counts) * n)))
+        ends.append((name, max(int(share * HASH_RANGE), least + 1)))
+    end = fresh(rows, "end")
+    limits = rows.sparkSession.createDataFrame(ends, f"{label} {dict(rows.dtypes)[label]}, {end} long")
+    return rows.join(F.broadcast(limits), label).where(place < F.col(end)).select(*rows.columns)
+
+
 def bounded_texts(rows: DataFrame, key: str, text: str, limit: int = SAMPLE_BYTES) -> DataFrame:
     """The given (few) rows, or as many of them as hold about ``limit`` bytes of text: whole texts either way."""
     own = staged(rows, "sampled-texts")
@@ -46,16 +67,14 @@ def bounded_texts(rows: DataFrame, key: str, text: str, limit: int = SAMPLE_BYTE
     return own if size <= limit else sample_rows(own, key, max(1, n * limit // size), "bytes")
 
 
-def labelled_windows(rows: DataFrame, text: str, label: str, length: int, per_text: int | None = None, lower: bool = False) -> pd.DataFrame:
-    """Of the given (few) rows: label and all windows (or ``per_text`` evenly spread ones) as bytes, sorted."""
+def labelled_windows(rows: DataFrame, text: str, label: str, length: int, lower: bool = False) -> pd.DataFrame:
+    """Of the given (few) rows: label and all windows as bytes, sorted."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for t, y in zip(batch["text"], batch["label"]):
                 grid, _ = windows(["" if t is None else t.lower() if lower else t], length)
-                if per_text is not None:
-                    grid = grid[np.unique(np.linspace(0, len(grid) - 1, per_text).astype(int))]
                 found.append((y, grid.tobytes()))
             yield pd.DataFrame(found, columns=["label", "bytes"])
 

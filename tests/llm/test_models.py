@@ -96,6 +96,27 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in rows if r["held_out"]]) > 0.97
 
 
+def test_rare_languages_and_every_window_are_learned(spark, monkeypatch):
+    rows = [(i, "word " * 200, "en") for i in range(2000)] + [(9000 + i, "mot " * 30, "fr") for i in range(3)]
+    rows += [(10_000 + i, "123", "no") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "train", lambda labels, grids: seen.extend(zip(labels, map(len, grids))))
+    language.fit(docs, bound=40)
+    french = sum(not held(9000 + i, 4, 2) for i in range(3))
+    assert french and [n for y, n in seen if y == "fr"] == [1] * french
+    english = [n for y, n in seen if y == "en"]
+    assert 8 <= len(english) <= 60 and set(english) == {4}
+    assert {y for y, _ in seen} == {"en", "fr"}
+
+
+def test_a_rare_language_is_recognised():
+    rng = np.random.default_rng(4)
+    grid = lambda low, n: rng.integers(low, low + 12, (n, language.WINDOW), dtype=np.uint8)
+    net = language.train(["a", "b"], [grid(97, 3000), grid(103, 15)])
+    assert (language.probabilities(net, net.tables(), grid(103, 50)).argmax(axis=1) == 1).mean() > 0.95
+
+
 def test_language_edge_rows(edge_docs, no_docs):
     rows = language.predict(edge_docs).collect()
     assert len(rows) == edge_docs.count()
