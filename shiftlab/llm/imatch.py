@@ -1,8 +1,9 @@
 """I-Match fingerprints: hashes of a text's terms under randomised subsets of a lexicon.
 
 The lexicon holds the terms whose inverse document frequency lies in a band: neither words of most
-texts nor words of a few. Frequencies are counted over all documents, per bucket of the terms' hash:
-the lexicon is a bit per bucket, of a size fixed whatever the corpus holds. A fingerprint starts with a hash of the text's sorted distinct lexicon
+texts nor words of a few. Frequencies are counted over all documents, per 64-bit hash of a term, so
+terms do not share a count however many there are. The lexicon is the sorted hashes in the band, 8
+bytes a term, sent to all executors. A fingerprint starts with a hash of the text's sorted distinct lexicon
 terms; further slots hash the terms that lie in one of many random subsets of the lexicon, denser
 and sparser ones, so texts that share most of their terms agree in some slots. Likeness is the share
 of equal slots among those that are not empty in both.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from shiftlab.llm.common import blank, text_batches
 
-BUCKET_BITS = 21
+TERM_BITS = 64
+BUCKET_BITS = 21  # of the coarse form that counts buckets of terms
+COUNTED_TERMS = 1_000_000
 BITMAP_BITS = 32_768  # of one bitmap that Spark aggregates
 # The band, as powers of the number of documents N: a term's document frequency lies between them.
 RAREST, COMMONEST = 0.15, 0.85
@@ -43,31 +46,50 @@ def terms(text: str) -> np.ndarray:
     return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
 
 
-def buckets(own: np.ndarray) -> np.ndarray:
-    return (own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def buckets(own: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
+    return (own >> np.uint64(64 - bits)).view(np.int64)
 
 
-def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """bucket and n: the document frequency of every bucket that occurs, over all documents."""
+def frequencies(docs: DataFrame, text: str = "text", bits: int = BUCKET_BITS) -> DataFrame:
+    """bucket and n: the document frequency of every bucket that occurs, over all documents.
+
+    With ``TERM_BITS`` every term is a bucket of its own, its hash as a signed integer.
+    """
+
+    def counted(held: list[np.ndarray]) -> pd.DataFrame:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"bucket": values, "n": n.astype(np.int64)})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        held, size = [], 0
         for batch in batches:
             for t in batch["text"]:
-                total[np.unique(buckets(terms(t)))] += 1
-        held = np.flatnonzero(total)
-        for at in range(0, len(held), 100_000):
-            part = held[at : at + 100_000]
-            yield pd.DataFrame({"bucket": part.astype(np.int32), "n": total[part]})
-
-    counts = docs.select(blank(text).alias("text")).mapInPandas(count, "bucket int, n long")
+                held.append(np.unique(buckets(terms(t), bits)))
+                size += len(held[-1])
+                if size >= COUNTED_TERMS:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    counts = docs.select(blank(text).alias("text")).mapInPandas(count, "bucket long, n long")
     return counts.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
+def in_band(frequency: DataFrame, documents: int) -> DataFrame:
+    n = max(documents, 1)
+    return frequency.where((F.col("n") >= max(2.0, n**RAREST)) & (F.col("n") <= n**COMMONEST))
+
+
+def term_lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The sorted hashes of the terms that lie in the band."""
+    inside = in_band(frequencies(docs, text, TERM_BITS), docs.count()).select("bucket").toPandas()
+    return np.sort(inside["bucket"].to_numpy(np.int64).view(np.uint64))
+
+
 def lexicon(frequency: DataFrame, documents: int) -> np.ndarray:
     """Which buckets lie in the band. Bits are gathered in Spark: 2 ** BUCKET_BITS of them at most."""
-    n = max(documents, 1)
-    inside = frequency.where((F.col("n") >= max(2.0, n**RAREST)) & (F.col("n") <= n**COMMONEST))
+    inside = in_band(frequency, documents)
     bits = F.bitmap_construct_agg((F.col("bucket") % BITMAP_BITS).cast("long")).alias("bits")
     band = np.zeros((1 << BUCKET_BITS) // 8, np.uint8).reshape(-1, BITMAP_BITS // 8)
     for row in inside.groupBy(F.floor(F.col("bucket") / BITMAP_BITS).cast("int").alias("block")).agg(bits).collect():
@@ -75,6 +97,15 @@ def lexicon(frequency: DataFrame, documents: int) -> np.ndarray:
     return np.unpackbits(band.ravel(), bitorder="little").astype(bool)
 
 
+def within(own: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Which of the terms are in the lexicon: its sorted terms, or a bit per bucket."""
+    if band.dtype == bool:
+        return band[buckets(own)]
+    if not len(band):
+        return np.zeros(len(own), bool)
+    return band.take(np.searchsorted(band, own), mode="clip") == own
+
+
 def fingerprint(text: str, band: np.ndarray) -> bytes:
     """The slots of a text, one after the other; a subset without a term of the text is an empty slot.
 
@@ -82,7 +113,7 @@ def fingerprint(text: str, band: np.ndarray) -> bytes:
     by its characters: texts are never alike for what they lack.
     """
     every = terms(text)
-    own = every[band[buckets(every)]]
+    own = every[within(every, band)]
     own = own if len(own) else every
     if not len(own):
         return _slot(text.encode("utf-8", "surrogatepass"), 1) + EMPTY * SUBSETS
@@ -158,10 +189,10 @@ def edited_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     text_batches(spark)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = spark.sparkContext.broadcast(np.packbits(lexicon(frequencies(own), own.count())))
+    sent = spark.sparkContext.broadcast(term_lexicon(own))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        band = np.unpackbits(sent.value).astype(bool)
+        band = sent.value
         held = None  # a document that waits for the next one: (id, text, fingerprint, part)
         for batch in batches:
             rows = []

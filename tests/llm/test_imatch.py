@@ -59,6 +59,22 @@ def test_frequencies_count_documents(small, small_rows):
     assert (band == ((wanted >= max(2, n**imatch.RAREST)) & (wanted <= n**imatch.COMMONEST))).all() and band.any()
 
 
+def test_rare_terms_of_one_bucket_stay_out_of_the_lexicon(make_docs):
+    seen = {}
+    for i in range(100_000):
+        word = f"rare{i}"
+        bucket = int(imatch.buckets(imatch.terms(word))[0])
+        if bucket in seen:
+            break
+        seen[bucket] = word
+    rows = [(1, f"both have these {word}"), (2, f"both have these {seen[bucket]}")] + [(i, f"other{i}") for i in range(3, 20)]
+    prints = {r["doc_id"]: r["fingerprint"] for r in imatch.edited_documents(make_docs(rows)).collect()}
+    # Each rare word is in one document only, so the two are alike in all the lexicon holds.
+    assert prints[1] == prints[2] != prints[3]
+    wanted = imatch.terms("both have these")
+    assert (imatch.term_lexicon(make_docs(rows)) == wanted).all()
+
+
 def test_fingerprint_slots():
     none = np.zeros(1 << imatch.BUCKET_BITS, bool)
     everything = ~none
