@@ -18,7 +18,7 @@ __all__ = ["blank", "fresh", "held_out", "iterate_texts", "read_table", "staged"
 # Texts are handed to numpy code in slices of about this many characters, so that a batch of very
 # long documents needs no more memory than one of short ones.
 SLICE_CHARS = 4_000_000
-BATCH_ROWS = 1_000
+BATCH_BYTES = 4_000_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,16 +26,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Have Spark hand rows to Python in smaller batches than its default, which is made for numbers.
+def text_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Have Spark bound the batches it hands to Python by their bytes, not by their rows alone.
 
-    Whole texts are long: with the default, a worker would hold tens of megabytes of text several
-    times over. The setting only affects memory; a smaller value that a user has set stays.
+    Whole texts are long: ten thousand of them at a time, the default made for numbers, would have a
+    worker hold tens of megabytes of text several times over. Batches of numbers stay as they are; a
+    smaller bound that a user has set stays.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > size:
+        spark.conf.set(name, str(size))
 
 
 def blank(column: str = "text") -> Column:

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftlab.llm import decontam, imatch, language, lines, packing, pii, quality, secrets, sharding, simhash
+from shiftlab.llm import bpe, decontam, imatch, language, lines, packing, pii, prefix_trie, quality, secrets, sharding, simhash
 from shiftlab.llm.common import read_table
 
+# Conversations are rebuilt in blocks of so many ids.
+BLOCK = 20
+
 # Queries without SQL here are tested against brute force, round trips or held-out accuracy.
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.ORACLE,
     "op7_line_dedup": lines.ORACLE,
+    "op12_prefix_trie": prefix_trie.oracle(BLOCK),
 }
 
 
@@ -66,6 +70,16 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminations(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(read_table(spark, folder, "conversations"), BLOCK)
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level BPE tokens of every document, and their decoding."""
+    return bpe.encode_documents(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -77,4 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_bpe": op13_bpe,
 }
