@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftlab.llm import bpe, decontam, imatch, language, lines, packing, pii, prefix_trie, quality, secrets, sharding, simhash
+from shiftlab.llm import bpe, collocations, decontam, imatch, language, lines, packing, pii, prefix_trie, quality, secrets, sharding, simhash
 from shiftlab.llm.common import read_table
 
 # Conversations are rebuilt in blocks of so many ids.
@@ -16,6 +16,7 @@ BLOCK = 20
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.ORACLE,
     "op7_line_dedup": lines.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_prefix_trie": prefix_trie.oracle(BLOCK),
 }
 
@@ -70,6 +71,11 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminations(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The leading collocations of every language."""
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of the trie of the rebuilt conversations."""
     return prefix_trie.prefix_trie(read_table(spark, folder, "conversations"), BLOCK)
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_bpe": op13_bpe,
 }
