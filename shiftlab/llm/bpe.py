@@ -5,11 +5,12 @@ stands, the rank of the merge of it and its right neighbour, with its place; an
 smaller of its children. So the root is the lowest rank, and of equal ranks the leftmost pair. That
 pair is merged, which changes three leaves (the pair's, its left neighbour's, and that of the symbol
 which is gone) and their paths, until no pair in the tree has a rank. A word of n bytes takes
-O(n log n) steps, however long it is.
+O(n log n) steps, however long it is. The trees of many short words stand side by side in one array, and
+each step merges one pair of every word.
 
 Texts are split into words first. A blank followed by anything but white space always begins a word, so
-texts are cut there, and each such chunk is split by the vocabulary's pattern. Chunks recur: their ids
-are kept, by chunk, for a bounded number of short chunks. Special tokens in a text are taken as such.
+texts are cut there, and each such chunk is split by the vocabulary's pattern. Chunks and words recur:
+their ids are kept for a bounded number of short ones. Special tokens in a text are taken as such.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,71 +39,153 @@ CACHED_CHARS = 48
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Beyond these, versions of Unicode differ in what is a letter or a digit: the library splits such chunks.
 UNSETTLED = re.compile(r"[^\x00-\u0556]").search
+SPACED = re.compile(r" (?!\S)").search
 PLACE_BITS = 40
+PLACES = (1 << PLACE_BITS) - 1
 NO_PAIR = 1 << 80
+NO_RANK, NO_LEAF = 1 << 40, 1 << 60
+# Words of up to so many symbols are merged in rows of so many words at a time.
+ROW_SYMBOLS = 64
+ROW_WORDS = 20_000
 
 
-class PairTree:
-    """A segment tree whose leaves are ``rank << PLACE_BITS | place``, or ``NO_PAIR``."""
+def pair_tree(leaves: list[int]) -> tuple[list[int], int]:
+    """The nodes of a segment tree, the root at 1 and the leaves from ``size`` on, and ``size``."""
+    size = 1 << max(0, len(leaves) - 1).bit_length()
+    level = leaves + [NO_PAIR] * (size - len(leaves))
+    levels = [level]
+    while len(level) > 1:
+        level = [a if a < b else b for a, b in zip(level[::2], level[1::2])]
+        levels.append(level)
+    nodes = [NO_PAIR]
+    for level in reversed(levels):
+        nodes += level
+    return nodes, size
 
-    def __init__(self, leaves: list[int]):
-        self.size = size = 1 << max(0, len(leaves) - 1).bit_length()
-        self.nodes = nodes = [NO_PAIR] * size + leaves + [NO_PAIR] * (size - len(leaves))
-        for i in range(size - 1, 0, -1):
-            a, b = nodes[2 * i], nodes[2 * i + 1]
-            nodes[i] = a if a < b else b
 
-    def least(self) -> int:
-        return self.nodes[1]
+def set_leaf(nodes: list[int], at: int, leaf: int) -> None:
+    """Change the leaf at the index ``at`` and its path, as far up as anything changes."""
+    nodes[at] = leaf
+    while at > 1:
+        other = nodes[at ^ 1]
+        least = leaf if leaf < other else other
+        at >>= 1
+        if nodes[at] == least:
+            break
+        nodes[at] = leaf = least
 
-    def set(self, place: int, leaf: int) -> None:
-        nodes, i = self.nodes, self.size + place
-        nodes[i] = leaf
-        while i > 1:
-            i >>= 1
-            a, b = nodes[2 * i], nodes[2 * i + 1]
-            least = a if a < b else b
-            if nodes[i] == least:
-                break
-            nodes[i] = least
 
-
-def merged(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
-    """The symbols after all merges. ``pairs``: left << 32 | right to (rank, merged symbol)."""
+def merged(symbols: list[int], ranks: dict[int, int], products: list[int]) -> list[int]:
+    """The symbols after all merges. ``ranks``: left << 32 | right to the rank, ``products`` the merged symbol of a rank."""
     n = len(symbols)
     if n < 2:
         return symbols
-    symbols = list(symbols)
-    leaves = []
-    for i in range(n - 1):
-        pair = pairs.get(symbols[i] << 32 | symbols[i + 1])
-        leaves.append(NO_PAIR if pair is None else pair[0] << PLACE_BITS | i)
-    tree = PairTree(leaves)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int) -> None:
-        pair = pairs.get(symbols[i] << 32 | symbols[after[i]]) if after[i] < n else None
-        tree.set(i, NO_PAIR if pair is None else pair[0] << PLACE_BITS | i)
-
-    least = tree.least()
-    while least != NO_PAIR:
-        i = least & ((1 << PLACE_BITS) - 1)
-        gone = after[i]
-        symbols[i] = pairs[symbols[i] << 32 | symbols[gone]][1]
-        symbols[gone] = -1
+    rank = ranks.get
+    leaves = [NO_PAIR if (r := rank(a << 32 | b)) is None else r << PLACE_BITS | i for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+    nodes, size = pair_tree(leaves)
+    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    while (least := nodes[1]) != NO_PAIR:
+        i = least & PLACES
+        symbol, gone = products[least >> PLACE_BITS], after[i]
+        symbols[i], symbols[gone] = symbol, -1
         after[i] = following = after[gone]
+        leaf = NO_PAIR
         if following < n:
             before[following] = i
-        if gone < n - 1:
-            tree.set(gone, NO_PAIR)
-        if i < n - 1:
-            put(i)
-        if before[i] >= 0:
-            put(before[i])
-        least = tree.least()
+            if nodes[size + gone] != NO_PAIR:
+                set_leaf(nodes, size + gone, NO_PAIR)
+            r = rank(symbol << 32 | symbols[following])
+            if r is not None:
+                leaf = r << PLACE_BITS | i
+        set_leaf(nodes, size + i, leaf)
+        previous = before[i]
+        if previous >= 0:
+            r = rank(symbols[previous] << 32 | symbol)
+            leaf = NO_PAIR if r is None else r << PLACE_BITS | previous
+            if nodes[size + previous] != leaf:
+                set_leaf(nodes, size + previous, leaf)
     return [s for s in symbols if s >= 0]
 
 
+class PairRanks:
+    """Ranks and merged symbols of pairs of symbols, for single pairs and for arrays of them."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        self.ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(merges)}
+        self.products = [merged for _, _, merged in merges]
+        pairs = np.fromiter(self.ranks, np.int64, len(self.ranks))
+        order = np.argsort(pairs)
+        self.pairs, self.order, self.product = pairs[order], order, np.array(self.products, np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; ``NO_RANK`` where there is none or a side is negative."""
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == wanted) & (right >= 0), self.order[at], NO_RANK)
+
+
+def merged_rows(words: list[list[int]], size: int, table: PairRanks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``merged`` for many words of at most ``size`` (a power of two) symbols: one merge of each word at a time.
+
+    Row r of ``nodes`` is the tree of a word. Yields numbers of words and their rows of symbols, with -1
+    where a symbol is gone.
+    """
+    n = len(words)
+    symbols = np.full((n, size + 1), -1, np.int64)  # the last column stands for no neighbour
+    for r, word in enumerate(words):
+        symbols[r, : len(word)] = word
+    number, span = np.arange(n), np.arange(size + 1)
+    after, before = np.tile(span + 1, (n, 1)), np.tile(np.where(span > 0, span - 1, size), (n, 1))
+    rank = table.find(symbols[:, :size], symbols[:, 1:])
+    nodes = np.full((n, 2 * size + 1), NO_LEAF, np.int64)
+    nodes[:, size : 2 * size] = np.where(rank == NO_RANK, NO_LEAF, rank * size + span[:size])
+    for at in range(size - 1, 0, -1):
+        np.minimum(nodes[:, 2 * at], nodes[:, 2 * at + 1], out=nodes[:, at])
+    while True:
+        going = nodes[:, 1] < NO_LEAF
+        if not going.all():
+            yield number[~going], symbols[~going, :size]
+            number, symbols, after, before, nodes = (x[going] for x in (number, symbols, after, before, nodes))
+            if not len(number):
+                return
+        rows = np.arange(len(number))
+        rank, at = np.divmod(nodes[:, 1], size)
+        symbol, gone = table.product[rank], after[rows, at]
+        following, previous = after[rows, gone], before[rows, at]
+        symbols[rows, at], symbols[rows, gone] = symbol, -1
+        after[rows, at], before[rows, following] = following, at
+        left = symbols[rows, previous]
+        # A word without a left neighbour writes to the column past the leaves.
+        nodes[rows, size + gone] = NO_LEAF
+        for place, found in ((at, table.find(symbol, symbols[rows, following])), (previous, np.where(left < 0, NO_RANK, table.find(left, symbol)))):
+            nodes[rows, size + place] = np.where(found == NO_RANK, NO_LEAF, found * size + place)
+        rows = np.tile(rows, 3)
+        path = size + np.concatenate([gone, at, np.where(left < 0, at, previous)])
+        for _ in range(size.bit_length() - 1):
+            path >>= 1
+            nodes[rows, path] = np.minimum(nodes[rows, 2 * path], nodes[rows, 2 * path + 1])
+
+
+def merged_words(words: list[str], letters: list[int], table: PairRanks) -> Iterator[tuple[str, bytes]]:
+    """Every word with its ids, little-endian unsigned 32-bit integers."""
+    classes = defaultdict(list)
+    for word in words:
+        symbols = [letters[b] for b in word.encode("utf-8", "surrogatepass")]
+        classes[max(2, 1 << (len(symbols) - 1).bit_length())].append((word, symbols))
+    for size, own in classes.items():
+        if size > ROW_SYMBOLS:
+            for word, symbols in own:
+                yield word, np.array(merged(symbols, table.ranks, table.products), "<u4").tobytes()
+            continue
+        for a in range(0, len(own), ROW_WORDS):
+            part = own[a : a + ROW_WORDS]
+            for numbers, rows in merged_rows([symbols for _, symbols in part], size, table):
+                kept = rows >= 0
+                ids, ends = rows[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+                for number, start, end in zip(numbers.tolist(), [0, *ends], ends):
+                    yield part[number][0], ids[start:end]
+
+
 class ByteBpe:
     """Encodes texts to ids and decodes ids, for a byte-level vocabulary file of the tokenizers library."""
 
@@ -110,75 +194,68 @@ class ByteBpe:
         vocabulary, merges = parts["model"]["vocab"], parts["model"]["merges"]
         letters = byte_letters()
         self.bytes = [vocabulary[letters[b]] for b in range(256)]
-        self.pairs: dict[int, tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(merges):
-            self.pairs[vocabulary[a] << 32 | vocabulary[b]] = (rank, vocabulary[a + b])
+        self.table = PairRanks([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in merges])
         special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         # The longest of several that start at one place.
-        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        longest = sorted(special, key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, longest))})") if special else None
         self.special_ids = {k: v.to_bytes(4, "little") for k, v in special.items()}
         self.split = regex.compile(WORD_PATTERN).findall
         self.library_split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        # Ids by chunk (without the blank in front of it) and by word.
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        # Only texts with such a place need a second look at their chunks.
-        self.spaced = re.compile(r" (?!\S)").search
+        self.words: dict[str, bytes] = {}
         values = {letter: bytes([b]) for b, letter in letters.items()}
-        size = 1 + max(*vocabulary.values(), *special.values()) if special else 1 + max(vocabulary.values())
-        self.token_bytes = [b""] * size
+        self.token_bytes = [b""] * (1 + max([*vocabulary.values(), *special.values()]))
         for token, i in vocabulary.items():
             self.token_bytes[i] = b"".join(values[c] for c in token)
         for token, i in special.items():
             self.token_bytes[i] = token.encode()
 
-    def encode(self, text: str) -> bytes:
-        """The ids, little-endian unsigned 32-bit integers."""
-        if self.special is None or not self.special.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += (self._plain(text[at : m.start()]), self.special_ids[m.group()])
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit integers."""
+        # Every other part of a text is a special token.
+        cut = [[_chunks(p) if i % 2 == 0 else p for i, p in enumerate(self.special.split(t) if self.special else [t])] for t in texts]
+        plain = [part for parts in cut for part in parts[::2]]
+        firsts = {first for first, _ in plain}
+        new = set().union(*(chunks for _, chunks in plain)).difference(self.chunks)
+        told = {chunk: self.older.get(chunk) for chunk in new}
+        split = {chunk: self._words(" " + chunk) for chunk, ids in told.items() if ids is None}
+        starts = {first: self._words(first) for first in firsts}
+        unknown = {word for words in (*split.values(), *starts.values()) for word in words}.difference(self.words)
+        known = self.words
+        known.update(merged_words(list(unknown), self.bytes, self.table))
+        self.chunks.update((chunk, b"".join(map(known.__getitem__, split[chunk])) if ids is None else ids) for chunk, ids in told.items())
+        begin = {first: b"".join(map(known.__getitem__, words)) for first, words in starts.items()}
+        out, lookup = [], self.chunks.__getitem__
+        for parts in cut:
+            out.append(b"".join(self.special_ids[p] if i % 2 else begin[p[0]] + b"".join(map(lookup, p[1])) for i, p in enumerate(parts)))
+        for cache, added in ((self.chunks, new), (known, unknown)):
+            for key in added:
+                if len(key) > CACHED_CHARS:
+                    del cache[key]
+        if len(self.chunks) > CACHE_CHUNKS:
+            # Chunks seen since the last turn are kept for another one.
+            self.older, self.chunks, self.words = self.chunks, {}, {}
+        return out
 
     def decode(self, ids: bytes) -> str:
         joined = b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         return joined.decode("utf-8", "replace")
 
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *chunks = text.split(" ")
-        if self.spaced(text):
-            first, chunks = _rejoined(first, chunks)
-        # A chunk stands for itself with the blank in front of it.
-        known = self.chunks
-        new = set(chunks).difference(known)
-        for chunk in new:
-            ids = self.older.get(chunk)
-            known[chunk] = self._chunk(" " + chunk) if ids is None else ids
-        out = self._chunk(first) + b"".join(map(known.__getitem__, chunks))
-        for chunk in new:
-            if len(chunk) > CACHED_CHARS:
-                del known[chunk]
-        if len(known) > CACHE_CHUNKS:
-            # Chunks seen since the last turn are kept for another one.
-            self.older, self.chunks = known, {}
-        return out
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
+    def _words(self, chunk: str) -> list[str]:
         if UNSETTLED(chunk):
-            words = [chunk[a:b] for _, (a, b) in self.library_split(chunk)]
-        else:
-            words = self.split(chunk)
-        ids = [i for w in words for i in merged([self.bytes[b] for b in w.encode("utf-8", "surrogatepass")], self.pairs)]
-        return np.array(ids, "<u4").tobytes()
+            return [chunk[a:b] for _, (a, b) in self.library_split(chunk)]
+        return self.split(chunk)
 
 
-def _rejoined(first: str, chunks: list[str]) -> tuple[str, list[str]]:
-    """Chunks that are empty or begin with white space, put back to what stands before them."""
+def _chunks(text: str) -> tuple[str, list[str]]:
+    """The text up to the first blank that begins a word, and what follows each such blank."""
+    first, *chunks = text.split(" ")
+    if not SPACED(text):
+        return first, chunks
+    # Chunks that are empty or begin with white space are put back to what stands before them.
     parts = [[first]]
     for chunk in chunks:
         if not chunk or chunk[0].isspace():
@@ -205,8 +282,7 @@ def encode_documents(
         bpe = ByteBpe(path or public_path(vocabulary))
         for batch in batches:
             counts, id_digests, text_digests, ids, decoded = [], [], [], [], []
-            for t in batch.column("text"):
-                encoded = bpe.encode(t.as_py())
+            for encoded in bpe.encode(batch.column("text").to_pylist()):
                 back = bpe.decode(encoded)
                 counts.append(len(encoded) // 4)
                 id_digests.append(hashlib.sha256(encoded).hexdigest())
