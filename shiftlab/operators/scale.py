@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Bounds in bytes of a broadcast hash table on every executor.
@@ -31,11 +33,15 @@ _local_folders: dict[str, str] = {}
 _open_stagings: list[list[str]] = []
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of ``df`` as a hash table: its values' lengths and a share per row."""
+def _size(df: DataFrame) -> Column:
     values = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns]
     width = sum((v + F.lit(8) for v in values), F.lit(ROW_BYTES))
-    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    return F.coalesce(F.sum(width), F.lit(0))
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of ``df`` as a hash table: its values' lengths and a share per row."""
+    return df.agg(_size(df)).first()[0]
 
 
 def fits(df: DataFrame, max_bytes: int) -> bool:
@@ -85,6 +91,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_dimension(df: DataFrame, name: str, max_bytes: int = DIMENSION_BYTES) -> DataFrame:
+    """``staged``, marked for broadcast when it is small enough: it is measured while it is written."""
+    seen = Observation()
+    out = staged(df.observe(seen, _size(df).alias("bytes")), name)
+    return F.broadcast(out) if seen.get["bytes"] <= max_bytes else out
+
+
+def together(spark: SparkSession, *steps: Callable[[], DataFrame]) -> list[DataFrame]:
+    """The results of steps that run jobs and do not need each other, side by side.
+
+    One small job leaves most of a cluster idle; Spark schedules the jobs of several threads at once.
+    """
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Own the tables staged inside, and delete them at the end.

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlab.operators.impact import (
+    OUTCOME_KEY,
     affected_subscriptions,
     delivery_outcomes,
     planned_deliveries,
     shift_impact,
 )
 from shiftlab.operators.options import delivery_options
-from shiftlab.operators.scale import SHIFT_BYTES, dimension, staged
+from shiftlab.operators.scale import SHIFT_BYTES, dimension, staged, staged_dimension, together
 from shiftlab.operators.shifts import shift_registry
 from shiftlab.operators.subscriptions import (
     SUBSCRIPTION,
@@ -28,12 +29,13 @@ from shiftlab.operators.subscriptions import (
 SUBSCRIPTION_WEEK = [*SUBSCRIPTION, "delivery_week"]
 
 
-def _by_week(df: DataFrame, name: str, *columns: str) -> DataFrame:
-    """The distinct values of the columns per subscription and week, as one array.
+def _by_week(df: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values of the columns, clustered by subscription and week.
 
-    Repeats collapse before the shuffle; what is left of one subscription's week is a few values.
+    Distinct after the one shuffle: what repeats is spread over days and files, so little of it would
+    collapse before.
     """
-    return df.groupBy(*SUBSCRIPTION_WEEK).agg(F.collect_set(F.struct(*columns)).alias(name))
+    return df.select(*SUBSCRIPTION_WEEK, *columns).repartition(*SUBSCRIPTION_WEEK).distinct()
 
 
 def shifted_deliveries(
@@ -47,61 +49,57 @@ def shifted_deliveries(
 
     The shifts decide early what is read. A one-off change keeps the postcode and stays within its
     week, so only plans whose zone has a shift in their week can land on a shifted date; changes
-    and outcomes are limited by country and week. Plans, changes and outcomes then meet on one
-    clustering, subscription and week, so each of them is shuffled once.
+    and outcomes are limited by country and week. Plans and changes meet on one clustering,
+    subscription and week, and what no shift moves is dropped before outcomes are looked up. An
+    outcome is one of three values, so those of one delivery are three bits of a number.
     """
-    # Lookups are measured, used more than once and small: each is written once.
-    calendar = dimension(tables["calendar"])
-    days = dimension(staged(week_lookup(tables["calendar"]), "weeks-of-days"))
-    codes = dimension(staged(code_lookup(tables["entities"]), "entity-codes"))
+    spark = shifts.sparkSession
     week_key = ["country", "delivery_week"]
-    weeks = dimension(staged(shifts.select(*week_key).distinct(), "shift-weeks"))
     # One number per zone and week; should two be equal, the exact key below decides.
     zone_week = F.xxhash64("country", "delivery_week", "zone").alias("zone_week")
     zones = shifts.select("country", "delivery_week", F.col("postal_code").alias("zone"))
-    zone_weeks = dimension(staged(zones.select(zone_week).distinct(), "shift-zones"), SHIFT_BYTES)
+    shift_key = shifts.select(
+        "country",
+        F.col("postal_code").alias("zone"),
+        F.col("origin_option_handle").alias("updated_delivery_time"),
+        F.col("origin_date").alias("updated_delivery_date"),
+    )
+    # Lookups are measured, used more than once and small: each is written once.
+    calendar, days, codes, weeks, zone_weeks, keys = together(
+        spark,
+        lambda: dimension(tables["calendar"]),
+        lambda: staged_dimension(week_lookup(tables["calendar"]), "weeks-of-days"),
+        lambda: staged_dimension(code_lookup(tables["entities"]), "entity-codes"),
+        lambda: staged_dimension(shifts.select(*week_key).distinct(), "shift-weeks"),
+        lambda: staged_dimension(zones.select(zone_week).distinct(), "shift-zones", SHIFT_BYTES),
+        lambda: staged_dimension(shift_key.distinct(), "shift-keys", SHIFT_BYTES),
+    )
     planned = with_week(planned_deliveries(tables["snapshots"], units, min_date), days)
     zoned = with_extended_zone(planned, codes).withColumn("zone_week", zone_week)
     plans = _by_week(
-        zoned.join(zone_weeks, "zone_week", "left_semi"), "plans", "delivery_wk_4", "delivery_time", "zip"
+        zoned.join(zone_weeks, "zone_week", "left_semi"), "delivery_wk_4", "delivery_time", "zip"
     )
     one_offs = one_off_changes(
         tables["changes"], calendar, units, min_week, dedupe=False, weeks=weeks
     ).withColumnRenamed("business_unit", "country")
-    changes = _by_week(one_offs, "changes", "changed_delivery_time", "changed_delivery_date")
-    delivered = delivery_outcomes(tables["order_items"], min_week, dedupe=False)
-    outcomes = _by_week(
-        delivered.join(weeks, week_key, "left_semi"), "outcomes", "zip", "updated_delivery_time", "is_delivered"
+    changes = _by_week(one_offs, "changed_delivery_time", "changed_delivery_date")
+    moved = plans.join(changes, SUBSCRIPTION_WEEK, "left").select(
+        *SUBSCRIPTION_WEEK,
+        "zip",
+        F.coalesce("changed_delivery_time", "delivery_time").alias("updated_delivery_time"),
+        F.coalesce("changed_delivery_date", "delivery_wk_4").alias("updated_delivery_date"),
     )
-    moved = (
-        plans.join(changes, SUBSCRIPTION_WEEK, "left")
-        .join(outcomes, SUBSCRIPTION_WEEK, "left")
-        .select(*SUBSCRIPTION_WEEK, F.explode("plans").alias("plan"), "changes", "outcomes")
-        .select("*", F.explode_outer("changes").alias("change"))
-        .select(
-            *SUBSCRIPTION_WEEK,
-            "plan.zip",
-            F.coalesce("change.changed_delivery_time", "plan.delivery_time").alias("updated_delivery_time"),
-            F.coalesce("change.changed_delivery_date", "plan.delivery_wk_4").alias("updated_delivery_date"),
-            "outcomes",
-        )
+    shifted = with_extended_zone(moved, codes).join(keys, keys.columns, "left_semi")
+    delivered = delivery_outcomes(tables["order_items"], min_week, dedupe=False)
+    bit = F.when(F.col("is_delivered"), 1).when(~F.col("is_delivered"), 2).otherwise(4)
+    outcomes = (
+        delivered.join(weeks, week_key, "left_semi").groupBy(*OUTCOME_KEY).agg(F.bit_or(bit).alias("seen"))
     )
-    shift_key = shifts.select(
-        "country",
-        F.col("postal_code").alias("zone"),
-        F.col("origin_option_handle").alias("updated_delivery_time"),
-        F.col("origin_date").alias("updated_delivery_date"),
+    values = F.array(F.lit(True), F.lit(False), F.lit(None))
+    own = F.filter(values, lambda _, i: F.getbit(F.col("seen"), i) == 1)
+    return shifted.join(outcomes, OUTCOME_KEY, "left").select(
+        *shifted.columns, F.explode_outer(own).alias("is_delivered")
     )
-    keys = dimension(staged(shift_key.distinct(), "shift-keys"), SHIFT_BYTES)
-    shifted = with_extended_zone(moved, codes).join(keys, keys.columns, "left_semi")
-
-    def own(outcome):
-        time = outcome["updated_delivery_time"]
-        return (outcome["zip"] == F.col("zip")) & (time == F.col("updated_delivery_time"))
-
-    return shifted.select(
-        "*", F.explode_outer(F.filter("outcomes", own)["is_delivered"]).alias("is_delivered")
-    ).drop("outcomes")
 
 
 def shift_impact_table(

@@ -124,12 +124,14 @@ def test_impact_table_reads_few_order_item_columns_and_no_python(stored):
 def test_impact_table_filters_by_zone_and_week_and_shuffles_each_table_once(stored, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(plans.impact_table, "dimension", lambda df, *_: df)
+        monkeypatch.setattr(plans.impact_table, "staged_dimension", lambda df, name, *_: staged(df, name))
     text = formatted_plan(plans.shift_impact_table(stored, ["GB"]))
     assert "zone_week" in text and "LeftSemi" in text
     if broadcast:
         assert text.count("Exchange hashpartitioning") <= 12
-    # Plans, changes and outcomes: one clustering each, their joins add no shuffle.
-    assert text.count("partial_collect_set(struct(") == 3
+    # Plans and changes: one clustering each, which their join keeps. Nothing falls back to sorting.
+    assert text.count("REPARTITION_BY_COL") == 2
+    assert "ObjectHash" not in text and "SortAggregate" not in text
 
 
 def test_unknown_flag_is_refused(spark):

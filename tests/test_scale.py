@@ -12,6 +12,7 @@ from shiftlab import plans
 from shiftlab.operators import scale
 from shiftlab.operators.compare import control_comparison
 from shiftlab.operators.orders import SALTS, order_rates
+from shiftlab.operators.scale import staged, staged_dimension, table_bytes, together
 from shiftlab.operators.shifts import active_shifts
 from shiftlab.sources import read_sources
 from tests.helpers import formatted_plan, rows
@@ -164,3 +165,19 @@ def test_a_hot_subscription_is_dealt_to_many_partitions(spark):
     marked = lines.withColumn("salt", F.pmod(F.xxhash64("order_line_items_id"), F.lit(SALTS)))
     sizes = [r["count"] for r in marked.groupBy("country", "fk_subscription", "salt").count().collect()]
     assert max(sizes) < 2 * 20_000 / SALTS
+
+
+def test_staged_dimension_is_measured_while_written(spark):
+    df = spark.range(50).selectExpr("id", "concat('name', id) AS name")
+    size = table_bytes(df)
+    hinted = lambda out: "ResolvedHint" in out._jdf.queryExecution().analyzed().toString()
+    assert hinted(staged_dimension(df, "fits", size)) and not hinted(staged_dimension(df, "large", size - 1))
+    empty = staged_dimension(df.limit(0), "empty", 1)
+    assert hinted(empty) and empty.count() == 0
+
+
+def test_steps_side_by_side_keep_their_order_and_raise(spark):
+    steps = [lambda k=k: staged(spark.range(k), f"step-{k}") for k in (3, 1, 2)]
+    assert [df.count() for df in together(spark, *steps)] == [3, 1, 2]
+    with pytest.raises(ZeroDivisionError):
+        together(spark, steps[0], lambda: 1 // 0)
