@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlab.operators.scale import staged
 
-__all__ = ["blank", "fresh", "held_out", "iterate_texts", "read_table", "staged", "text_batches", "text_udf"]
+__all__ = ["arrow_rows", "blank", "fresh", "held_out", "iterate_texts", "read_table", "staged", "text_batches", "text_udf"]
 
 # Texts are handed to numpy code in slices of about this many characters, so that a batch of very
 # long documents needs no more memory than one of short ones.
@@ -49,6 +50,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem if stem.lower() not in taken else f"{stem}_{uuid.uuid4().hex[:8]}"
 
 
+def arrow_rows(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows as a batch. Ids come through Arrow as they are: pandas would turn long ones beside a NULL into doubles."""
+    columns = zip(*rows) if rows else ([] for _ in types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """Whether the document belongs to the fold kept from training; a NULL id does not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))

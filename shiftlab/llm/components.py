@@ -2,9 +2,10 @@
 
 Each round points the neighbours of every node at the smallest of them (first the larger neighbours,
 then the smaller ones) until nothing changes: every component is then a star around its smallest
-node. A round is two aggregates with map-side combine and two joins against one row per node, so a
-node with very many neighbours never has them gathered in one place. Every round is written to the
-shared folder, which cuts the lineage and survives lost executors.
+node. A round is two aggregates with map-side combine and two joins against one row per node. These
+rows are written before the join, which is then one of two plain shuffles: adaptive execution splits
+the many edges of a node with very many neighbours. Every round is written to the shared folder, which
+cuts the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ MAX_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     """For each node, its larger neighbours point at the smallest of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return (
         both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     )
@@ -29,7 +30,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """For each node, its smaller neighbours and itself point at the smallest of these neighbours."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     others = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -43,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
     current = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _mark(current)
     for _ in range(MAX_ROUNDS if seen[0] else 0):
-        current = staged(_small_star(_large_star(current)), "edges")
+        current = staged(_small_star(staged(_large_star(current), "edges")), "edges")
         now = _mark(current)
         if now == seen:
             break

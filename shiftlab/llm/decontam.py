@@ -8,6 +8,10 @@ half; a band below the bound cannot hold a match. Bands that reach it are verifi
 alignment of the item with that region of the document. Before q-grams are looked up at all, regions
 are left out in which fewer positions than the bound have any q-gram of the benchmark.
 
+Items under ``LEAST_CHARS`` characters, too short to tell an edit from another word, are searched as
+they are: between separators, by a hash of every run of that many characters that begins and ends with
+a word, and then character by character.
+
 Items longer than ``SEGMENT`` are searched by overlapping segments, so that half of a long item is
 found too. The index of the items is sent to all executors in blocks of at most about
 ``BLOCK_CHARS`` characters, one pass over the documents per block: its size is bounded whatever the
@@ -23,10 +27,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from shiftlab.llm.common import blank, iterate_texts, text_batches
+from shiftlab.llm.common import arrow_rows, blank, iterate_texts, text_batches
 
 Q = 8
 EDIT_SHARE = 0.05
@@ -77,6 +83,8 @@ class Index:
     segment: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    # Of items too short for q-grams, by their length: sorted hashes, and the items with their characters.
+    short: dict[int, tuple[np.ndarray, list[list[tuple[object, np.ndarray]]]]]
 
     def classes(self) -> list[tuple[int, int]]:
         """(Longest match, least shared q-grams) of the segments, by classes of similar length."""
@@ -104,12 +112,47 @@ def slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * MULTIPLIER) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def run_hashes(chars: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``size`` characters at the given places."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(size):
+        out = (out ^ chars[starts + i].astype(np.uint64)) * MULTIPLIER
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def short_items(items: list[tuple[object, np.ndarray]]) -> dict[int, tuple[np.ndarray, list[list[tuple[object, np.ndarray]]]]]:
+    by_size: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+    for item, chars in items:
+        h = int(run_hashes(chars, len(chars), np.zeros(1, np.int64))[0])
+        by_size[len(chars)][h].append((item, chars))
+    return {size: (np.array(sorted(own), np.uint64), [own[h] for h in sorted(own)]) for size, own in by_size.items()}
+
+
+def search_short(chars: np.ndarray, index: Index) -> Iterator[tuple[object, int, int]]:
+    """Item and place of every short item that stands between separators."""
+    gap = np.array([SPACE], np.uint32)
+    padded = np.concatenate([gap, chars, gap])
+    blanks = np.flatnonzero(padded == SPACE)
+    for size, (hashes, found) in index.short.items():
+        starts = blanks[:-1][padded[np.minimum(blanks[:-1] + size + 1, len(padded) - 1)] == SPACE] + 1
+        starts = starts[starts + size < len(padded)]
+        own = run_hashes(padded, size, starts)
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        for k in np.flatnonzero(hashes[at] == own):
+            start = int(starts[k])
+            for item, wanted in found[at[k]]:
+                if (padded[start : start + size] == wanted).all():
+                    yield item, start - 1, start - 1 + size
+
+
 def build_index(items: list[tuple[object, str | None]], edit_share: float = EDIT_SHARE) -> Index:
-    table, own, segments = fold_table(), [], []
+    table, own, segments, short = fold_table(), [], [], []
     for item, text in items:
         chars, _ = normalise(text or "", table)
         chars = chars[: len(chars) - 1] if len(chars) and chars[-1] == SPACE else chars
         if len(chars) < LEAST_CHARS:
+            short += [(item, chars)] if len(chars) else []
             continue
         starts = range(0, len(chars) - SEGMENT, SEGMENT // 2) if len(chars) > SEGMENT else ()
         for at in [*starts, max(0, len(chars) - SEGMENT)]:
@@ -126,7 +169,7 @@ def build_index(items: list[tuple[object, str | None]], edit_share: float = EDIT
     distinct, first = np.unique(codes[order], return_index=True)
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[slot(distinct)] = True
-    return Index(own, segments, budget, size - Q + 1 - budget * Q, distinct, np.append(first, len(codes)), segment.astype(np.int64), place.astype(np.int64), bits)
+    return Index(own, segments, budget, size - Q + 1 - budget * Q, distinct, np.append(first, len(codes)), segment.astype(np.int64), place.astype(np.int64), bits, short_items(short))
 
 
 def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -161,8 +204,11 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[i
 def search(texts: list[str], index: Index, table: np.ndarray) -> list[list[tuple[object, int, int, int]]]:
     """For each text, its (item, start, end, edits); places are code points, the end is exclusive."""
     out: list[list] = [[] for _ in texts]
+    for hits, text in zip(out, texts if index.short else ()):
+        chars, own = normalise(text, table)
+        hits += [(item, int(own[start]), int(own[end - 1]) + 1, 0) for item, start, end in search_short(chars, index)]
     if not len(index.codes):
-        return out
+        return [_merged(hits) for hits in out]
     classes = index.classes()
     for a, b in iterate_texts(texts, 1_000_000):
         chars, places = zip(*(normalise(t, table) for t in texts[a:b]))
@@ -260,46 +306,51 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int = BLO
 def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row doc_id, item_id, start, end, edits for each place of an item in a document.
 
-    Clean documents have no row. Places count code points, ends are exclusive. Items with fewer than
-    ``LEAST_CHARS`` letters, digits and separators, NULL ones included, are no evidence and not
-    searched; a NULL or empty text holds nothing. Repeated rows are reported each, a NULL id as NULL;
+    Clean documents have no row. Places count code points, ends are exclusive. Items without a
+    letter or digit, NULL ones included, are no evidence; those under ``LEAST_CHARS`` characters are
+    found unedited, as whole words; a NULL or empty text holds nothing. Repeated rows are reported each, a NULL id as NULL;
     other columns are ignored; an empty table on either side gives no row.
     """
     text_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     kinds = dict(own.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id]
     context = docs.sparkSession.sparkContext
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
 
     def one(items: list[tuple]) -> DataFrame:
-        sent = context.broadcast(build_index(items))
+        # As plain arrays: workers need not have the class.
+        sent = context.broadcast(tuple(vars(build_index(items)).values()))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index, table = sent.value, fold_table()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, table = Index(*sent.value), fold_table()
             for batch in batches:
-                hits = search(list(batch["text"]), index, table)
-                rows = [(None if d != d else d, *h) for d, found in zip(batch["doc_id"], hits) for h in found]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
+                hits = search(batch.column("text").to_pylist(), index, table)
+                rows = [(d, *h) for d, found in zip(batch.column("doc_id").to_pylist(), hits) for h in found]
+                yield arrow_rows(rows, {"doc_id": batch.schema.field("doc_id").type, "item_id": item_type, "start": pa.int64(), "end": pa.int64(), "edits": pa.int32()})
 
-        return own.mapInPandas(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, end long, edits int")
+        return own.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, end long, edits int")
 
     return reduce(DataFrame.unionByName, [one(items) for items in blocks(benchmark, item_id, item_text)])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents, all columns, that hold no place of a benchmark item."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, all columns, that hold no place of a benchmark item.
+
+    NULL and empty texts hold none and stay, repeated rows stay or go together; without items all stay.
+    """
     context = docs.sparkSession.sparkContext
 
     text_batches(docs.sparkSession)
 
     def free_of(items: list[tuple]):
-        sent = context.broadcast(build_index(items))
+        sent = context.broadcast(tuple(vars(build_index(items)).values()))
 
         def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index, table = sent.value, fold_table()
+            index, table = Index(*sent.value), fold_table()
             for texts in batches:
                 yield pd.Series([not hits for hits in search(list(texts), index, table)], dtype=bool)
 
         clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(clean, "boolean")(blank(text))
 
-    return reduce(lambda kept, items: kept.where(free_of(items)), blocks(benchmark, "item_id", "text"), docs)
+    return reduce(lambda kept, items: kept.where(free_of(items)), blocks(benchmark, item_id, item_text), docs)

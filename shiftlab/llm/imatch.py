@@ -20,15 +20,18 @@ from string import punctuation
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shiftlab.llm.common import blank, text_batches
+from shiftlab.llm.common import arrow_rows, blank, text_batches
 
 TERM_BITS = 64
 BUCKET_BITS = 21  # of the coarse form that counts buckets of terms
 COUNTED_TERMS = 1_000_000
+IDS_PER_RANGE = 20  # sampled ids that are not numbers
 BITMAP_BITS = 32_768  # of one bitmap that Spark aggregates
 # The band, as powers of the number of documents N: a term's document frequency lies between them.
 RAREST, COMMONEST = 0.15, 0.85
@@ -156,15 +159,26 @@ def edited(text: str, following: str) -> str:
 # --- the next document --------------------------------------------------------------------------
 
 
+def _bounds(docs: DataFrame, ranges: int) -> list:
+    """Up to ``ranges - 1`` ids that part the ids into ranges of about equal numbers: numbers by their quantiles, others by those of a sample."""
+    ids, kind = docs.select("doc_id").where("doc_id is not null"), docs.schema["doc_id"].dataType
+    if ranges < 2:
+        return []
+    shares = [i / ranges for i in range(1, ranges)]
+    if isinstance(kind, T.IntegralType):
+        quantiles = ids.select(F.col("doc_id").cast("long").alias("id")).approxQuantile("id", shares, 0.1 / ranges)
+        return sorted({int(q) for q in quantiles})
+    sample = sorted(r[0] for r in ids.sample(min(1.0, IDS_PER_RANGE * ranges / max(ids.count(), 1)), seed=5).collect())
+    return sorted({sample[int(q * len(sample))] for q in shares}) if sample else []
+
+
 def in_order(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, text, part, extra: parts are ranges of falling ids; NULL ids form the last part.
 
     Every part also holds, marked extra, the document that starts the next part that is not empty; the
     last part the first document of all. The bounds are ``ranges - 1`` quantiles of the ids.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
-    quantiles = ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    bounds = sorted({int(q) for q in quantiles})
+    bounds = _bounds(docs, ranges)
     below = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
     part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(len(bounds) - below).cast("int")
     parted = docs.withColumn("part", part)
@@ -191,12 +205,12 @@ def edited_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(term_lexicon(own))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = sent.value
         held = None  # a document that waits for the next one: (id, text, fingerprint, part)
         for batch in batches:
             rows = []
-            for own_id, t, part, extra in zip(batch["doc_id"], batch["text"], batch["part"], batch["extra"]):
+            for own_id, t, part, extra in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "extra"))):
                 if held is None and extra:
                     continue  # a further row with the id of the following part's first document
                 print_ = fingerprint(t, band)
@@ -204,15 +218,17 @@ def edited_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     if held[3] != part:
                         raise ValueError("a part does not end with the document that follows it")
                     rows.append(_compared(held, t, print_, band))
-                held = None if extra else (None if own_id != own_id else own_id, t, print_, part)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                held = None if extra else (own_id, t, print_, part)
+            yield arrow_rows(rows, {"doc_id": batch.schema.field("doc_id").type, **types})
         if held is not None:
             raise ValueError("a part does not end with the document that follows it")
 
     schema = f"doc_id {dict(own.dtypes)['doc_id']}, {COLUMNS}"
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    types = {name: kinds[kind] for name, kind in (c.split() for c in COLUMNS.split(", "))}
     dealt = in_order(own, ranges).repartition(ranges, "part")
     order = dealt.sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
-    return order.mapInPandas(compare, schema)
+    return order.mapInArrow(compare, schema)
 
 
 COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

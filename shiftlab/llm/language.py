@@ -131,7 +131,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     known = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id, FOLDS, HELD_OUT_FOLD))
     named = known.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     usable = named.where("text is not null and text rlike '\\\\p{L}'")
-    sampled = bounded_texts(sample_labels(usable, "doc_id", "lang", bound), "doc_id", "text")
+    sampled = bounded_texts(sample_labels(usable, "doc_id", "lang", bound), "doc_id", "text", label="lang")
     frame = labelled_windows(sampled, "text", "lang", WINDOW, lower=True)
     return train(list(frame["label"]), [np.frombuffer(b, np.uint8).reshape(-1, WINDOW) for b in frame["bytes"]])
 

@@ -102,9 +102,9 @@ def _read_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         column.append(value)
         at = pa.array(taken, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(columns[0], pa.int32()),
+            [batch.column("doc_id").take(at), batch.column("row").take(at), batch.column("key").take(at), pa.array(columns[0], pa.int32()),
              pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.list_(pa.int64()))],
-            names=["doc_id", "row", "line", "h", "n", "halves"],
+            names=["doc_id", "row", "key", "line", "h", "n", "halves"],
         )
 
 
@@ -160,18 +160,19 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are dropped. Other columns are ignored; no documents, no rows.
     """
     number = F.monotonically_increasing_id() if row is None else F.col(row)
-    source = docs.select(F.col(doc_id).alias("doc_id"), number.cast("long").alias("row"), blank(text).alias("text"))
+    # Texts are found again by what they hold, whatever their ids and however rows are numbered.
+    source = docs.select(F.col(doc_id).alias("doc_id"), number.cast("long").alias("row"), F.xxhash64(blank(text)).alias("key"), blank(text).alias("text"))
     kind = dict(source.dtypes)["doc_id"]
     text_batches(docs.sparkSession)
-    read = source.mapInArrow(_read_lines, f"doc_id {kind}, row long, line int, h long, n int, halves array<long>")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line")
+    read = source.mapInArrow(_read_lines, f"doc_id {kind}, row long, key long, line int, h long, n int, halves array<long>")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line", "key")
     lines = staged(read.select(place.alias("place"), "h", "n", "halves"), "lines")
 
     distinct = staged(
         lines.groupBy("h", "n").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("halves").alias("halves")),
         "distinct-lines",
     )
-    near = _near_partners(docs.select(F.col(doc_id).alias("doc_id"), blank(text).alias("text")), distinct)
+    near = _near_partners(source.select("key", "text"), distinct)
     best = (
         distinct.where("copies > 1").select("h", "n", "first", F.lit(None).cast(dict(distinct.dtypes)["first"]).alias("partner"))
         .unionByName(near)
@@ -196,10 +197,10 @@ def _near_partners(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     able = keys.join(shared, "half", "left_semi").select("h").distinct()
     lines = staged(distinct.join(able, "h", "left_semi").where(F.size("halves") > 0).select("h", "n", "first"), "able-lines")
 
-    # Second reading of the documents that hold the first copies of these lines.
-    wanted = lines.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line").alias("lines"), F.collect_list("h").alias("hashes"))
+    # Second reading of the texts that hold the first copies of these lines.
+    wanted = lines.groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.line").alias("lines"), F.collect_list("h").alias("hashes"))
     wanted = dimension(staged(wanted, "wanted-lines"), LOOKUP_BYTES)
-    held = texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("t.text", "w.lines", "w.hashes")
+    held = texts.join(wanted, "key").select("text", "lines", "hashes")
     # A text that several rows repeat gives its lines once.
     words = held.mapInPandas(_chosen_lines, "h long, words string").groupBy("h").agg(F.min("words").alias("words"))
     words = staged(words.join(lines, "h"), "worded-lines")
@@ -207,12 +208,13 @@ def _near_partners(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     keyed = words.select("h", "words").mapInPandas(_neighbourhood, "h long, key long, role byte").join(lines.select("h", "first"), "h")
     variants = staged(keyed, "variants")
     own, line = F.col("role") < 2, F.col("role") == 2
-    groups = variants.groupBy("key").agg(
+    # Written first, as the lines above: then hot variants can be split.
+    groups = staged(variants.groupBy("key").agg(
         F.min(F.when(F.col("role") == 0, F.col("first"))).alias("same"),
         F.min(F.when(F.col("role") == 1, F.col("first"))).alias("longer"),
         F.min(F.when(line, F.col("first"))).alias("shorter"),
         F.count(F.lit(1)).alias("members"),
-    ).where("members > 1")
+    ).where("members > 1"), "variant-groups")
     partner = F.when(F.col("role") == 0, F.col("same")).when(own, F.col("shorter")).otherwise(F.col("longer"))
     links = variants.join(groups, "key").select("h", "first", partner.alias("partner")).where("partner < first")
     earliest = links.groupBy("h").agg(F.min("partner").alias("partner"))

@@ -21,11 +21,11 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from shiftlab.llm.common import blank, text_batches
+from shiftlab.llm.common import arrow_rows, blank, text_batches
 from shiftlab.llm.tokens import WordTokens
 
 VOCABULARY = "word_bpe_49k.json"
@@ -149,16 +149,16 @@ def pack_documents(
     rows that repeat an id are packed as documents of their own, a NULL id stays NULL. Other columns
     are ignored; an empty table gives no row. ``path`` names a vocabulary file that all executors have.
     """
-    kind = dict(docs.dtypes)[doc_id]
+    id_kind = dict(docs.dtypes)[doc_id]
     end = END_ID.to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordTokens(path or public_path(vocabulary)).encode
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 36
         step = number
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal number, step
             sequences = pack([len(t) // 4 for _, t in group])
             sizes = [sum(p[2] for p in held) for _, held in sequences]
@@ -175,13 +175,15 @@ def pack_documents(
                 number += 1
             step += steps
             group.clear()
-            return pd.DataFrame(rows, columns=names)
+            return arrow_rows(rows, {"doc_id": id_type, **types})
 
         group: list[tuple[object, bytes]] = []
         held = 0
+        id_type = pa.null()
         for batch in batches:
-            for own, t in zip(batch["doc_id"], batch["text"]):
-                group.append((own if own == own else None, encode(t or "") + end))
+            id_type = batch.schema.field("doc_id").type
+            for own, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                group.append((own, encode(t) + end))
                 held += len(group[-1][1]) // 4
                 if held >= group_tokens:
                     yield flush()
@@ -189,8 +191,9 @@ def pack_documents(
         if group:
             yield flush()
 
-    schema = f"doc_id {kind}, {COLUMNS}" + (", ids array<long>" if with_ids else "")
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = f"doc_id {id_kind}, {COLUMNS}" + (", ids array<long>" if with_ids else "")
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+    types = {name: kinds[kind] for name, kind in (c.split() for c in schema.split(", ")[1:])}
     text_batches(docs.sparkSession)
     own = docs.select(docs[doc_id].alias("doc_id"), blank(text).alias("text"))
-    return own.mapInPandas(run, schema)
+    return own.mapInArrow(run, schema)

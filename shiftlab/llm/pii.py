@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from datetime import date
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +33,24 @@ EXAMPLE_KEY = b"example key, not secret"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 def _date_pattern() -> str:
-    """Year first or last, with one of three separators throughout."""
+    """Year first or last, with one of three separators throughout; a time or zone may follow."""
     short = "[0-9]{1,2}"
     forms = [x for c in ("-", "/", "[.]") for x in (f"[0-9]{{4}}{c}{short}{c}{short}", f"{short}{c}{short}{c}[0-9]{{4}}")]
-    return rf"(?<![0-9A-Za-z./-])(?:{'|'.join(forms)})(?![0-9A-Za-z/-]|\.[0-9])"
+    end = r"(?=T[0-9]{2}:|Z(?![0-9A-Za-z]))|(?![0-9A-Za-z/-]|\.[0-9])"
+    return rf"(?<![0-9A-Za-z./-])(?:{'|'.join(forms)})(?:{end})"
 
 
 def _card_pattern() -> str:
     """Digits alone, or in groups with one separator that no further digits join."""
-    groups = "|".join(f"[0-9]{{4}}{c}(?:[0-9]{{4}}{c}[0-9]{{4}}{c}[0-9]{{4}}(?:{c}[0-9]{{3}})?|[0-9]{{6}}{c}[0-9]{{5}})" for c in (r"\x20", "-"))
+    groups = "|".join(f"[0-9]{{4}}{c}(?:[0-9]{{4}}{c}[0-9]{{4}}{c}[0-9]{{4}}(?:{c}[0-9]{{3}})?|[0-9]{{6}}{c}[0-9]{{4,5}})" for c in (r"\x20", "-"))
     return rf"(?<![0-9A-Za-z])(?:[0-9]{{13,19}}|(?<![0-9][\x20-])(?:{groups})(?![\x20-][0-9]))(?![0-9A-Za-z])"
 
 
 def _phone_pattern() -> str:
-    """With a country code, an area code in brackets, or as three, three and four digits."""
+    """With a country code, an area code in brackets, as three, three and four digits, or as five pairs."""
     groups = r"[0-9]{2,4}(?:[\x20-][0-9]{2,4}){1,4}"
     area = r"\([0-9]{2,4}\)[\x20-]?"
-    plain = rf"(?<![0-9][\x20-])(?:[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}\x20[0-9]{{3}}\x20[0-9]{{4}})(?![\x20-][0-9])"
+    plain = rf"(?<![0-9][\x20-])(?:[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}|[0-9]{{3}}\x20[0-9]{{3}}\x20[0-9]{{4}}|[0-9]{{2}}(?:\x20[0-9]{{2}}){{4}})(?![\x20-][0-9])"
     return rf"(?<![0-9A-Za-z/.+-])(?:\+[0-9]{{1,3}}[\x20-]?(?:{area})?{groups}|{area}{groups}|{plain})(?![0-9A-Za-z/-])"
 
 
@@ -163,7 +164,6 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
             return written
 
 
-@lru_cache(4096)
 def _reading(text: str, year_first: bool) -> tuple[date, bool]:
     parts = [int(p) for p in re.split(r"[-/.]", text)]
     y, m, d = parts if year_first else parts[::-1]
@@ -295,22 +295,17 @@ def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, doc_id: str = "doc_i
     """
     kind = dict(docs.dtypes)[doc_id]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key, back)
         for batch in batches:
-            rows = [names.rewrite(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "text": [t for t, _ in rows],
-                    "spans": [",".join(f"{k}:{a}:{b}" for a, b, k in s) for _, s in rows],
-                    "absent": batch["absent"],
-                    **{f"n_{k}": [sum(x[2] == k for x in s) for _, s in rows] for k in KINDS},
-                }
-            )
+            rows = [names.rewrite(t) for t in batch.column("text").to_pylist()]
+            counts = [pa.array([sum(x[2] == k for x in s) for _, s in rows], pa.int32()) for k in KINDS]
+            spans = pa.array([",".join(f"{k}:{a}:{b}" for a, b, k in s) for _, s in rows], pa.string())
+            columns = [batch.column("doc_id"), pa.array([t for t, _ in rows], pa.string()), spans, batch.column("absent"), *counts]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "spans", "absent", *(f"n_{k}" for k in KINDS)])
 
     text_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), blank(text).alias("text"), F.col(text).isNull().alias("absent"))
     counts = ", ".join(f"n_{k} int" for k in KINDS)
-    done = own.mapInPandas(run, f"doc_id {kind}, text string, spans string, absent boolean, {counts}")
+    done = own.mapInArrow(run, f"doc_id {kind}, text string, spans string, absent boolean, {counts}")
     return done.withColumn("text", F.when(~F.col("absent"), F.col("text"))).drop("absent")

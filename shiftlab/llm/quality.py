@@ -16,8 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlab.llm.common import blank, held_out, text_batches, text_udf
-from shiftlab.llm.windows import Adam, bounded_texts, labelled_windows, sample_rows, windows
+from shiftlab.llm.common import blank, held_out, staged, text_batches, text_udf
+from shiftlab.llm.windows import Adam, bounded_texts, labelled_windows, sample_labels, windows
 
 PASSAGE = 512
 PAIRS = 512
@@ -117,10 +117,13 @@ def train(labels: np.ndarray, grids: list[np.ndarray], seed: int = 5) -> BagMode
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bound: int = TRAIN_TEXTS) -> BagModel:
     """A model learned from the labels outside the held-out fold. Labels of no document are ignored."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id, FOLDS, HELD_OUT_FOLD))
-    own = sample_rows(known.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")), "doc_id", bound)
+    known = known.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
+    # Drawn per label, so that a rare one is learned, and of labels that have a document.
+    ids = docs.select(F.col(doc_id).alias("doc_id"))
+    own = sample_labels(staged(known.join(ids, "doc_id", "left_semi"), "known-labels"), "doc_id", "label", bound)
     texts = docs.select(F.col(doc_id).alias("doc_id"), blank(text).alias("text"))
     # The sample is bounded, so it may be sent to every executor.
-    sampled = bounded_texts(texts.join(F.broadcast(own), "doc_id"), "doc_id", "text")
+    sampled = bounded_texts(texts.join(F.broadcast(own), "doc_id"), "doc_id", "text", label="label")
     frame = labelled_windows(sampled, "text", "label", PASSAGE)
     return train(frame["label"].to_numpy(), [np.frombuffer(b, np.uint8).reshape(-1, PASSAGE) for b in frame["bytes"]])
 

@@ -194,7 +194,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, sha
         other = roots != np.arange(len(own))
         return pd.DataFrame({"a": own[other], "b": own[roots[other]]})
 
-    dealt = prints.select("fp").mapInPandas(shards, "shard int, fp long")
+    # A stored table of fingerprints is small and has few files: routing is work, so it is dealt to all cores.
+    context = prints.sparkSession.sparkContext
+    cores = max(context.defaultParallelism, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = prints.select("fp").repartition(cores, "fp").mapInPandas(shards, "shard int, fp long")
     return dealt.groupBy("shard").applyInPandas(stars, "a long, b long")
 
 

@@ -39,13 +39,13 @@ def sample_rows(rows: DataFrame, key: str, bound: int, salt: str = "sample") ->
     return rows.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(HASH_RANGE)) < int(share * HASH_RANGE))
 
 
-def sample_labels(rows: DataFrame, key: str, label: str, bound: int) -> DataFrame:
+def sample_labels(rows: DataFrame, key: str, label: str, bound: int, salt: str = "sample") -> DataFrame:
     """About ``bound`` of the rows at most, picked by a hash of ``key``, with rows of every label.
 
     Half of the bound is dealt to the labels by their numbers of rows and half equally; a label with
     fewer rows than that has all of them, and every label the row whose hash is smallest.
     """
-    place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(HASH_RANGE))
+    place = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(HASH_RANGE))
     # One row per label reaches the driver, as labels are what is learned.
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).collect()
     total = sum(r["n"] for r in counts)
@@ -60,11 +60,17 @@ def sample_labels(rows: DataFrame, key: str, label: str, bound: int) -> DataFram
     return rows.join(F.broadcast(limits), label).where(place < F.col(end)).select(*rows.columns)
 
 
-def bounded_texts(rows: DataFrame, key: str, text: str, limit: int = SAMPLE_BYTES) -> DataFrame:
-    """The given (few) rows, or as many of them as hold about ``limit`` bytes of text: whole texts either way."""
+def bounded_texts(rows: DataFrame, key: str, text: str, limit: int = SAMPLE_BYTES, label: str | None = None) -> DataFrame:
+    """The given (few) rows, or as many of them as hold about ``limit`` bytes of text: whole texts either way.
+
+    With ``label`` every label keeps rows.
+    """
     own = staged(rows, "sampled-texts")
     n, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    return own if size <= limit else sample_rows(own, key, max(1, n * limit // size), "bytes")
+    if size <= limit:
+        return own
+    bound = max(1, n * limit // size)
+    return sample_labels(own, key, label, bound, "bytes") if label else sample_rows(own, key, bound, "bytes")
 
 
 def labelled_windows(rows: DataFrame, text: str, label: str, length: int, lower: bool = False) -> pd.DataFrame:

@@ -111,3 +111,12 @@ def test_edge_rows_and_empty_tables(spark, make_docs, edge_docs, no_docs):
 @pytest.mark.parametrize("text", ["", "ab", "é" * 5])
 def test_texts_shorter_than_a_gram(text):
     assert decontam.search([text], decontam.build_index([(1, ITEM)]), decontam.fold_table()) == [[]]
+
+
+def test_short_items_are_found_as_whole_words(spark, make_docs):
+    rows = [(1, "So: who wrote -- Hamlet, in 1601, then?"), (2, "who wrote hamlet in 16011"), (3, "eyes yes YES"), (4, None), (5, "xa b"), (6, "a\nB a b c")]
+    docs = make_docs(rows)
+    items = spark.createDataFrame([(1, "Who wrote Hamlet in 1601?"), (2, "yes"), (3, "..."), (4, "a b"), (5, None), (6, "")], "item_id long, text string")
+    found = sorted(tuple(r) for r in decontam.contaminations(docs, items).collect())
+    assert found == [(1, 1, 4, 32, 0), (3, 2, 5, 8, 0), (3, 2, 9, 12, 0), (6, 4, 0, 3, 0), (6, 4, 4, 7, 0)]
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()) == [2, 4, 5]

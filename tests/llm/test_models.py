@@ -147,3 +147,13 @@ def test_tables_give_what_the_filters_give():
     logits = np.maximum(np.concatenate(pooled, axis=1), 0) @ net.params["out"] + net.params["bias"]
     odds = np.exp(logits)
     assert np.allclose(language.probabilities(net, net.tables(), grid), odds / odds.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_a_rare_label_is_drawn_from_labels_that_have_a_document(spark, make_docs, monkeypatch):
+    rows = [(i, f"bad {i}" if i < 3 else f"good text number {i}") for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.range(0, 30_000).selectExpr("id AS doc_id", "CAST(id >= 3 AND id < 300 AS INT) AS quality")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda y, grids: seen.append(list(y)) or quality.BagModel({}))
+    quality.fit(make_docs(rows), labels, bound=40)
+    bad = sum(1 for i, _ in rows if i < 3)
+    assert seen[0].count(0) == bad > 0 and 20 < seen[0].count(1) < 60

@@ -86,3 +86,17 @@ def test_edge_rows_and_empty_table(edge_docs, no_docs):
 def test_long_runs_take_linear_time():
     text = "a." * 50_000 + " " + "7" * 60_000 + " " + "1 " * 40_000 + "@" * 20_000
     assert FORWARD.rewrite(text)[0] == text
+
+
+def test_layouts_that_other_symbols_follow():
+    names = pii.Pseudonyms(pii.EXAMPLE_KEY)
+    kinds = lambda t: [(t[a:b], k) for a, b, k, _ in names.spans(t)]
+    for text in ("2024-03-01T12:00", "2024-03-01Z", "2024-03-01 "):
+        assert kinds(text) == [("2024-03-01", "date")] and names.rewrite(text)[0][:10] == names.rewrite("2024-03-01")[0]
+    assert kinds("2024-03-01Zone") == kinds("2024-03-01Team") == []
+    assert kinds("tel 01 23 45 67 89.") == [("01 23 45 67 89", "phone")] and kinds("01 23 45 67 89 10") == []
+    assert kinds("3056 930902 5904") == [("3056 930902 5904", "card")]
+    back = pii.Pseudonyms(pii.EXAMPLE_KEY, True)
+    for text in ("2024-03-01T12:00", "01 23 45 67 89", "3056 930902 5904"):
+        new, spans = names.rewrite(text)
+        assert new != text and back.rewrite(new)[0] == text
