@@ -1,6 +1,8 @@
 import hashlib
+import string
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from shiftlab.llm import imatch
@@ -48,36 +50,83 @@ def test_a_document_alone_follows_itself(make_docs):
     assert row["edited_sha256"] == hashlib.sha256(b"abcdefabc").hexdigest() and row["near_next"] == 1
 
 
-def test_frequencies_count_documents(small, small_rows):
-    frequency = imatch.frequencies(small("documents"))
-    wanted = np.zeros(1 << imatch.BUCKET_BITS, int)
-    for _, t in small_rows:
-        wanted[np.unique(imatch.buckets(imatch.terms(t)))] += 1
-    assert {r["bucket"]: r["n"] for r in frequency.collect()} == {int(b): wanted[b] for b in np.flatnonzero(wanted)}
-    band = imatch.lexicon(frequency, len(small_rows))
-    n = len(small_rows)
-    assert (band == ((wanted >= max(2, n**imatch.RAREST)) & (wanted <= n**imatch.COMMONEST))).all() and band.any()
-
-
-def test_rare_terms_of_one_bucket_stay_out_of_the_lexicon(make_docs):
-    seen = {}
-    for i in range(100_000):
-        word = f"rare{i}"
-        bucket = int(imatch.buckets(imatch.terms(word))[0])
-        if bucket in seen:
-            break
-        seen[bucket] = word
-    rows = [(1, f"both have these {word}"), (2, f"both have these {seen[bucket]}")] + [(i, f"other{i}") for i in range(3, 20)]
+def plain_frequencies(rows):
+    counts = {}
+    for _, t in rows:
+        for term in {w.strip(string.punctuation) for w in (t or "").lower().split()} - {""}:
+            counts[term] = counts.get(term, 0) + 1
+    return counts
+
+
+def test_lexicon_holds_the_band(small, small_rows):
+    docs, n = small("documents"), len(small_rows)
+    wanted = {xxhash.xxh64_intdigest(t): k for t, k in plain_frequencies(small_rows).items()}
+    assert {r["term"] % 2**64: r["n"] for r in imatch.frequencies(docs).collect()} == wanted
+    inside = {t for t, k in wanted.items() if max(2, n**imatch.RAREST) <= k <= n**imatch.COMMONEST}
+    above = {t for t, k in wanted.items() if k > n**imatch.COMMONEST}
+    band, over, rest = imatch.lexicon(docs)
+    assert set(band.tolist()) == inside and set(over.tolist()) == above and rest is None and above and inside
+    for size in (0, 800, 8 * len(inside) // 2):
+        band, over, rest = imatch.lexicon(docs, sent_bytes=size)
+        rare = {r["term"] % 2**64 for r in rest.collect()}
+        assert set(band.tolist()) | rare == inside and not set(band.tolist()) & rare
+        assert 8 * (len(band) + len(over)) <= size
+        assert max(wanted[t] for t in rare) < min((wanted[t] for t in (*band.tolist(), *over.tolist())), default=n + 1)
+
+
+def test_rare_terms_stay_out_of_the_lexicon(make_docs):
+    rows = [(1, "both have these rare1"), (2, "both have these rare2")] + [(i, f"other{i}") for i in range(3, 20)]
     prints = {r["doc_id"]: r["fingerprint"] for r in imatch.edited_documents(make_docs(rows)).collect()}
     # Each rare word is in one document only, so the two are alike in all the lexicon holds.
     assert prints[1] == prints[2] != prints[3]
-    wanted = imatch.terms("both have these")
-    assert (imatch.term_lexicon(make_docs(rows)) == wanted).all()
+    assert (imatch.lexicon(make_docs(rows))[0] == imatch.terms("both have these")).all()
+
+
+def test_results_do_not_depend_on_what_is_sent(small, edge_docs, no_docs):
+    for docs in (small("documents"), edge_docs, no_docs):
+        wanted = sorted(map(tuple, imatch.edited_documents(docs).collect()), key=repr)
+        for size in (0, 4000):
+            assert sorted(map(tuple, imatch.edited_documents(docs, sent_bytes=size).collect()), key=repr) == wanted
+
+
+def test_fingerprints_by_plain_sets(small, small_rows):
+    n, counts = len(small_rows), plain_frequencies(small_rows)
+    inside = {t for t, k in counts.items() if max(2, n**imatch.RAREST) <= k <= n**imatch.COMMONEST}
+    found = {r["doc_id"]: bytes.fromhex(r["fingerprint"]) for r in imatch.edited_documents(small("documents")).collect()}
+    for i, t in small_rows:
+        words = {w.strip(string.punctuation) for w in (t or "").lower().split()} - {""}
+        chosen = sorted(xxhash.xxh64_intdigest(w) for w in words & inside or words)
+        if not chosen:
+            continue
+        slots = [slot(chosen, 0)]
+        for level, (cells, used) in enumerate(imatch.LEVELS, 1):
+            dealt = [[] for _ in range(cells)]
+            for h in chosen:
+                x = (h ^ level * 0x9E3779B97F4A7C15 % 2**64) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ x >> 31) * 0x94D049BB133111EB % 2**64
+                dealt[x // (2**64 // cells)].append(x)
+            slots += [slot(sorted(d), level) if d else bytes(imatch.SLOT_BYTES) for d in dealt[:used]]
+        assert found[i] == b"".join(slots)
+
+
+def slot(values, seed):
+    data = b"".join(v.to_bytes(8, "little") for v in values)
+    return (xxhash.xxh64_intdigest(data, seed) % (256**imatch.SLOT_BYTES - 1) + 1).to_bytes(imatch.SLOT_BYTES, "big")
+
+
+def test_ranges_hold_equal_bytes(spark):
+    rows = [(i, "x" * (5000 if i < 400 else 50)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for ids in (docs, docs.withColumn("doc_id", F.format_string("%05d", "doc_id"))):
+        parts = imatch.in_order(ids, 10).where("not extra").groupBy("part").agg(F.sum(F.length("text"))).collect()
+        assert 9 <= len(parts) <= 11 and max(r[1] for r in parts) < 2 * sum(r[1] for r in parts) / 10
+        held = ids.select(imatch._below([r["doc_id"] for r in ids.orderBy("doc_id").limit(1999).collect()]).alias("n"))
+        assert sorted(r["n"] for r in held.collect()) == list(range(2000))
 
 
 def test_fingerprint_slots():
-    none = np.zeros(1 << imatch.BUCKET_BITS, bool)
-    everything = ~none
+    none = np.zeros(0, np.uint64)
+    everything = np.sort(np.concatenate([imatch.terms("the b c d e f"), imatch.terms(" ".join(f"w{i}" for i in range(300)))]))
     a = imatch.fingerprint("the b c d e f", everything)
     assert len(a) == imatch.SLOT_BYTES * (1 + imatch.SUBSETS)
     assert a == imatch.fingerprint("F e d, c b THE the", everything) == imatch.fingerprint("the b c d e f", none)
