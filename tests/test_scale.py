@@ -1,6 +1,7 @@
 """Staging, and equal results with and without broadcasts on skewed tables."""
 
 import dataclasses
+import re
 from pathlib import Path
 
 import pytest
@@ -165,6 +166,17 @@ def test_a_hot_subscription_is_dealt_to_many_partitions(spark):
     marked = lines.withColumn("salt", F.pmod(F.xxhash64("order_line_items_id"), F.lit(SALTS)))
     sizes = [r["count"] for r in marked.groupBy("country", "fk_subscription", "salt").count().collect()]
     assert max(sizes) < 2 * 20_000 / SALTS
+    panel = spark.range(5000).selectExpr("'GB' AS country", "id AS fk_subscription", "'A' AS cohort", "'RUNNING' AS status", "concat('c', id) AS customer_uuid")
+    ranges = {"Pre": ("2024-W01", "2024-W04")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        panel, lines = staged(panel, "panel"), staged(lines, "lines")  # hides the constants from the plan
+        salted, plain = order_rates(panel, lines, ranges, salts=SALTS), order_rates(panel, lines, ranges)
+        exchanges = re.findall(r"hashpartitioning\(country#\d+, fk_subscription#\d+L, (salt)#", formatted_plan(salted))
+        assert len(exchanges) == 2 and "salt#" not in formatted_plan(plain)
+        assert rows(salted) == rows(plain) and plain.first()["Pre"] == 12.0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_staged_dimension_is_measured_while_written(spark):
