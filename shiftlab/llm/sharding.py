@@ -7,8 +7,9 @@ together stays in one shard, a hot key is split by the contents of its rows, and
 split by their places. A single row over the limit is a shard of its own.
 
 The directory is found without moving rows: bytes are summed per cell, a prefix some bits longer than
-needed on average, with map-side combine; cells are rolled up over all shorter prefixes, and every
-cell takes the shortest one that fits. Only the rows of cells that are still too large (a hot key, or
+needed on average, with map-side combine; cells are rolled up over shorter prefixes in
+bands of a few bits, each from the one below and only as far as some prefix fits, and every cell takes the
+shortest one that fits. Only the rows of cells that are still too large (a hot key, or
 a very long text beside others) are summed again over further bits.
 """
 
@@ -27,6 +28,8 @@ PART_BITS = 48
 PARTS = 3
 SLACK_BITS = 4
 ROUND_BITS = 12
+# Prefix lengths that are summed at once.
+BAND_BITS = 4
 
 
 def bits(*columns: Column) -> Column:
@@ -37,13 +40,22 @@ def bits(*columns: Column) -> Column:
 
 def _rolled_up(cells: DataFrame, least: int, most: int, limit: int) -> DataFrame:
     """For each cell the shortest prefix that fits (NULL if the cell itself is too large)."""
-    prefixes = cells.select("cell", "bytes", "docs", F.explode(F.sequence(F.lit(least), F.lit(most))).alias("depth"))
+    low = max(least, most - BAND_BITS)
+    prefixes = cells.select("cell", "bytes", "docs", F.explode(F.sequence(F.lit(low), F.lit(most))).alias("depth"))
     totals = prefixes.groupBy(F.substring("cell", 1, F.col("depth")).alias("shard"), "depth").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
+    totals = staged(totals, "totals")
     fit = totals.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1))
     # A prefix that fits has only prefixes that fit below it: the shortest one is the shard.
     found = prefixes.select("cell", "depth", F.substring("cell", 1, F.col("depth")).alias("shard")).join(fit, ["shard", "depth"])
     best = found.groupBy("cell").agg(F.min(F.struct("depth", "shard", "shard_bytes", "shard_docs")).alias("best"))
-    return cells.select("cell").join(best, "cell", "left").select("cell", "best.*")
+    shards = cells.select("cell").join(best, "cell", "left")
+    # Where nothing of a band's shortest prefixes fits, nothing shorter does.
+    if low > least and not fit.where(F.col("depth") == low).isEmpty():
+        heads = totals.where(F.col("depth") == low).select(F.col("shard").alias("cell"), F.col("shard_bytes").alias("bytes"), F.col("shard_docs").alias("docs"))
+        above = _rolled_up(heads, least, low, limit).where("shard is not null")
+        above = above.select(F.col("cell").alias("head"), F.struct("depth", "shard", "shard_bytes", "shard_docs").alias("above"))
+        shards = shards.withColumn("head", F.substring("cell", 1, low)).join(above, "head", "left").select("cell", F.coalesce("above", "best").alias("best"))
+    return shards.select("cell", "best.*")
 
 
 def extendible_shards(
