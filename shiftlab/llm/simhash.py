@@ -14,18 +14,22 @@ exact distances of the whole fingerprints decide, again pruned by vantage points
 star per local component, never its pairs.
 
 The trees are fitted on a bounded sample of the distinct fingerprints (``SAMPLE``); they only route.
-Every distinct fingerprint is indexed, and all pairs are found whatever the sample was.
+Every distinct fingerprint is indexed, and all pairs are found whatever the sample was. Shards that hold
+too many points all the same, because there are more of them than a sample can deal or because very many
+share a half, are split on: each round gives every such shard a vantage point of its own over its half. Where
+none parts its points they go on twice, over the two quarters of the other half, by the same reasoning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +43,14 @@ SEED = 42
 MAX_BITS = 3
 SAMPLE = 65_536
 SHARD_POINTS = 4_096
+# A shard over this many times SHARD_POINTS is split on, by a vantage point chosen among so many of its points.
+LARGE_SHARD = 4
+CHOICE_POINTS = 2_048
+# A split must leave no more than this share of the pairs to compare: then overlaps cannot outgrow what splits save.
+PAIRS_LEFT = 0.9
+MAX_SPLITS = 40
+# The bits each tree measures: a tree per half, and two per half over its quarters.
+TREES = (0xFFFFFFFF, 0xFFFFFFFF << 32, 0xFFFF, 0xFFFF << 16, 0xFFFF << 32, 0xFFFF << 48)
 HASH_BLOCK = 65_536
 DROPPED_BYTES = 50_000_000
 
@@ -101,6 +113,19 @@ def _choose(points: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[
     return int(best[1]), best[2], distance(points, best[1])
 
 
+def _fewest_pairs(points: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[int, int] | None:
+    """A vantage point and bound whose sides hold the fewest pairs; None if more than ``PAIRS_LEFT`` remain."""
+    best = (PAIRS_LEFT * len(points) ** 2, None)
+    for v in rng.choice(points, min(32, len(points)), replace=False):
+        below = np.cumsum(np.bincount(distance(points, v), minlength=66 + radius))
+        inner, outer = below[radius : 64 + radius], len(points) - below[:64]
+        pairs = inner**2 + outer**2
+        mu = int(pairs.argmin())
+        if pairs[mu] <= best[0] and max(inner[mu], outer[mu]) < len(points):
+            best = (int(pairs[mu]), (int(v), mu))
+    return best[1]
+
+
 def grow(points: np.ndarray, radius: int, leaf: int, seed: int = 7) -> list[tuple[int, int, int, int]]:
     """A tree as rows (vantage point, bound, inner, outer); a leaf has bound -1."""
     rng, nodes, todo = np.random.default_rng(seed), [None], [(0, np.unique(points))]
@@ -186,7 +211,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, sha
             own = batch["fp"].to_numpy(np.int64)
             for tree, half in zip(range(2), halves(own.view(np.uint64))):
                 for at, rows in route(trees[tree], half, radius):
-                    yield pd.DataFrame({"shard": np.int32(2 * at + tree), "fp": own[rows]})
+                    yield pd.DataFrame({"tree": np.int32(tree), "shard": np.int64(at), "fp": own[rows]})
 
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.sort(pdf["fp"].to_numpy(np.int64))
@@ -197,8 +222,56 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE, sha
     # A stored table of fingerprints is small and has few files: routing is work, so it is dealt to all cores.
     context = prints.sparkSession.sparkContext
     cores = max(context.defaultParallelism, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = prints.select("fp").repartition(cores, "fp").mapInPandas(shards, "shard int, fp long")
-    return dealt.groupBy("shard").applyInPandas(stars, "a long, b long")
+    dealt = prints.select("fp").repartition(cores, "fp").mapInPandas(shards, "tree int, shard long, fp long")
+    dealt = split_on(staged(dealt.withColumn("level", F.lit(0)), "routed"), max_bits, LARGE_SHARD * shard_points)
+    return dealt.groupBy("tree", "level", "shard").applyInPandas(stars, "a long, b long")
+
+
+def split_on(routed: DataFrame, max_bits: int, most: int) -> DataFrame:
+    """The stored table of routed points (tree, level, shard, fp) with shards over ``most`` points split.
+
+    Every round splits each of them once more, until all fit or no vantage point parts the rest. Points
+    stay in Spark; of a shard about ``CHOICE_POINTS`` reach the task that chooses.
+    """
+    radius = max_bits // 2
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, tree = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64), int(pdf["tree"].iloc[0])
+        mask = np.uint64(TREES[tree])
+        found = _fewest_pairs(own & mask, radius, np.random.default_rng(len(own)))
+        out = pdf[["tree", "shard"]].iloc[:1]
+        if found is not None:
+            v, mask = np.array([found[0], mask], np.uint64).view(np.int64)
+            return out.assign(v=v, mask=mask, mu=found[1], quarters=-1)
+        # A half that does not part them: the first quarter of the other half.
+        return out.assign(v=0, mask=0, mu=0, quarters=4 - 2 * tree) if tree < 2 else out.iloc[:0].assign(v=0, mask=0, mu=0, quarters=0)
+
+    done: list[DataFrame] = []
+    key = ["tree", "shard"]
+    for level in range(1, MAX_SPLITS + 1):
+        sizes = routed.groupBy(*key).agg(F.count(F.lit(1)).alias("points")).where(F.col("points") > most)
+        sizes = staged(sizes, "large-shards")
+        if sizes.isEmpty():
+            break
+        drawn = F.pmod(F.xxhash64("fp", F.lit("choice")), F.lit(HASH_RANGE)) < F.lit(CHOICE_POINTS * HASH_RANGE) / F.col("points")
+        vantage = routed.join(sizes, key).where(drawn).select(*key, "fp").groupBy(*key).applyInPandas(
+            choose, "tree int, shard long, v long, mask long, mu int, quarters int"
+        )
+        vantage = staged(vantage, "vantage-points")
+        if vantage.isEmpty():
+            break
+        done.append(routed.join(vantage.select(*key), key, "left_anti"))
+
+        def side(tree: Column, number: int) -> Column:
+            return F.struct(tree.cast("int").alias("tree"), (F.col("shard") * 2 + number).alias("shard"))
+
+        d = F.bit_count(F.col("fp").bitwiseXOR(F.col("v")).bitwiseAND(F.col("mask")))
+        split, same = F.col("quarters") < 0, F.col("tree")
+        inner = F.when(~split, side(F.col("quarters"), 0)).when(d <= F.col("mu") + radius, side(same, 0))
+        outer = F.when(~split, side(F.col("quarters") + 1, 1)).when(d > F.col("mu"), side(same, 1))
+        parts = routed.join(vantage, key).select("fp", F.explode(F.array_compact(F.array(inner, outer))).alias("to"))
+        routed = staged(parts.select("to.tree", F.lit(level).alias("level"), "to.shard", "fp"), "split")
+    return reduce(DataFrame.unionByName, [part.select("tree", "level", "shard", "fp") for part in [*done, routed]])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

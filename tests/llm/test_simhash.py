@@ -108,3 +108,56 @@ def test_links_across_many_shards(spark, tmp_path):
         a, b = find(position[unsigned(r["a"])]), find(position[unsigned(r["b"])])
         root[max(a, b)] = min(a, b)
     assert [find(i) for i in range(len(prints))] == plain_components(prints)
+
+
+def test_shards_with_a_common_half_are_split(spark, tmp_path):
+    rng = random.Random(4)
+    common = rng.getrandbits(32)
+    # A hot half: two thirds of the prints share their upper 32 bits, each with a neighbour at up to 3 bits.
+    base = [common << 32 | rng.getrandbits(32) for _ in range(1000)] + [rng.getrandbits(64) for _ in range(500)]
+    prints = list({p ^ m for p in base for m in (0, 1 << rng.randrange(32) | 1 << rng.randrange(64) | 1 << rng.randrange(32))})
+    path = str(tmp_path / "prints")
+    spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").write.parquet(path)
+    stored = spark.read.parquet(path)
+    own = np.sort(np.array(prints, np.uint64))
+
+    whole = stored.selectExpr("1 AS tree", "0 AS level", "CAST(0 AS LONG) AS shard", "fp")
+    dealt = simhash.split_on(whole, 3, 400).collect()
+    held = {}
+    for r in dealt:
+        held.setdefault((r["tree"], r["level"], r["shard"]), set()).add(r["fp"] % (1 << 64))
+    assert max(map(len, held.values())) <= 400 < len(prints) and set().union(*held.values()) == set(prints)
+    # By its upper half the tree promises pairs that differ there in one bit or less.
+    near = np.bitwise_count(own[:, None] ^ own[None]) <= 3
+    near &= np.bitwise_count((own[:, None] ^ own[None]) >> np.uint64(32)) <= 1
+    wanted = {(int(own[i]), int(own[j])) for i, j in zip(*np.nonzero(np.triu(near, 1)))}
+    assert len(wanted) > 1000 and all(any(a in s and b in s for s in held.values()) for a, b in wanted)
+
+    edges = simhash.links(stored, sample=200, shard_points=30).collect()
+    place = {int(p): i for i, p in enumerate(own)}
+    root = list(range(len(own)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def link(a, b):
+        root[max(find(a), find(b))] = min(find(a), find(b))
+
+    for r in edges:
+        link(place[r["a"] % (1 << 64)], place[r["b"] % (1 << 64)])
+    found = [find(i) for i in range(len(own))]
+    root = list(range(len(own)))
+    for i, j in zip(*np.nonzero(np.triu(np.bitwise_count(own[:, None] ^ own[None]) <= 3, 1))):
+        link(i, j)
+    assert found == [find(i) for i in range(len(own))]
+
+
+def test_points_that_nothing_parts_stay_together(spark, tmp_path):
+    path = str(tmp_path / "prints")
+    spark.createDataFrame([(1 << i,) for i in range(60)], "fp long").write.parquet(path)
+    whole = spark.read.parquet(path).selectExpr("0 AS tree", "0 AS level", "CAST(0 AS LONG) AS shard", "fp")
+    assert simhash.split_on(whole, 3, 10).count() >= 60
+    edges = simhash.links(spark.read.parquet(path), shard_points=2).collect()
+    assert len({r["a"] for r in edges}) == 59
